@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, simhash, source_mix, token_records
+from . import chat_format, simhash, source_mix, suffix_dedup, token_records
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -17,6 +17,11 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)]
@@ -35,6 +40,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_source_mix": op10_source_mix,
