@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, simhash, source_mix, suffix_dedup, token_records
+from . import ann_search, chat_format, simhash, source_mix, suffix_dedup, token_records, topk_search
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -17,6 +17,14 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -40,12 +48,22 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_topk_search": op2_topk_search,
+    "op6_ann_search": op6_ann_search,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_source_mix": op10_source_mix,
 }
 
+_OP2 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score from v q, v c where q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from p
+qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5
+"""
+
 _OP8 = r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, 0, 'user', '\### Assistant: </turn> ok'
@@ -78,4 +96,4 @@ select d.doc_id, d.text, d.lang, d.source, d.n_chars, n_mix, c::int as copy_mix,
 from d join m on d.doc_id = m.doc_id and d.src = m.src and d.h = m.h, range(1, n_mix + 1) as q(c)
 """
 
-ORACLE_SQL = {"op8_chat_format": _OP8, "op10_source_mix": _OP10}
+ORACLE_SQL = {"op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
