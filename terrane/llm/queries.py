@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, simhash, source_mix, suffix_dedup, token_records, topk_search
+from . import ann_search, chat_format, simhash, source_mix, suffix_dedup, token_records, topk_search, toxicity
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -21,6 +21,11 @@ def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -49,6 +54,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_topk_search": op2_topk_search,
+    "op3_toxicity": op3_toxicity,
     "op6_ann_search": op6_ann_search,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_chat_format": op8_chat_format,
