@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, words
 
-ORDER, SHARED = 6, 3
-DISCOUNT = 0.75
+ORDER, SHARED = 6, 2
+DISCOUNT = 0.9
 COUNT_ROWS, CALIBRATION_ROWS = 6_000, 6_000
 MEMO_ENTRIES = 400_000
 
