@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, simhash, source_mix, suffix_dedup, token_records, topk_search, toxicity
+from . import ann_search, chat_format, lm_score, piece_coding, simhash, source_mix, suffix_dedup, token_records, topk_search, toxicity
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -26,6 +26,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_coding.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -55,6 +65,8 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_topk_search": op2_topk_search,
     "op3_toxicity": op3_toxicity,
+    "op5_piece_coding": op5_piece_coding,
+    "op7_lm_score": op7_lm_score,
     "op6_ann_search": op6_ann_search,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op8_chat_format": op8_chat_format,

@@ -321,12 +321,16 @@ def cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
     return kept, int(gone.sum()), len(_runs(gone))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
-    """Per row of docs: doc_id, text_key, kept (bytes), n_bytes, n_removed, n_spans."""
-    spans = repeated_spans(docs, length, gram, batches)
+def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every row of docs, packed, with the spans of its text or null."""
     both = _packed(docs)
     on = both["doc_id"].eqNullSafe(spans["doc_id"]) & (both["text_key"] == spans["text_key"])
-    rows = both.join(spans, on, "left").select(both["doc_id"], both["text_key"], "packed", "spans")
+    return both.join(spans, on, "left").select(both["*"], "spans")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
+    """Per row of docs: doc_id, text_key, kept (bytes), n_bytes, n_removed, n_spans."""
+    rows = _with_spans(docs, repeated_spans(docs, length, gram, batches))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -341,3 +345,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     return rows.mapInArrow(run, "doc_id long, text_key int, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
+    """docs with repeats cut out of the text (and n_chars, where there is one, counted again).
+
+    A character of which some bytes went is dropped whole. Rows that had a text and lose all of it are dropped.
+    """
+    spans = repeated_spans(docs, length, gram, batches).select(F.col("doc_id").alias("id_suf"), F.col("text_key").alias("key_suf"), F.col("spans").alias("spans_suf"))
+    on = docs["doc_id"].cast("long").eqNullSafe(spans["id_suf"]) & (text_key() == spans["key_suf"])
+    rows = docs.join(spans, on, "left").drop("id_suf", "key_suf")
+    at, n = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                pairs = zip(part.column(at).to_pylist(), part.column(n).to_pylist(), strict=True)
+                texts = [cut(_raw(t), s)[0].decode("utf-8", "ignore") if s else t for t, s in pairs]
+                gone = [bool(s) and not t for t, s in zip(texts, part.column(n).to_pylist(), strict=True)]
+                cols = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(n)]
+                yield pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array([not g for g in gone]))
+
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

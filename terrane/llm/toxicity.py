@@ -191,7 +191,18 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
-    """The rows of docs that score under limit."""
-    bad = scores(docs, labels).where(F.col("score") >= limit).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_key"))
-    return docs.join(bad, on, "left_anti")
+    """The rows of docs that score under limit, with all their columns."""
+    fitted = fit(docs, labels)
+    if fitted is None:
+        return docs
+    shared, slope, shift = fitted
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                x = np.array(mean_evidence(part.column(at).to_pylist(), shared.value))
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(slope * x + shift, -700, 700))) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
