@@ -353,7 +353,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     spans = repeated_spans(docs, length, gram, batches).select(F.col("doc_id").alias("id_suf"), F.col("text_key").alias("key_suf"), F.col("spans").alias("spans_suf"))
     on = docs["doc_id"].cast("long").eqNullSafe(spans["id_suf"]) & (text_key() == spans["key_suf"])
     rows = docs.join(spans, on, "left").drop("id_suf", "key_suf")
-    at, n = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at, n = names.index("text"), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -363,7 +364,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
                 texts = [cut(_raw(t), s)[0].decode("utf-8", "ignore") if s else t for t, s in pairs]
                 gone = [bool(s) and not t for t, s in zip(texts, part.column(n).to_pylist(), strict=True)]
                 cols = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(n)]
-                yield pa.RecordBatch.from_arrays(cols, docs.columns).filter(pa.array([not g for g in gone]))
+                yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([not g for g in gone]))
 
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
