@@ -19,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import partitions, scratch, stored
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 MANIFEST = "shard int, file string, n_records long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 _encoders: dict = {}
@@ -57,21 +58,34 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        kind, memo = np.dtype(f"<u{self.width}"), self.memo
+        memo = self.memo
         split = [self.find(t) if t else [] for t in texts]
-        new = list({w for ws in split for w in ws if w not in memo})
-        extra: dict[str, bytes] = {}
-        for k in range(0, len(new), 50_000):
-            part = new[k : k + 50_000]
-            ids = [np.array(e.ids, kind).tobytes() for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
-            (memo if len(memo) < MEMO_ENTRIES else extra).update(zip(part, ids, strict=True))
-        if not extra:
+        new = set(chain.from_iterable(split)).difference(memo)
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
+        found = self._one_by_one([w for w in new if w[0] != " " or not w[1:].isalpha()])
+        for k in range(0, len(plain), 100):
+            found |= self._in_a_row(plain[k : k + 100])
+        if len(memo) < MEMO_ENTRIES:
+            memo.update(found)
             return [b"".join(map(memo.__getitem__, ws)) for ws in split]
-        return [b"".join([memo.get(w) or extra[w] for w in ws]) for ws in split]
+        return [b"".join([memo.get(w) or found[w] for w in ws]) for ws in split]
+
+    def _one_by_one(self, ws: list[str]) -> dict[str, bytes]:
+        return {w: np.array(e.ids, self.kind).tobytes() for w, e in zip(ws, self.tok.encode_batch_fast(ws, add_special_tokens=False), strict=True)}
+
+    def _in_a_row(self, ws: list[str]) -> dict[str, bytes]:
+        """A space and letters, put in a row, are split at the spaces again: one call encodes many pre-tokens."""
+        e = self.tok.encode("".join(ws), add_special_tokens=False)
+        ids, ends = np.array(e.ids, self.kind).tobytes(), np.flatnonzero(np.diff(e.word_ids)) + 1
+        if len(ends) + 1 != len(ws):
+            return self._one_by_one(ws)
+        cuts = [0, *(ends * self.width).tolist(), len(ids)]
+        return {w: ids[i:j] for w, i, j in zip(ws, cuts, cuts[1:], strict=True)}
 
 
 def encoder(path: str) -> PieceEncoder:
