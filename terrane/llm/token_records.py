@@ -85,7 +85,7 @@ class PieceEncoder:
         if len(ends) + 1 != len(ws):
             return self._one_by_one(ws)
         cuts = [0, *(ends * self.width).tolist(), len(ids)]
-        return {w: ids[i:j] for w, i, j in zip(ws, cuts, cuts[1:], strict=True)}
+        return {w: ids[i:j] for w, i, j in zip(ws, cuts[:-1], cuts[1:], strict=True)}
 
 
 def encoder(path: str) -> PieceEncoder:
