@@ -8,8 +8,9 @@ encoding of its own. So each prefix of a text is reached by exactly one piece th
 the survivors are the back-pointer paths of the last positions. Once they all pass one boundary, the ids before it are
 committed and forgotten.
 
-No piece of the model spans certain pairs of characters (anything before a space mark, a line feed). All paths pass
-such places, so the text between them is searched once and its ids are kept, up to MEMO_ENTRIES.
+No piece of the model spans certain pairs of characters (anything before a space mark, a line feed, a letter beside a
+sign). All paths pass such places, so the text between them is searched once and its ids are kept, up to MEMO_ENTRIES.
+Which of these hold is read off the model's pieces; where they don't, longer segments are searched.
 
 Edge cases: a null or empty text has no ids; characters that the model lacks become byte pieces; decoding drops the
 space that encoding put in front; bytes that are no UTF-8 decode to U+FFFD; the mark U+2581 itself decodes to a space.
@@ -105,8 +106,12 @@ class PieceCoder:
         self.heads = {p[:k] for p in self.scores for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.scores), default=1)
         spans = {p[k : k + 2] for p in self.scores for k in range(len(p) - 1)}
+        letter = re.compile(r"[^\W\d_]").match
         free = all(s[1] != MARK or s[0] == MARK for s in spans) and not any("\n" in s for s in spans)
-        self.segments = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n" if free else "(?s:.+)").findall
+        apart = all(s[0] == MARK or bool(letter(s[0])) == bool(letter(s[1])) for s in spans)
+        other = f"(?:(?![{MARK}\n])[\\W\\d_])+"
+        cuts = f"{MARK}*[^\\W\\d_]+|{MARK}*{other}|{MARK}+|\n" if apart else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
+        self.segments = re.compile(cuts if free else "(?s:.+)").findall
         self.shown = ["" if sp.is_control(i) else p for i, p in enumerate(self.pieces)]
         for b, i in self.bytes.items():
             self.shown[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
