@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, stored, words
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_000_000
 BUCKET_KEYS = 1_500_000
 COUNTED, DELETED, TEST = 0, 1, 2
 END = b" "  # no word holds a space
