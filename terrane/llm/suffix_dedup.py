@@ -305,7 +305,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     whole = ctxs.where("n_same > 1").select("key", "ctx", F.lit(None).cast("array<struct<from:int,to:int>>").alias("runs"))
     some = some.join(whole.select("key", "ctx"), ["key", "ctx"], "left_anti")
     runs = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("from"), (F.col("hi") - F.col("lo") + 1).alias("to"))))
-    marked = hits.join(whole.unionByName(some), ["key", "ctx"]).select("doc_id", "text_key", F.transform(runs, lambda r: F.struct((F.col("lo") + r["from"]).alias("from"), (F.col("lo") + r["to"] - 1 + length).alias("to"))).alias("spans"))
+    resolved = stored(whole.unionByName(some), "resolved")  # read from files, so that a hot context's entries can be split
+    marked = hits.join(resolved, ["key", "ctx"]).select("doc_id", "text_key", F.transform(runs, lambda r: F.struct((F.col("lo") + r["from"]).alias("from"), (F.col("lo") + r["to"] - 1 + length).alias("to"))).alias("spans"))
     return marked.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
