@@ -48,9 +48,9 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 def majority(df: DataFrame, key: list[str], vote: str, first: Column) -> DataFrame:
-    """The most frequent vote of each key; of equals the one met first."""
+    """The most frequent vote of each key; of equals the one met first, then the smallest."""
     votes = df.groupBy(*key, vote).agg(F.count("*").alias("n"), F.min(first).alias("met"))
-    return votes.groupBy(*key).agg(F.max_by(vote, F.struct("n", (-F.col("met")).alias("met"))).alias(vote), F.max("n").alias("n_votes"))
+    return votes.groupBy(*key).agg(F.min_by(vote, F.struct((-F.col("n")).alias("n"), "met", vote)).alias(vote), F.max("n").alias("n_votes"))
 
 
 def last_exchanges(turns: DataFrame, session: str, order: str, most: int) -> DataFrame:

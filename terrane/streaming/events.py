@@ -16,20 +16,16 @@ def _timed(df: DataFrame, ts: str, late: str) -> DataFrame:
     return df.withWatermark(ts, late) if df.isStreaming else df
 
 
-def windows(df: DataFrame, ts: str, width: str, slide: str | None, by: list[str], aggregates: list[Column], late: str = "1 day") -> DataFrame:
+def windows(df: DataFrame, ts: str, width: str, slide: str | None, by: list[str], aggregates: dict[str, Column], late: str = "1 day") -> DataFrame:
     """Tumbling or sliding windows; rows later than `late` are dropped."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    return _timed(df, ts, late).groupBy(w.alias("w"), *by).agg(*aggregates).select(F.col("w.start").alias("start"), *by, *[c for c in _names(aggregates)])
+    return _timed(df, ts, late).groupBy(w.alias("w"), *by).agg(*[c.alias(n) for n, c in aggregates.items()]).select(F.col("w.start").alias("start"), *by, *aggregates)
 
 
-def sessions(df: DataFrame, ts: str, gap: str, by: list[str], aggregates: list[Column], late: str = "1 day") -> DataFrame:
+def sessions(df: DataFrame, ts: str, gap: str, by: list[str], aggregates: dict[str, Column], late: str = "1 day") -> DataFrame:
     """Windows that end after a pause."""
-    out = _timed(df, ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(*aggregates)
-    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *[c for c in _names(aggregates)])
-
-
-def _names(aggregates: list[Column]) -> list[str]:
-    return [c._jc.toString().rpartition(" AS ")[2].strip("`") for c in aggregates]
+    out = _timed(df, ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(*[c.alias(n) for n, c in aggregates.items()])
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, *aggregates)
 
 
 def first_of_key(df: DataFrame, key: list[str], ts: str, late: str = "1 day") -> DataFrame:
