@@ -211,7 +211,7 @@ def settlement_name(c: Column) -> Column:
 
 def numbers_before(text: Column, unit: str) -> Column:
     """All numbers that stand before a unit, as doubles."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)(\\d+(?:[.,]\\d+)?)\\s*(?:{unit})(?U:\\b|$)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)(\\d+(?:[.,]\\d+)?)\\s*(?:{unit})(?!\\p{{L}})"), F.lit(1))
     return F.transform(found, lambda x: number(x))
 
 

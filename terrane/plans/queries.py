@@ -411,7 +411,7 @@ def a41_last_n_days(spark, d):
     return k.orderBy(F.desc("day")).limit(5).agg(F.count("*").alias("n_days"), F.round(F.sum("v"), 6).alias("total"))
 
 
-@query("with c as (select event_type, count(*) as n from events group by 1) select event_type, n, round(least(n, 500) * 0.005 + least(greatest(n - 500, 0), 1000) * 0.004 + greatest(n - 1500, 0) * 0.003, 6) as cost from c")
+@query("with c as (select event_type, count(*) as n from events group by 1) select event_type, n, round((least(n, 500) * 0.005 + least(greatest(n - 500, 0), 1000) * 0.004 + greatest(n - 1500, 0) * 0.003)::double, 6) as cost from c")
 def a42_tiered_cost(spark, d):
     c = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return c.select("event_type", "n", F.round(stats.tiered_cost(F.col("n"), [(0, 500, 0.005), (500, 1500, 0.004), (1500, None, 0.003)]), 6).alias("cost"))
