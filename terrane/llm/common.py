@@ -2,46 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from terrane.sources.storage import forget, scratch, stored, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="terrane-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/terrane-{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """df written to the shared folder and read again: the lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    path = path or scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch folders that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["fold", "forget", "partitions", "scratch", "stored", "table", "words"]
 
 
 def fold(id_col: str, n: int):
