@@ -13,7 +13,7 @@ Documents come in batches. A batch gets its suffix array, which is merge-scanned
 existing level for common keys (a sort-merge join of two tables bucketed and sorted alike: no shuffle); before the next
 batch, levels of equal size are merged, so there are log2(batches) levels. Entries with a partner are resolved exactly:
 a context that occurs twice is repeated as a whole; different contexts under one key are compared window by window, by
-two independent 64-bit hashes of each window.
+64-bit hashes that are independent of the key's.
 
 Edge cases: a null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows are documents of their
 own, so a row and its copy both lose what they share; overlapping repeats within one text count; an empty table gives no
@@ -37,7 +37,8 @@ from .common import forget, partitions, scratch, stored
 
 LENGTH, GRAM = 400, 100
 CHUNK = 1 << 20
-MOST_CONTEXTS = 2000  # of one key, resolved in one task; keys with more are resolved by a shuffle on their windows
+MOST_CONTEXTS = 20_000  # of one key, resolved in one task (48 MB of hashes); keys with more go through a shuffle on their windows
+SLICE = 500_000
 ENTRY = "key long, ctx long, doc_id long, text_key int, lo int, hi int"
 _rolls: dict[int, Rolling] = {}
 
@@ -232,14 +233,17 @@ def _within_keys(bodies: DataFrame, length: int) -> DataFrame:
     """Repeated windows of contexts, (key, ctx, from, to) counted from a context's first window; a key at a time."""
 
     def resolve(group: list[tuple]) -> list[tuple]:
-        pairs = [_window_pairs(g[4], length) for g in group]
-        both = np.empty(sum(len(p[0]) for p in pairs), [("a", "<u8"), ("b", "<u8")])
-        both["a"], both["b"] = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-        times = np.repeat([g[2] for g in group], [len(p[0]) for p in pairs])
-        _, number = np.unique(both, return_inverse=True)
-        repeated = (np.bincount(number, times) > 1)[number]
-        cuts = np.cumsum([len(p[0]) for p in pairs])[:-1]
-        return [(g[0], g[1], a, b) for g, flags in zip(group, np.split(repeated, cuts), strict=True) for a, b in _runs(flags)]
+        """One hash of a window will do here: the group's key, an independent one, agrees already."""
+        hashes = [rolling(2).grams(np.frombuffer(g[4], np.uint8), length) for g in group]
+        sizes = [len(h) for h in hashes]
+        every = np.concatenate(hashes)
+        times = np.repeat(np.array([min(g[2], 2) for g in group], np.int8), sizes)
+        repeated, slices = np.zeros(len(every), bool), np.uint64(len(every) // SLICE + 1)
+        for r in range(int(slices)):  # equal windows fall into one slice
+            at = np.flatnonzero(every % slices == np.uint64(r))
+            _, number = np.unique(every[at], return_inverse=True)
+            repeated[at] = (np.bincount(number, times[at]) > 1)[number]
+        return [(g[0], g[1], a, b) for g, flags in zip(group, np.split(repeated, np.cumsum(sizes)[:-1]), strict=True) for a, b in _runs(flags)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
