@@ -256,3 +256,23 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of doubles, null where either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def price_in_text(text: Column) -> Column:
+    """The largest number of at least 100 in a noisy text; null without any."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(\\d[\\d \\u00a0]*(?:[.,]\\d+)?)"), F.lit(1))
+    return F.array_max(F.filter(F.transform(found, lambda x: number(x)), lambda v: v >= 100))
+
+
+def place_and_date(text: Column) -> dict[str, Column]:
+    """Both sides of the last " - "; the whole text is the place where there is none."""
+    cut = F.regexp_extract_all(text, F.lit("(?s)^(.*) - (.*)$"), F.lit(1))
+    has = F.size(cut) > 0
+    return {"place": F.trim(F.when(has, cut[0]).otherwise(text)), "date": F.when(has, F.trim(F.substring_index(text, " - ", -1)))}
+
+
+def street_and_house(text: Column) -> dict[str, Column]:
+    """A street and its house number, which follows the last comma or blank and begins with a digit."""
+    pattern = "^(.*?)[,\\s]+(\\d[\\p{L}\\d/\\-]*)$"
+    house = F.regexp_extract(F.trim(text), pattern, 2)
+    return {"street": F.when(house != "", F.trim(F.regexp_extract(F.trim(text), pattern, 1))).otherwise(F.trim(text)), "house": F.nullif(house, F.lit(""))}

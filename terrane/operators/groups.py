@@ -87,3 +87,9 @@ def unpivot_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """field, present, rate: how many rows have each column."""
     counts = df.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in columns])
     return counts.unpivot(["n"], columns, "field", "present").select("field", "present", F.try_divide("present", "n").alias("rate"))
+
+
+def broken_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule, count: how many rows break each rule (a rule that is null for a row is broken)."""
+    names = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
+    return df.select(F.explode(names).alias("rule")).groupBy("rule").agg(F.count("*").alias("count"))

@@ -132,3 +132,11 @@ def test_currency_and_type(spark):
     rows = [(10.0, "USD"), (10.0, "EUR"), (10.0, "UAH"), (10.0, None)]
     assert values(spark, rows, "a double, c string", F.round(C.in_home_currency(F.col("a"), F.col("c"), F.lit(40.0)), 6)) == [400.0, 440.0, 10.0, 10.0]
     assert values(spark, [(1.0, 1.0), (0.0, 1.0), (1.0, None), (None, None)], "b double, l double", C.listing_type(F.col("b"), F.col("l"))) == ["mixed", "land", "real_estate", "general"]
+
+
+def test_prices_places_and_streets_in_text(spark):
+    assert values(spark, ["від 12 500,50 грн до 99", "50", None], "x string", C.price_in_text(F.col("x"))) == [12500.5, None, None]
+    p = C.place_and_date(F.col("x"))
+    assert [tuple(v) for v in values(spark, ["Київ - Центр - Сьогодні", "Львів"], "x string", F.struct(p["place"], p["date"]))] == [("Київ - Центр", "Сьогодні"), ("Львів", None)]
+    s = C.street_and_house(F.col("x"))
+    assert [tuple(v) for v in values(spark, ["вул. Незалежності, 12а", "вул. Нова"], "x string", F.struct(s["street"], s["house"]))] == [("вул. Незалежності", "12а"), ("вул. Нова", None)]

@@ -159,3 +159,9 @@ def test_a_stream_keeps_the_first_of_each_key_and_updates_state(spark, tmp_path)
     spark.createDataFrame([("2024-01-01 00:00:00", k) for k in (1, 1, 2, 3, 3)], "ts string, k int").withColumn("ts", F.to_timestamp("ts")).write.parquet(src)
     ev.run_available(ev.first_of_key(ev.read_stream(spark, src), ["k"], "ts"), lambda df, n: seen.extend(r.k for r in df.collect()), f"file://{tmp_path}/c")
     assert sorted(seen) == [1, 2, 3]
+
+
+def test_broken_rules_are_counted(spark):
+    df = spark.createDataFrame([(1, "a"), (-1, None), (None, "b")], "n int, s string")
+    out = groups.broken_rules(df, {"n positive": F.col("n") > 0, "s present": F.col("s").isNotNull()})
+    assert rows(out, "rule") == [("n positive", 2), ("s present", 1)]
