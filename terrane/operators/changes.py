@@ -49,6 +49,11 @@ def add_to_sets(df: DataFrame, additions: DataFrame, key: list[str], column: str
     return df.join(more, key, "left").withColumn(column, F.array_union(F.coalesce(column, F.col("more")), F.coalesce("more", F.col(column)))).drop("more")
 
 
+def add_counts(old: DataFrame, new: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Counters with what came since."""
+    return old.select(*key, count).unionByName(new.select(*key, count)).groupBy(*key).agg(F.sum(count).alias(count))
+
+
 def dimension(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct members of a dimension with a key made from their values, the same on every run."""
     return df.select(*columns).distinct().withColumn("id", F.xxhash64(*columns))

@@ -57,6 +57,19 @@ def tile_cells(spark, west: float, south: float, east: float, north: float, zoom
     return cells.select("x", "y", lon(F.col("x")).alias("west"), lat(F.col("y") + 1).alias("south"), lon(F.col("x") + 1).alias("east"), lat(F.col("y")).alias("north"))
 
 
+PARCELS = "features array<struct<geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<number string, area double, purpose string, ownership string>>>"
+
+
+def geojson_parcels(df: DataFrame, column: str) -> DataFrame:
+    """A row for every polygon of GeoJSON texts: its properties, outer ring (closed) and bounding box; others are left out."""
+    features = df.select(F.explode(F.from_json(column, PARCELS)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
+    outer = F.get(F.col("f.geometry.coordinates"), F.lit(0))
+    closed = F.when(outer[0] == F.element_at(outer, -1), outer).otherwise(F.concat(outer, F.slice(outer, 1, 1)))
+    rows = features.where(F.size(outer) > 2).select("f.properties.*", closed.alias("ring"))
+    xs, ys = F.transform("ring", lambda p: p[0]), F.transform("ring", lambda p: p[1])
+    return rows.withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
+
+
 def page_fields(html: Column) -> dict[str, Column]:
     """Title, language, number of links and visible text of a page, by patterns."""
     body = F.regexp_replace(html, "(?is)<(script|style)\\b.*?</\\1>", " ")
