@@ -47,8 +47,9 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    rows = [(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)]
-    c = c.unionByName(spark.createDataFrame(rows, c.schema))
+    turn = F.col("id")
+    tricky = spark.range(2).select(F.lit(-7).alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
+    c = c.unionByName(tricky)
     return chat_format.read_back(chat_format.segments(c))
 
 
