@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import piece_coding, simhash, source_mix, suffix_dedup, toxicity
+from terrane.llm import near_copies, piece_coding, source_mix, suffix_dedup, toxicity
 from terrane.llm.common import stored, table
 
 
@@ -17,8 +17,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (5-word shingles at similarity 0.8 or more) stays."""
+    return near_copies.one_of_each(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,9 +192,9 @@ def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest doc_id (then smallest text_key) stays."""
-    found = near_duplicates(docs).select("doc_id", "text_key", "component_id")
+def first_of_each(docs: DataFrame, components_of: DataFrame) -> DataFrame:
+    """The rows of docs that stay: of each component (doc_id, text_key, component_id) that of the smallest doc_id, then smallest text_key."""
+    found = components_of.select("doc_id", "text_key", "component_id")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # rows that name a component share its doc_id: one text of each (component, doc_id), however often it is repeated
     keep = first.groupBy("component_id").agg(F.min("text_key").alias("keep_key")).select(F.col("component_id").alias("keep_id"), "keep_key")
@@ -202,3 +202,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("key_sim") == F.col("keep_key"))
     rows = keyed.join(keep, on, "left_semi").dropDuplicates(["doc_id", "key_sim"])
     return rows.drop("key_sim")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without near-duplicates: of each component the row of the smallest doc_id (then smallest text_key) stays."""
+    return first_of_each(docs, near_duplicates(docs))
