@@ -15,6 +15,9 @@ batch, levels of equal size are merged, so there are log2(batches) levels. Entri
 a context that occurs twice is repeated as a whole; different contexts under one key are compared window by window, by
 64-bit hashes that are independent of the key's.
 
+``without_passages`` also removes repeats of a number of words, whatever their bytes: a text is then a string of 32-bit
+hashes of its words, which goes through the same arrays.
+
 Edge cases: a null text counts as empty; texts under LENGTH bytes lose nothing; repeated rows are documents of their
 own, so a row and its copy both lose what they share; overlapping repeats within one text count; an empty table gives no
 rows. Hashes stand in for bytes: two 64-bit hashes must agree for a match.
@@ -22,9 +25,9 @@ rows. Hashes stand in for bytes: two 64-bit hashes must agree for a match.
 
 from __future__ import annotations
 
-
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,14 @@ from pyspark.sql import functions as F
 from .common import forget, partitions, scratch, stored
 
 LENGTH, GRAM = 400, 100
+PASSAGE, PASSAGE_GRAM = 51, 12  # words
+WORD_BYTES = 4
 CHUNK = 1 << 20
 MOST_CONTEXTS = 20_000  # of one key, resolved in one task (48 MB of hashes); keys with more go through a shuffle on their windows
 SLICE = 500_000
+SPANS = "array<struct<from:int,to:int>>"
+SPOKEN = re.compile(rb"[^ \t-\r]+")
+Coding = Callable[[bytes], bytes]
 ENTRY = "key long, ctx long, doc_id long, text_key int, lo int, hi int"
 _rolls: dict[int, Rolling] = {}
 
@@ -110,12 +118,28 @@ def _raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
+def plain(raw: bytes) -> bytes:
+    return raw
+
+
+def word_codes(raw: bytes) -> bytes:
+    """WORD_BYTES bytes for each word, in place of the text's own bytes."""
+    return np.array([xxhash.xxh32_intdigest(w) for w in raw.split()], "<u4").tobytes()
+
+
+def word_spans(raw: bytes, spans: list[dict]) -> list[dict]:
+    """Spans of the text for spans of its word codes; each goes on to the next word. Words that are covered in part stay."""
+    starts = [m.start() for m in SPOKEN.finditer(raw)] + [len(raw)]
+    whole = ((-(-s["from"] // WORD_BYTES), s["to"] // WORD_BYTES) for s in spans)
+    return [{"from": starts[a] if a else 0, "to": starts[b]} for a, b in whole]
+
+
 def text_key(text: str = "text") -> Column:
     """Tells texts of one doc_id apart."""
     return F.hash(F.coalesce(F.col(text), F.lit("")))
 
 
-def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, coding: Coding = plain) -> DataFrame:
     """The sparse suffix entries of docs, unsorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +147,7 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                got = [(entries(_raw(t.as_py()), length, gram), i) for i, t in enumerate(part.column(2))]
+                got = [(entries(coding(_raw(t.as_py())), length, gram), i) for i, t in enumerate(part.column(2))]
                 got = [x for x in got if x[0]]
                 if not got:
                     continue
@@ -139,8 +163,8 @@ def suffix_array(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
 class SuffixFamily:
     """Suffix arrays of all batches so far, as bucketed tables of sizes 1, 2, 4, ... batches."""
 
-    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None) -> None:
-        self.spark, self.length, self.gram = spark, length, gram
+    def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, buckets: int | None = None, coding: Coding = plain) -> None:
+        self.spark, self.length, self.gram, self.coding = spark, length, gram, coding
         self.buckets = buckets or partitions(spark)
         self.levels: list[tuple[int, str, str]] = []  # size, table, path
         self.found: list[str] = []
@@ -158,7 +182,7 @@ class SuffixFamily:
             name, path = self._save(self.spark.table(b).unionByName(self.spark.table(a)))
             self._drop((a, at_a), (b, at_b))
             self.levels.append((n + m, name, path))
-        numbered = suffix_array(docs, self.length, self.gram).withColumn("entry", F.concat(F.lit(uuid.uuid4().hex[:6]), F.hex(F.monotonically_increasing_id())))
+        numbered = suffix_array(docs, self.length, self.gram, self.coding).withColumn("entry", F.concat(F.lit(uuid.uuid4().hex[:6]), F.hex(F.monotonically_increasing_id())))
         name, path = self._save(numbered)
         new = self.spark.table(name)
         hits = [new.join(new.groupBy("key").count().where("count > 1"), "key", "left_semi")]
@@ -199,13 +223,13 @@ def _packed(docs: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, text_key int, packed binary")
 
 
-def _contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+def _contexts(wanted: DataFrame, docs: DataFrame, length: int, coding: Coding = plain) -> DataFrame:
     """wanted (key, ctx, n_same, n_ctx, doc_id, text_key, lo, hi) with body, the bytes of each context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
-            raw = [z.decompress(p.as_py()) for p in b.column(0)]
+            raw = [coding(z.decompress(p.as_py())) for p in b.column(0)]
             rows = [(k, c, n, m, raw[i][lo : hi + length]) for i, spans in enumerate(b.column(1).to_pylist()) for k, c, n, m, lo, hi in (s.values() for s in spans)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -288,10 +312,10 @@ def _by_windows(bodies: DataFrame, length: int) -> DataFrame:
     return windows.join(repeated, ["a", "b"], "left_semi").select("key", "ctx", "from", (F.col("from") + 1).alias("to"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4) -> DataFrame:
-    """doc_id, text_key, spans: [from, to) in bytes of what is repeated, possibly overlapping, for texts that have any."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = 4, coding: Coding = plain) -> DataFrame:
+    """doc_id, text_key, spans: [from, to) in (coded) bytes of what is repeated, possibly overlapping, for texts that have any."""
     spark = docs.sparkSession
-    family = SuffixFamily(spark, length, gram)
+    family = SuffixFamily(spark, length, gram, coding=coding)
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches))
     for k in range(batches):
         family.add(docs.where(dealt == k) if batches > 1 else docs)
@@ -302,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     many = ctxs.groupBy("key").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1")
     wanted = ctxs.where("n_same = 1").join(many.select("key"), "key", "left_semi").select("key").distinct()
     wanted = ctxs.join(wanted, "key", "left_semi").join(many, "key").select("key", "ctx", "n_same", "n_ctx", "one.*")
-    bodies = stored(_contexts(wanted, docs, length), "contexts")
+    bodies = stored(_contexts(wanted, docs, length, coding), "contexts")
     parts = _within_keys(bodies.where(F.col("n_ctx") <= MOST_CONTEXTS), length)
     parts = parts.unionByName(_by_windows(bodies.where(F.col("n_ctx") > MOST_CONTEXTS), length))
     some = parts.groupBy("key", "ctx").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
@@ -355,7 +379,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
 
     A character of which some bytes went is dropped whole. Rows that had a text and lose all of it are dropped.
     """
-    spans = repeated_spans(docs, length, gram, batches).select(F.col("doc_id").alias("id_suf"), F.col("text_key").alias("key_suf"), F.col("spans").alias("spans_suf"))
+    spans = repeated_spans(docs, length, gram, batches)
+    return _without(docs, spans.withColumn("word_spans", F.lit(None).cast(SPANS)))
+
+
+def without_passages(docs: DataFrame, passage: int = PASSAGE, length: int = LENGTH, batches: int = 4) -> DataFrame:
+    """``without_repeats``, and repeats of passage words go too: words are split at space and tab to carriage return."""
+    by_words = repeated_spans(docs, passage * WORD_BYTES, PASSAGE_GRAM * WORD_BYTES, batches, word_codes)
+    by_bytes = repeated_spans(docs, length, batches=batches)
+    none = F.lit(None).cast(SPANS)
+    both = by_bytes.withColumn("word_spans", none).unionByName(by_words.select("doc_id", "text_key", none.alias("spans"), F.col("spans").alias("word_spans")))
+    return _without(docs, both.groupBy("doc_id", "text_key").agg(F.first("spans", True).alias("spans"), F.first("word_spans", True).alias("word_spans")))
+
+
+def _without(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs without spans (of bytes) and word_spans (of word codes), either of which may be null."""
+    spans = spans.select(F.col("doc_id").alias("id_suf"), F.col("text_key").alias("key_suf"), F.col("spans").alias("spans_suf"), F.col("word_spans").alias("words_suf"))
     on = docs["doc_id"].cast("long").eqNullSafe(spans["id_suf"]) & (text_key() == spans["key_suf"])
     rows = docs.join(spans, on, "left").drop("id_suf", "key_suf")
     names = docs.columns
@@ -365,9 +404,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                pairs = zip(part.column(at).to_pylist(), part.column(n).to_pylist(), strict=True)
-                texts = [cut(_raw(t), s)[0].decode("utf-8", "ignore") if s else t for t, s in pairs]
-                gone = [bool(s) and not t for t, s in zip(texts, part.column(n).to_pylist(), strict=True)]
+                rows = list(zip(*(part.column(i).to_pylist() for i in (at, n, n + 1)), strict=True))
+                cuts = [[*(s or []), *(word_spans(_raw(t), w) if w else [])] for t, s, w in rows]
+                texts = [cut(_raw(t), s)[0].decode("utf-8", "ignore") if s else t for (t, _, _), s in zip(rows, cuts, strict=True)]
+                gone = [bool(s) and not t for t, s in zip(texts, cuts, strict=True)]
                 cols = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array([not g for g in gone]))
 
