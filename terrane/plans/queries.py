@@ -562,6 +562,12 @@ def n1_components(spark, d):
     return components(li.select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
 
 
+@query()
+def n1_components_all(spark, d):
+    """All part-supplier edges; n1_components and its SQL read those of quantity 50 and of every fifth part."""
+    return components(table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
+
+
 @query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def r11_tumbling(spark, d):
     out = ev.windows(table(spark, d, "events"), "ts", "1 day", None, ["event_type"], {"n": F.count("*"), "total": F.round(F.sum("value"), 4)})
