@@ -218,7 +218,7 @@ def a5_extract_avg(spark, d):
 
 def _extract(how: str):
     def run(spark, d):
-        out = groups.by_metric(typed(spark, d), F.col("l_extendedprice"), how, [F.coalesce("p_type", F.lit("")).alias("p_type")], True, 100)
+        out = groups.by_metric(typed(spark, d), F.col("l_extendedprice"), how, [F.coalesce("p_type", F.lit("")).alias("p_type")], True)
         return out.withColumn("value", F.round(F.col("value").cast("double"), 2))
 
     return run

@@ -1,5 +1,7 @@
 """Queries over all rows of their tables, on small fixtures."""
 
+from pyspark.sql import functions as F
+
 from terrane.plans.queries import QUERIES
 
 
@@ -19,3 +21,13 @@ def test_components_of_all_edges_equal_union_find(spark, tmp_path):
         root[max(a, b)] = min(a, b)
     got = {(r.node, r.root) for r in QUERIES["n1_components_all"](spark, d).collect()}
     assert got == {(x, find(x)) for x in list(root)}
+
+
+def test_extract_keeps_every_group(spark, tmp_path):
+    d = f"file://{tmp_path}"
+    n = spark.range(150)
+    n.select(F.col("id").alias("p_partkey"), F.format_string("t%d", "id").alias("p_type"), F.lit("b").alias("p_brand")).write.parquet(f"{d}/part.parquet")
+    line = n.select(F.col("id").alias("l_partkey"), (F.col("id") + 1.0).alias("l_extendedprice"), F.lit(1.0).alias("l_quantity"), F.lit("N").alias("l_returnflag"))
+    line.write.parquet(f"{d}/lineitem.parquet")
+    for how in ("sum", "min", "max", "count"):
+        assert QUERIES[f"a5_extract_{how}"](spark, d).count() == 150
