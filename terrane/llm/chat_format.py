@@ -1,24 +1,25 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn becomes an example of its own: all turns before it are the context and only its reply is under the
-loss mask. Written out in full the examples of a conversation grow with the square of its turns, so the formatted
-conversation is kept once, as one segment per turn, and an example is a prefix of the segments: where its context ends
-and where its trainable characters begin and end. ``render`` writes examples out in full where that is wanted.
+Every assistant turn becomes an example of its own: the text of all turns before it is the context, its own text follows
+and is all that the loss mask touches. What comes after the last reply, and a conversation without any reply, makes one
+more record, a remainder, with an empty mask. Records are written out in full, so their size grows with the square of a
+conversation's turns: that is the format.
 
 Template: ``### role: text</turn>`` and a line feed. Inside a text ``\\`` becomes ``\\b``, ``###`` becomes ``\\h`` and
 ``</turn>`` becomes ``\\t``, so neither control string can occur there and the escape can be undone; in a role ``:``
 also becomes ``\\c``.
 
 Edge cases: a null text or role counts as empty; rows are ordered by turn (nulls first), rows of the same turn by role
-and text; a null conv_id is a conversation like any other; a conversation without an assistant turn has no example but
-one remainder; an empty table gives no rows.
+and text, repeated rows are turns of their own; a null conv_id is a conversation like any other; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import stored
 
 HEAD, TAIL = "### ", "</turn>\n"
 
@@ -36,83 +37,77 @@ def unescape(c: Column) -> Column:
     return _swap(_swap(_swap(c, "\\t", "</turn>"), "\\h", "###"), "\\b", "\\")
 
 
-def segments(conversations: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, pos (from 0), formatted, trainable, first (characters before it), n_chars, body_first."""
+def turn_lists(conversations: DataFrame) -> DataFrame:
+    """conv_id, turns: the formatted turns in order, each with the characters of its head and whether it is a reply."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    head = F.concat(F.lit(HEAD), _swap(escape(role), ":", "\\c"), F.lit(": "))
-    df = conversations.select("conv_id", "turn", "role", "text", (role == "assistant").alias("trainable"), F.char_length(head).alias("n_head"), F.concat(head, escape(text), F.lit(TAIL)).alias("formatted"))
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    df = df.withColumn("n_chars", F.char_length("formatted").cast("long"))
-    return df.select(
-        "conv_id",
-        (F.row_number().over(w) - 1).cast("long").alias("pos"),
-        "formatted",
-        "trainable",
-        (F.sum("n_chars").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_chars")).alias("first"),
-        "n_chars",
-        "n_head",
+    rows = conversations.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("row"))
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    head = lambda r: F.concat(F.lit(HEAD), _swap(escape(r["role"]), ":", "\\c"), F.lit(": "))
+    turn = lambda r: F.struct(
+        F.concat(head(r), escape(r["text"]), F.lit(TAIL)).alias("formatted"),
+        F.char_length(head(r)).alias("head"),
+        (r["role"] == "assistant").alias("reply"),
     )
+    return lists.select("conv_id", F.transform("rows", turn).alias("turns"))
 
 
-def example() -> Column:
-    """The example that a trainable segment makes: its segments are those up to target, its loss mask [loss_from, loss_to).
+def examples(conversations: DataFrame) -> DataFrame:
+    """One row per assistant turn, and per remainder: conv_id, target, n_turns, text, loss_from, loss_to.
 
-    reply is the target's own segment, the only one that the mask touches.
+    target is the place (from 0) of the last turn in text; the mask is [loss_from, loss_to) in characters of text.
     """
-    return F.struct(
-        F.col("pos").alias("target"),
-        F.col("first").alias("context_chars"),
-        (F.col("first") + F.col("n_chars")).alias("n_chars"),
-        (F.col("first") + F.col("n_head")).alias("loss_from"),
-        (F.col("first") + F.col("n_chars") - len(TAIL)).alias("loss_to"),
-        F.col("formatted").alias("reply"),
+    lists = turn_lists(conversations)
+    n = F.size("turns")
+    targets = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.col("turns")[i]["reply"] | (i == n - 1))
+    exploded = lists.select("conv_id", n.alias("n_turns"), "turns", F.explode(targets).alias("target"))
+    own = exploded.select(
+        "conv_id",
+        "target",
+        "n_turns",
+        F.array_join(F.slice("turns.formatted", F.lit(1), F.col("target")), "").alias("context"),
+        F.col("turns")[F.col("target")].alias("own"),
+    )
+    text = F.concat("context", "own.formatted")
+    end = F.char_length(text)
+    return own.select(
+        "conv_id",
+        "target",
+        "n_turns",
+        text.alias("text"),
+        F.when(F.col("own.reply"), F.char_length("context") + F.col("own.head")).otherwise(end).alias("loss_from"),
+        F.when(F.col("own.reply"), end - len(TAIL)).otherwise(end).alias("loss_to"),
     )
 
 
-def examples(segs: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id and the fields of its example."""
-    return segs.where("trainable").select("conv_id", example().alias("example")).select("conv_id", "example.*")
+def written(conversations: DataFrame) -> DataFrame:
+    """The examples as files in the shared folder, read again."""
+    return stored(examples(conversations), "chat-examples")
 
 
-def render(segs: DataFrame, exs: DataFrame) -> DataFrame:
-    """Examples with their whole text. The output grows with the square of a conversation's turns: that is the format."""
-    w = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    text = segs.select("conv_id", F.col("pos").alias("target"), F.array_join(F.collect_list("formatted").over(w), "").alias("text"))
-    key = (exs["conv_id"].eqNullSafe(text["conv_id"])) & (exs["target"] == text["target"])
-    return exs.join(text, key).select(exs["*"], text["text"])
+def parsed_turns(text: Column) -> Column:
+    """(role, text) of every turn of a formatted text, unescaped."""
 
+    def turn(piece: Column) -> Column:
+        inner = F.substr(piece, F.lit(len(HEAD) + 1))
+        cut = F.locate(": ", inner)
+        return F.struct(unescape(_swap(F.substr(inner, F.lit(1), cut - 1), "\\c", ":")).alias("role"), unescape(F.substr(inner, cut + 2)).alias("text"))
 
-def read_back(segs: DataFrame) -> DataFrame:
-    """Per conversation, parsed from the formatted segments (turns) and from the examples with their masks (loss).
+    pieces = F.split(text, TAIL)  # the text ends with TAIL, so what follows the last one is empty
+    return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
-    A segment and its example are read in one pass. A conversation's turns are joined into one value because its digest
-    is one hash over all of them.
-    """
-    inner = F.expr(f"substring(formatted, {len(HEAD) + 1}, length(formatted) - {len(HEAD) + len(TAIL)})")
-    split = segs.withColumn("inner", inner).withColumns({"cut": F.locate(": ", F.col("inner")), "example": F.when(F.col("trainable"), example())})
-    role = unescape(_swap(F.expr("substring(inner, 1, cut - 1)"), "\\c", ":"))
-    masked = F.expr("substring(example.reply, example.loss_from - example.context_chars + 1, example.loss_to - example.loss_from)")
-    parsed = split.select(
-        "conv_id",
-        "pos",
-        F.concat(role, F.lit("\n"), unescape(F.expr("substring(inner, cut + 2)")), F.lit("\n")).alias("turn_text"),
-        unescape(masked).alias("loss_text"),
-        F.col("example.n_chars").alias("example_chars"),
-        (F.col("first") + F.col("n_chars")).alias("upto"),
-    )
-    per = parsed.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "turn_text", "loss_text"))).alias("rows"),
-        F.count("*").alias("n_turns"),
-        F.coalesce(F.sum("example_chars"), F.lit(0)).alias("example_chars"),
-        F.coalesce(F.max("example_chars"), F.lit(0)).alias("longest"),
-        F.max("upto").alias("total"),
-    )
-    loss = F.array_join("rows.loss_text", "")
-    return per.select(
-        "conv_id",
-        "n_turns",
-        F.sha2(F.array_join("rows.turn_text", "").cast("binary"), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
-        (F.col("example_chars") + F.when(F.col("total") > F.col("longest"), F.col("total")).otherwise(0)).alias("formatted_chars"),
+
+def digests(records: DataFrame) -> DataFrame:
+    """Per conversation, from its records: the turns of the record that holds them all, and the text under all masks."""
+    turns = F.when(F.col("target") == F.col("n_turns") - 1, parsed_turns(F.col("text")))
+    masked = unescape(F.substr("text", F.col("loss_from") + 1, F.col("loss_to") - F.col("loss_from")))
+    read = records.select("conv_id", "target", turns.alias("turns"), masked.alias("loss"), F.char_length("text").cast("long").alias("n_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = read.select("conv_id", "target", "loss", "n_chars", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("digest"))
+    per = read.groupBy("conv_id").agg(
+        F.max("n_turns").alias("n_turns"),
+        F.max("digest").alias("turns_sha256"),
+        F.array_sort(F.collect_list(F.struct("target", "loss"))).alias("losses"),
+        F.sum("n_chars").alias("formatted_chars"),
     )
+    loss = F.array_join("losses.loss", "")
+    return per.select("conv_id", "n_turns", "turns_sha256", F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")

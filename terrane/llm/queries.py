@@ -50,7 +50,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("id")
     tricky = spark.range(2).select(F.lit(-7).alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
     c = c.unionByName(tricky)
-    return chat_format.read_back(chat_format.segments(c))
+    return chat_format.digests(chat_format.written(c))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
