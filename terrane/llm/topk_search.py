@@ -1,12 +1,14 @@
 """Exact top-k inner products by aggregation over sorted lists without random access.
 
 Components are turned into integers. Within a block of candidates each dimension has a list sorted by component. For a
-query the lists are read from their better end, all down to the same contribution ``level``; level goes down in rounds.
-A candidate's sum over the lists where it was met, plus ``level`` for each list where it was not, is an upper bound of
-its score. The scores of the leaders of a round give a lower bound of the k-th best. Reading stops when few candidates
-can still reach it - all others, unmet ones included, cannot qualify - and the scores of those few are resolved.
+query the lists are read from their better end and only onwards, all down to the same contribution; that level goes down
+in rounds. Each candidate has two bounds: what was read of it, plus for each list where it was not met yet the worst
+contribution that any list holds (lower), or the level (upper). Reading in full stops when no more than a few candidates
+have an upper bound that reaches the k-th best lower bound: all others, those never met included, cannot qualify. The
+lists are then read to their ends for those few alone, which resolves their scores. No candidate is ever looked up.
 
-Edge cases: see ``vectors.usable``; a query without other rows has no result; fewer than k candidates are all returned.
+Edge cases: see ``vectors.usable``; a query without other rows has no result; fewer than k candidates are all returned;
+vectors of unequal length are padded with zeros; a query of zeros scores 0 everywhere, so the smallest ids win.
 """
 
 from __future__ import annotations
@@ -17,61 +19,63 @@ from pyspark.sql import functions as F
 
 from .vectors import search_in_blocks, usable
 
-FEW = 8  # reading stops when at most 1/FEW of a block is left
-LEADERS = 64
+FEW = 16  # reading in full stops when at most 1/FEW of a block can still qualify
+DEPTHS = (0.4, 0.55, 0.7, 0.85, 1.0)  # levels of the rounds, from the best contribution (0) to the worst (1)
 
 
 class SortedLists:
+    """A list for each dimension: candidates (numbers within the block) by component."""
+
     def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows
+        self.n = len(rows)
         order = np.argsort(rows.T, axis=1, kind="stable")
         self.order = order.astype(np.int32)
         self.values = np.take_along_axis(rows.T, order, axis=1)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and scores of the k best rows other than own; ties to the smaller number."""
-        n, dims = len(self.rows), np.flatnonzero(query)
-        total = np.zeros(n)
-        met = np.zeros(n)
+        """Numbers and scores of the k best candidates other than own; ties to the smaller number."""
+        n, dims = self.n, np.flatnonzero(query)
         weight = query[dims]
-        better = np.where(weight > 0, self.values[dims, -1], self.values[dims, 0]) * weight
-        done = np.where(weight > 0, n, 0)  # from where on, or up to where, a list has been read
-        level = float(better.max(initial=0)) / 4
-        while True:
-            level = level / 2 if level > 1 else 0.0
-            ids, parts = [], []
-            for i, (d, w) in enumerate(zip(dims.tolist(), weight.tolist(), strict=True)):
-                values = self.values[d]
-                if w > 0:
-                    at = min(int(np.searchsorted(values, level / w, "left")), int(done[i]))
-                    lo, hi = at, int(done[i])
-                else:
-                    at = max(int(np.searchsorted(values, level / w, "right")), int(done[i]))
-                    lo, hi = int(done[i]), at
-                done[i] = at
-                if hi > lo:
-                    ids.append(self.order[d, lo:hi])
-                    parts.append(values[lo:hi] * w)
-            if ids:
-                ids = np.concatenate(ids)
-                total += np.bincount(ids, np.concatenate(parts), n)
-                met += np.bincount(ids, minlength=n)
-            upper = total + (len(dims) - met) * level
-            if own >= 0:
-                upper[own] = -np.inf
-            lead = np.argpartition(-upper, min(LEADERS, n - 1))[:LEADERS] if n > LEADERS else np.arange(n)
-            lead = lead[lead != own]
-            if not len(lead):
-                return lead, lead
-            scores = np.sort(self.rows[lead] @ query)[::-1]
-            bound = scores[k - 1] if len(scores) >= k else -np.inf
-            left = np.flatnonzero(upper >= bound)
-            left = left[left != own]
-            if len(left) * FEW <= n or level == 0:
-                break
-        exact = self.rows[left] @ query
-        best = np.lexsort((left, -exact))[:k]
-        return left[best], exact[best]
+        ends = np.stack([self.values[dims, 0] * weight, self.values[dims, -1] * weight])
+        best, worst = float(ends.max(initial=0)), float(ends.min(initial=0))
+        unread = [(0, n)] * len(dims)
+        seen, met = np.zeros(n), np.zeros(n)
+        others = np.ones(n, bool)
+        if own >= 0:
+            others[own] = False
+        alive = others
+        for depth in DEPTHS if len(dims) else ():
+            level = best - depth * (best - worst)
+            ids, parts = self._read(dims, weight, unread, level if depth < 1 else -np.inf)
+            if alive is not others:  # only these few are wanted from here on
+                wanted = alive[ids]
+                ids, parts = ids[wanted], parts[wanted]
+            seen += np.bincount(ids, parts, n)
+            met += np.bincount(ids, minlength=n)
+            missing = len(dims) - met
+            lower = np.where(alive, seen + missing * worst, -np.inf)
+            bound = np.partition(lower, n - k)[n - k] if n > k else -np.inf
+            can = alive & (seen + missing * level >= bound)
+            if alive is not others or can.sum() * FEW <= n:
+                alive = can
+        left = np.flatnonzero(alive)
+        best_ = np.lexsort((left, -seen[left]))[:k]
+        return left[best_], seen[left[best_]]
+
+    def _read(self, dims: np.ndarray, weight: np.ndarray, unread: list[tuple[int, int]], level: float) -> tuple[np.ndarray, np.ndarray]:
+        """What the lists hold from where each was left down to level: candidates and contributions."""
+        ids, parts = [], []
+        for i, (d, w) in enumerate(zip(dims.tolist(), weight.tolist(), strict=True)):
+            values, (lo, hi) = self.values[d], unread[i]
+            if w > 0:
+                at = min(hi, max(lo, int(np.searchsorted(values, level / w, "left"))))
+                got, unread[i] = (at, hi), (lo, at)
+            else:
+                at = max(lo, min(hi, int(np.searchsorted(values, level / w, "right"))))
+                got, unread[i] = (lo, at), (at, hi)
+            ids.append(self.order[d, got[0] : got[1]])
+            parts.append(values[got[0] : got[1]] * w)
+        return np.concatenate(ids), np.concatenate(parts)
 
 
 def integers(v):
