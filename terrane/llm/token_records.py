@@ -10,7 +10,8 @@ The checksum is CRC-32 (zlib), masked by a rotation and a constant so that a che
 stays sound.
 
 Edge cases: a null text is an empty document (the end id only); a null doc_id sorts first and is read back as null;
-rows that share a doc_id stay separate records, ordered by a hash of their text; an empty table gives no records.
+rows that share a doc_id stay separate records, ordered by a hash of their text; an empty table gives no records; a
+control string inside a text (``<|endoftext|>``) becomes its one id, as in the library's plain call.
 """
 
 from __future__ import annotations
@@ -56,13 +57,21 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.control = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as bytes. A text that holds a control string of the vocabulary goes through the library whole."""
+        odd = {i: t for i, t in enumerate(texts) if t and any(c in t for c in self.control)}
+        out = self._split([None if i in odd else t for i, t in enumerate(texts)])
+        for i, t in odd.items():
+            out[i] = self._one_by_one([t])[t]
+        return out
+
+    def _split(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
         split = [self.find(t) if t else [] for t in texts]
         new = set(chain.from_iterable(split)).difference(memo)
