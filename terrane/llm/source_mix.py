@@ -23,6 +23,7 @@ from .common import partitions, stored
 SPLIT_MEAN = 32.0
 BROADCAST_ROWS = 20_000
 TERMS = 120  # P(X > 120 | mean 32) is far below 2 ** -53
+LARGEST = 1 - 2.0**-52  # the largest number that ``uniform`` gives
 
 
 def uniform(*parts: Column) -> Column:
@@ -48,28 +49,36 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     return sizes.select("src_mix", "size_mix", (F.col("share_mix") * F.lit(scale) / F.col("size_mix")).alias("mean_mix"))
 
 
-def poisson_count(u: Column, mean: Column) -> Column:
-    """The number of k with cdf(k) <= u: the inverse of the distribution, for a mean up to SPLIT_MEAN."""
+def thresholds(mean: Column) -> Column:
+    """cdf(0), cdf(1), ... of the Poisson distribution with a mean up to SPLIT_MEAN, as far as a draw can reach."""
     step = lambda a, k: F.struct(
         (a["p"] * mean / k).alias("p"),
         (a["c"] + a["p"] * mean / k).alias("c"),
-        (a["n"] + F.when(a["c"] <= u, 1).otherwise(0)).alias("n"),
+        F.array_append(a["all"], a["c"]).alias("all"),
     )
-    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda a: a["n"])
+    first = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("c"), F.array().cast("array<double>").alias("all"))
+    return F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), first, step, lambda a: a["all"]), lambda c: c <= LARGEST)
+
+
+def poisson_count(u: Column, cdf: Column) -> Column:
+    """The number of k with cdf(k) <= u: the inverse of the distribution."""
+    return F.size(F.filter(cdf, lambda c: c <= u))
 
 
 def with_counts(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     """docs with n_mix, the copies of each row, and text_mix, a digest of its text."""
+    mean = F.col("mean_mix")
+    draws = F.greatest(F.ceil(mean / SPLIT_MEAN), F.lit(1)).cast("int")
+    rates = rates.withColumn("draws_mix", draws).withColumn("cdf_mix", thresholds(mean / F.col("draws_mix")))
+    rates = stored(rates.select("src_mix", "draws_mix", "cdf_mix"), "source-rates")
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
     keyed = docs.withColumn("src_mix", F.coalesce("source", F.lit(""))).withColumn("text_mix", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    mean = F.coalesce("mean_mix", F.lit(0.0))
-    draws = F.greatest(F.ceil(mean / SPLIT_MEAN), F.lit(1)).cast("int")
     ident = [F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("src_mix"), F.col("text_mix")]
-    one = lambda i: poisson_count(uniform(*ident, i.cast("string")), mean / draws)
-    several = F.aggregate(F.sequence(F.lit(0), draws - 1), F.lit(0), lambda a, i: a + one(i))
-    return keyed.join(rates.select("src_mix", "mean_mix"), "src_mix", "left").withColumn("n_mix", several).drop("src_mix", "mean_mix")
+    one = lambda i: poisson_count(uniform(*ident, i.cast("string")), F.col("cdf_mix"))
+    several = F.aggregate(F.sequence(F.lit(0), F.col("draws_mix") - 1), F.lit(0), lambda a, i: a + one(i))
+    several = F.coalesce(several, F.lit(0))
+    return keyed.join(rates, "src_mix", "left").withColumn("n_mix", several).drop("src_mix", "draws_mix", "cdf_mix")
 
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, budget: float | None = None, seed: int = 17) -> DataFrame:

@@ -22,12 +22,12 @@ def docs(spark, texts, source="s"):
 def test_records_round_trip_in_order(spark):
     from tokenizers import Tokenizer
 
-    texts = ["b a", None, "", "the the é 日本 🙂\n\n x", "<|endoftext|> it's", "w" * 20_000, "the the", "b a"]
+    texts = ["b a", None, "", "the the é 日本 🙂\n\n x", "<|endoftext|> it's", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>\n <|endof", "w" * 20_000, "the the", "b a"]
     path = P.path("byte_bpe_50k.json")
     df = docs(spark, texts).orderBy(F.desc("doc_id")).repartition(3)
     got = sorted(token_records.token_records(df, path).collect())
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    assert 50256 in tok.encode("a <|endoftext|> b", add_special_tokens=False).ids
     start = 0
     assert len(got) == len(texts)
     for r, t in zip(got, texts, strict=True):
@@ -60,20 +60,28 @@ def test_chat_examples_and_digests(spark):
         (2, 0, "user", ""), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (None, None, None, "x: y"), (4, 0, "as: ###", "é\n"),
     ]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    segs = chat_format.segments(df)
-    got = {r.conv_id: r for r in chat_format.read_back(segs).collect()}
+    written = chat_format.written(df.withColumns({"target": F.lit(1), "n_turns": F.lit("x"), "context": F.lit(None)}))
+    got = {r.conv_id: r for r in chat_format.digests(written).collect()}
     for conv in (1, 2, 3, 4, None):
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
         text = "".join(f"{r or ''}\n{x or ''}\n" for _, _, r, x in own)
         loss = "".join(x or "" for _, _, r, x in own if r == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-        assert r.formatted_chars >= len(text)
-    examples = chat_format.render(segs, chat_format.examples(segs)).where("conv_id = 1").orderBy("target").collect()
-    assert [len(e.text) == e.n_chars for e in examples] == [True, True]
-    assert examples[1].text.startswith(examples[0].text)
-    assert examples[0].text[examples[0].loss_from : examples[0].loss_to] == tricky.replace("\\", "\\b").replace("###", "\\h").replace("</turn>", "\\t")
-    assert chat_format.read_back(chat_format.segments(df.limit(0))).count() == 0
+        records = written.where(F.col("conv_id").eqNullSafe(F.lit(conv))).orderBy("target").collect()
+        assert [e.target for e in records] == [i for i, t in enumerate(own) if t[2] == "assistant" or i == len(own) - 1]
+        for e in records:  # each record holds its whole context, its own turn, and a mask over its reply alone
+            parts = [template(r or "", x or "") for _, _, r, x in own[: e.target + 1]]
+            assert e.text == "".join(parts)
+            reply = template("", own[e.target][3] or "")[len("### : ") : -len("</turn>\n")] if own[e.target][2] == "assistant" else ""
+            assert e.text[e.loss_from : e.loss_to] == reply and (e.loss_to == len(e.text) - len("</turn>\n") or not reply)
+        assert r.formatted_chars == sum(len(e.text) for e in records)
+    assert chat_format.written(df.limit(0)).count() == 0 and chat_format.digests(chat_format.written(df.limit(0))).count() == 0
+
+
+def template(role, text):
+    swap = lambda s: s.replace("\\", "\\b").replace("###", "\\h").replace("</turn>", "\\t")
+    return f"### {swap(role).replace(':', chr(92) + 'c')}: {swap(text)}</turn>\n"
 
 
 def test_poisson_counts_invert_the_distribution(spark):
@@ -81,7 +89,7 @@ def test_poisson_counts_invert_the_distribution(spark):
 
     for mean in (0.0, 0.3, 2.0, 31.0):
         us = [0.0, 0.1, 0.5, 0.9, 0.999999]
-        df = spark.createDataFrame([(u,) for u in us], "u double").select(source_mix.poisson_count(F.col("u"), F.lit(mean)).alias("n"))
+        df = spark.createDataFrame([(u,) for u in us], "u double").select(source_mix.poisson_count(F.col("u"), source_mix.thresholds(F.lit(mean))).alias("n"))
         for u, r in zip(us, df.collect(), strict=True):
             k, p, c = 0, math.exp(-mean), math.exp(-mean)
             while c <= u:
