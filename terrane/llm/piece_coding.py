@@ -8,9 +8,11 @@ encoding of its own. So each prefix of a text is reached by exactly one piece th
 the survivors are the back-pointer paths of the last positions. Once they all pass one boundary, the ids before it are
 committed and forgotten.
 
-No piece of the model spans certain pairs of characters (anything before a space mark, a line feed, a letter beside a
-sign). All paths pass such places, so the text between them is searched once and its ids are kept, up to MEMO_ENTRIES.
-Which of these hold is read off the model's pieces; where they don't, longer segments are searched.
+Every text goes through a ``Stream`` in parts. No piece of the model spans certain pairs of characters (anything before
+a space mark, a line feed, a letter beside a sign), so all paths converge there: the stream commits at each such place,
+and what the search found between two of them is kept as one step for the next time, up to MEMO_ENTRIES. Which of these
+places hold is read off the model's pieces. Where none comes, the lattice finds the convergence itself, and the stream
+retains a few times the longest piece at most.
 
 Edge cases: a null or empty text has no ids; characters that the model lacks become byte pieces; decoding drops the
 space that encoding put in front; bytes that are no UTF-8 decode to U+FFFD; the mark U+2581 itself decodes to a space.
@@ -29,59 +31,61 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 MEMO_ENTRIES = 500_000
-SHORT = 64
+PART = 1 << 15  # characters that a stream takes at a time
+SHORT = 64  # of a step that is kept, and of text that waits for its end before the lattice takes it
 _coders: dict[str, PieceCoder] = {}
 
 
-class Stream:
-    """Ids of a text that comes in parts."""
+class Lattice:
+    """The search over text that comes in parts, between two places that all paths pass."""
 
     def __init__(self, coder: PieceCoder) -> None:
-        self.coder, self.out = coder, []
+        self.coder = coder
         self.text, self.last, self.at = "", [""], 0  # text since the last commit; the piece that ends at each position
 
     def feed(self, part: str, final: bool = False) -> list[int]:
         """Take more text and return the ids that are certain by now."""
         c = self.coder
-        self.text += part
-        text, end = self.text, len(self.text)
-        self.last += [None] * (end + 1 - len(self.last))
-        done: list[int] = []
-        while self.at < end and (final or end - self.at >= c.longest):
-            self._step(text, end)
-            if self.at >= 4 * c.longest and self.at % c.longest == 0:
-                cut = self._meeting()
-                if cut:
-                    done += self._ids(cut)
-                    text, end = text[cut:], end - cut
-                    self.text, self.last, self.at = text, [self.last[cut], *self.last[cut + 1 :]], self.at - cut
+        heads, scores, agreed, longest = c.heads, c.scores, c.agreed, c.longest
+        text = self.text = self.text + part
+        last, at, end, done = self.last, self.at, len(text), []
+        last += [None] * (end + 1 - len(last))
+        stop = end if final else end - longest + 1  # later positions may still be the start of an unseen piece
+        while at < stop:
+            a = last[at]
+            if a is not None:
+                for k in range(at + 1, min(end, at + longest) + 1):
+                    p = text[at:k]
+                    if p in scores or k == at + 1:
+                        if last[k] is None and (agreed.get((a, p)) or c.agree(a, p)):
+                            last[k] = p
+                        if p not in heads:
+                            break
+                    elif p not in heads:
+                        break
+                if final and last[end] is not None:
+                    break
+            at += 1
+            if at >= 4 * longest and at % longest == 0 and (cut := self._meeting(at)):
+                done += self._ids(cut)
+                text = self.text = text[cut:]
+                last = self.last = last[cut:]
+                at, end, stop = at - cut, end - cut, stop - cut
+        self.at = at
         if final:
             done += self._ids(end)
             self.text, self.last, self.at = "", [""], 0
         return done
 
-    def _step(self, text: str, end: int) -> None:
-        j, c, last = self.at, self.coder, self.last
-        self.at += 1
-        before = last[j]
-        if before is None:
-            return
-        for k in range(j + 1, min(end, j + c.longest) + 1):
-            p = text[j:k]
-            known = p in c.heads
-            if (p in c.scores or k == j + 1) and last[k] is None and c.agree(before, p):
-                last[k] = p
-            if not known:
-                return
-
-    def _meeting(self) -> int:
+    def _meeting(self, at: int) -> int:
         """The boundary that the paths of all positions still open have in common; 0 if they have none."""
-        at = {j for j in range(max(0, self.at - self.coder.longest), min(len(self.last), self.at + self.coder.longest + 1)) if self.last[j] is not None}
-        while len(at) > 1:
-            j = max(at)
-            at.remove(j)
-            at.add(max(0, j - len(self.last[j])))
-        return at.pop()
+        longest = self.coder.longest
+        open_ = {j for j in range(max(0, at - longest), min(len(self.last), at + longest + 1)) if self.last[j] is not None}
+        while len(open_) > 1:
+            j = max(open_)
+            open_.remove(j)
+            open_.add(max(0, j - len(self.last[j])))
+        return open_.pop()
 
     def _ids(self, end: int) -> list[int]:
         pieces = []
@@ -91,6 +95,37 @@ class Stream:
         return [i for p in reversed(pieces) for i in self.coder.ids_of(p)]
 
 
+class Stream:
+    """Ids, as little-endian 32-bit integers, of a text that comes in parts."""
+
+    def __init__(self, coder: PieceCoder) -> None:
+        self.coder = coder
+        self.rest, self.lattice = MARK, None  # what is not yet committed; an open step that is too long to wait for its end
+
+    def feed(self, part: str, final: bool = False) -> bytes:
+        c = self.coder
+        text, out = self.rest + part.replace(" ", MARK), []
+        if self.lattice:
+            n = c.run_on(self.before, text)
+            ends = final or n < len(text)
+            out.append(np.array(self.lattice.feed(text[:n], ends), "<i4").tobytes())
+            if not ends:
+                self.before, self.rest = text[-1:] or self.before, ""
+                return out[0]
+            text, self.lattice = text[n:], None
+        steps = c.segments(text)
+        self.rest = "" if final or not steps else steps.pop()
+        try:
+            out.append(b"".join(map(c.memo.__getitem__, steps)))
+        except KeyError:
+            out.append(b"".join(map(c.step, steps)))
+        if len(self.rest) > SHORT:
+            self.lattice, self.before = Lattice(c), self.rest[-1]
+            out.append(np.array(self.lattice.feed(self.rest), "<i4").tobytes())
+            self.rest = ""
+        return b"".join(out)
+
+
 class PieceCoder:
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -112,6 +147,7 @@ class PieceCoder:
         other = f"(?:(?![{MARK}\n])[\\W\\d_])+"
         cuts = f"{MARK}*[^\\W\\d_]+|{MARK}*{other}|{MARK}+|\n" if apart else f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n"
         self.segments = re.compile(cuts if free else "(?s:.+)").findall
+        self.free, self.apart, self.letter = free, apart, letter
         self.shown = ["" if sp.is_control(i) else p for i, p in enumerate(self.pieces)]
         for b, i in self.bytes.items():
             self.shown[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
@@ -144,55 +180,30 @@ class PieceCoder:
             return [i]
         return [self.bytes.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
 
-    def search(self, segment: str) -> bytes:
-        if len(segment) <= SHORT:
-            return np.array([i for p in self.within(segment) for i in self.ids_of(p)], "<i4").tobytes()
-        stream = Stream(self)
-        step = SHORT * 64
-        ids = [i for k in range(0, len(segment), step) for i in stream.feed(segment[k : k + step], k + step >= len(segment))]
-        return np.array(ids, "<i4").tobytes()
-
-    def within(self, s: str) -> list[str]:
-        """The search on a segment that fits the window; it ends where the last position is reached."""
-        heads, scores, agreed, end = self.heads, self.scores, self.agreed, len(s)
-        last: list[str | None] = [""] + [None] * end
-        for j in range(end):
-            a = last[j]
-            if a is None:
-                continue
-            for k in range(j + 1, end + 1):
-                p = s[j:k]
-                if p in scores or k == j + 1:
-                    if last[k] is None:
-                        ok = agreed.get((a, p))
-                        if ok or (ok is None and self.agree(a, p)):
-                            last[k] = p
-                elif p not in heads:
-                    break
-            if last[end] is not None:
-                break
-        out = []
-        while end > 0:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+    def run_on(self, before: str, text: str) -> int:
+        """How many characters of text belong to the step that ends in before."""
+        if not self.free:
+            return len(text)
+        for i, ch in enumerate(text):
+            if ch == "\n" or (before != MARK and (ch == MARK or (self.apart and bool(self.letter(before)) != bool(self.letter(ch))))):
+                return i
+            before = ch
+        return len(text)
+
+    def step(self, segment: str) -> bytes:
+        """The ids between two places that all paths pass."""
+        ids = self.memo.get(segment)
+        if ids is None:
+            ids = np.array(Lattice(self).feed(segment, True), "<i4").tobytes()
+            if len(segment) <= SHORT and len(self.memo) < MEMO_ENTRIES:
+                self.memo[segment] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        segments, memo = self.segments(MARK + text.replace(" ", MARK)), self.memo
-        try:
-            return np.frombuffer(b"".join(map(memo.__getitem__, segments)), "<i4")
-        except KeyError:
-            out = []
-            for s in segments:
-                ids = memo.get(s)
-                if ids is None:
-                    ids = self.search(s)
-                    if len(s) <= SHORT and len(memo) < MEMO_ENTRIES:
-                        memo[s] = ids
-                out.append(ids)
-            return np.frombuffer(b"".join(out), "<i4")
+        stream = Stream(self)
+        return np.frombuffer(b"".join([stream.feed(text[k : k + PART], k + PART >= len(text)) for k in range(0, len(text), PART)]), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         text = "".join(map(self.shown.__getitem__, ids))

@@ -100,12 +100,14 @@ def test_pieces_equal_the_library_and_come_back(spark):
     texts = ["".join(rnd.choice("ab  \n.,eth<0x>é日🙂in\t'") for _ in range(rnd.randint(0, 40))) for _ in range(500)]
     texts += ["the quick brown fox", "a" * 3000, "etaoin" * 900, " " * 300, "\n" * 40, ""]
     assert [coder.encode(t).tolist() for t in texts] == sp.encode(texts)
-    long = "▁" + "etaoinshr" * 2000
-    stream, ids, most = piece_coding.Stream(coder), [], 0
-    for k in range(0, len(long), 41):
-        ids += stream.feed(long[k : k + 41], k + 41 >= len(long))
-        most = max(most, len(stream.text))
-    assert ids == sp.encode("etaoinshr" * 2000) and most < 300
+    whole = " ".join(rnd.choice([*texts, "etaoinshr" * 700, "?!" * 500]) for _ in range(400)) + "\n" + "x" * 5000
+    for size in (1, 7, 41, 1000):  # any parts give the library's ids, and little text is retained between them
+        stream, ids, most = piece_coding.Stream(coder), b"", 0
+        text = whole[: 40_000 * size] if size < 7 else whole
+        for k in range(0, len(text), size):
+            ids += stream.feed(text[k : k + size], k + size >= len(text))
+            most = max(most, len(stream.rest) + len(stream.lattice.text if stream.lattice else ""))
+        assert np.frombuffer(ids, "<i4").tolist() == sp.encode(text) and most < 6 * coder.longest + piece_coding.SHORT + size
     out = {r.doc_id: r for r in piece_coding.encode_documents(docs(spark, [*texts, None]), path).collect()}
     assert all(r.same for r in out.values()) and out[len(texts)].n_ids == 0
     back = {r.doc_id: r.text for r in piece_coding.decode_documents(spark.createDataFrame(list(out.values())), path).collect()}
