@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from terrane.sources.storage import forget, scratch, stored
@@ -23,18 +23,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the smallest node of its component.
 
     Minima are aggregated before they are joined back, so a node with very many edges is not gathered in one task. Each
-    round is written to the shared folder. An empty table gives no rows; loops and repeated edges do no harm.
+    round is written to the shared folder, and its count and checksum are observed as it is written. An empty table gives
+    no rows; loops and repeated edges do no harm.
     """
     spark = edges.sparkSession
     path = scratch(spark, "edges")
     now, sign = stored(edges.where("u != v").distinct(), "edges", path), None
     for _ in range(most_rounds):
         new_path = scratch(spark, "edges")
-        new = stored(_star(_star(now, True), False), "edges", new_path)
+        seen = Observation()
+        new = _star(_star(now, True), False).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        new = stored(new, "edges", new_path)
         forget(spark, path)
         now, path = new, new_path
-        r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (r.n, r.s) == sign:
+        if seen.get == sign:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        sign = (r.n, r.s)
+        sign = seen.get
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
