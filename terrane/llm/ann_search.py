@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .vectors import search_in_blocks, usable
+from .vectors import matrix, search_in_blocks, usable
 
 SAMPLE = 8_192
 WORDS = 16
@@ -126,9 +126,7 @@ class Index:
 def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score (cosine on the original vectors)."""
     vectors = stored(usable(embeddings).where(F.exists("v", lambda x: x != 0)), "usable")
-    sample = vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toPandas()["v"]
-    longest = max(map(len, sample), default=2)
-    rows = np.array([np.pad(np.asarray(v), (0, longest - len(v))) for v in sample]).reshape(-1, longest)
+    rows = matrix(vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow()["v"])
     book = fit(unit(rows)) if len(rows) else np.zeros((1, WORDS, 2))
 
     def search(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.sources.storage import forget, scratch, stored, table
 
-__all__ = ["fold", "forget", "partitions", "scratch", "stored", "table", "words"]
+__all__ = ["fold", "forget", "partitions", "rows_in", "scratch", "stored", "table", "text_key", "words"]
+
+BROADCAST_KEYS = 500_000  # of 16 bytes each
 
 
 def fold(id_col: str, n: int):
@@ -22,3 +24,20 @@ def partitions(spark: SparkSession) -> int:
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of bytes other than space and tab to carriage return, A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def text_key(text: str = "text") -> Column:
+    """Tells texts of one doc_id apart; null is not ''."""
+    return F.xxhash64(text)
+
+
+def rows_in(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of docs whose (doc_id, text_key) are in keys, or with how="left_anti" those that are not.
+
+    keys is written and counted first: up to BROADCAST_KEYS go to the rows, so that no text is shuffled; beyond that the
+    rows go to the keys.
+    """
+    keys = stored(keys.select(F.col("doc_id").alias("id_in"), F.col("text_key").alias("key_in")).distinct(), "keys")
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["id_in"]) & (F.xxhash64(docs["text"]) == keys["key_in"]), how)

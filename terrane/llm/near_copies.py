@@ -1,14 +1,18 @@
-"""Near copies by exact similarity: texts link where the Jaccard similarity of their 5-word shingles is 4/5 or more.
+"""Near copies: SimHash proposes, an exact comparison decides, and a prefix join finds what 64 bits cannot show.
 
-Every pair of that similarity is found. Shingles stand in one global order, those that a sample of the texts shows to be
+Texts link where the Jaccard similarity of their 5-word shingles is 4/5 or more; every pair of that similarity is found.
+At that bound fingerprints differ in ten of 64 bits on average, which no index over them can search at scale, so the
+Gray-ordered index of ``simhash`` at its 3 bits, here over 5-word fingerprints, finds the close copies, and a second
+source of candidates is needed. Shingles stand in one global order, those that a sample of the texts shows to be
 frequent last, the most frequent one at the very end. Two sets of similarity 4/5 overlap in 4/5 of the larger one at
 least, so their first n - ceil(4n/5) + 1 shingles have one in common (the sample only sets the order, any order is
 exact). Texts that share such a shingle are candidates, if enough shingles follow it on both sides and bit sketches,
 which bound the difference from below, allow it. A candidate pair links when its whole sets, compared, meet the bound.
 
-Candidates are compared in two rounds, so that a group of copies that are all similar to one does not cost its square:
-each text with the smallest of its shingle's group, then, where a group is not yet one component, its texts across
-components. Texts that share rare shingles and are just below the bound do cost pairs.
+Candidates are compared in two rounds, so that a group of copies does not cost its square: each text with the hub of its
+shingle's group, the one that shares most of its prefix, which an edited copy's original does; then, where a group is
+not yet one component, the texts outside its main component with the others. Texts that share rare shingles and are just
+below the bound do cost pairs.
 
 Edge cases: words are those of ``simhash``; fewer than five words are one shingle; null and empty texts are equal; equal
 sets are one entry however many documents have them.
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from terrane.operators.components import components
 
-from .common import stored, words
-from .simhash import first_of_each
+from . import simhash
+from .common import rows_in, stored, text_key
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity from which texts link, as a fraction
@@ -36,12 +40,8 @@ SAMPLE, SEEN, MOST_FREQUENT = 8_000, 3, 50_000
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
-    """The distinct XXH64 hashes (seed 42) of a text's n-word shingles, ascending."""
-    ws, hash64 = words(text), xxhash.xxh64_intdigest
-    if not ws:
-        return np.zeros(0, np.int64)
-    hs = [hash64(b" ".join(t), 42) for t in zip(*(ws[i:] for i in range(n)), strict=False)] if len(ws) >= n else [hash64(b" ".join(ws), 42)]
-    return np.unique(np.array(hs, np.uint64).view(np.int64))
+    """The distinct hashes of a text's n-word shingles, ascending."""
+    return np.unique(simhash.shingle_hashes(text, n).view(np.int64))
 
 
 def set_key(found: np.ndarray) -> int:
@@ -88,39 +88,78 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text), set_key, n, prefix, sketch."""
+    """doc_id, text_key, set_key, fp, n, and for the first of equal sets in a task: prefix, n_rare (of it), sketch."""
     by_count = _frequent(docs)
     order = np.argsort(by_count)
     frequent, places = by_count[order], len(order) - order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                found = [shingles(t.as_py()) for t in part.column(2)]
-                heads = [prefix(f, frequent, places) for f in found]
+                hashes = [simhash.shingle_hashes(t.as_py(), WORDS) for t in part.column(2)]
+                found = [np.unique(h.view(np.int64)) for h in hashes]
+                keys = [set_key(f) for f in found]
+                new = [key not in seen and not seen.add(key) for key in keys]
+                heads = [prefix(f, frequent, places) if is_new else f[:0] for f, is_new in zip(found, new, strict=True)]
+                rare = [len(h) - int(np.isin(h, frequent).sum()) for h in heads]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads)))
-                cols = [part.column(0), part.column(1), pa.array([set_key(f) for f in found], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array([sketch(f).tolist() for f in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "set_key", "n", "prefix", "sketch"])
+                sketches = pa.array([sketch(f).tolist() if is_new else None for f, is_new in zip(found, new, strict=True)], pa.list_(pa.int64()))
+                cols = [pa.array(keys, pa.int64()), pa.array([simhash.majority(h) for h in hashes], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array(rare, pa.int32()), sketches]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["doc_id", "text_key", "set_key", "fp", "n", "prefix", "n_rare", "sketch"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, n int, prefix array<long>, sketch array<long>")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, n int, prefix array<long>, n_rare int, sketch array<long>")
+
+
+def shared_grams(rows: DataFrame) -> DataFrame:
+    """gram, set_key, n, rest (shingles from gram on) of prefix shingles that several sets have.
+
+    Frequent ones are known to be shared and stay where they are. The others are sorted by shingle and told by their
+    neighbours, a batch at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, told = None, False  # the last row, whose shingle may come again; whether it was given out
+        for b in batches:
+            cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held or [np.zeros(0, np.int64)] * 3, b.columns, strict=True)]
+            if not len(cols[0]):
+                continue
+            new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+            cols = [c[new] for c in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            shared = np.r_[False, same] | np.r_[same, False]
+            give = shared.copy()
+            give[0] &= not told
+            told = bool(shared[-1]) or (told and len(shared) == 1)
+            held = [c[-1:] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c[give]) for c in cols], ["gram", "set_key", "size"])
+
+    grams = rows.select("set_key", "n", "n_rare", F.posexplode("prefix").alias("pos", "gram"))
+    sized = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("n") - F.col("pos")).alias("size")
+    rare = grams.where("pos < n_rare").select("gram", "set_key", sized)
+    told = rare.repartition("gram").sortWithinPartitions("gram", "set_key").mapInArrow(run, "gram long, set_key long, size long")
+    both = told.unionByName(grams.where("pos >= n_rare").select("gram", "set_key", sized).distinct())
+    return both.select("gram", "set_key", F.shiftright("size", 32).cast("int").alias("n"), F.col("size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rest"))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_key, grams (bytes of the sorted shingles) of the texts in wanted (text_key, one for each set)."""
+    """set_key, grams (bytes of the sorted shingles) of the texts in wanted (doc_id, text_key, one for each set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                found = [shingles(t.as_py()) for t in b.column(1).slice(k, 256)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(f) for f in found], pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], ["set_key", "grams"])
+                found = {set_key(f): f for f in (shingles(t.as_py()) for t in b.column(0).slice(k, 256))}
+                new = {key: f.tobytes() for key, f in found.items() if key not in seen}
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["set_key", "grams"])
 
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"])
-    return texts.mapInArrow(run, "set_key long, grams binary")
+    return rows_in(docs, wanted).select("text").mapInArrow(run, "set_key long, grams binary").groupBy("set_key").agg(F.first("grams").alias("grams"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Edges (u, v) of the pairs (a, b) that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +167,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             pairs = ([np.frombuffer(x.as_py(), np.int64) for x in p] for p in zip(b.column(2), b.column(3), strict=True))
             yield b.select(["u", "v"]).filter(pa.array([similar(*p) for p in pairs], pa.bool_()))
 
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
+    sets = stored(_whole_sets(docs, distinct.join(nodes, "set_key", "left_semi")), "sets")
     first, second = sets.select(F.col("set_key").alias("u"), F.col("grams").alias("left")), sets.select(F.col("set_key").alias("v"), F.col("grams").alias("right"))
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).join(first, "u").join(second, "v").select("u", "v", "left", "right")
-    return both.mapInArrow(run, "u long, v long")
+    return stored(both.mapInArrow(run, "u long, v long"), "edges")
 
 
 def _near(n: str, rest: str, m: str, other_rest: str) -> Column:
@@ -146,39 +187,66 @@ def _near_sketches(n: str, one: str, m: str, other: str) -> Column:
     return bits * (up + down) <= (F.col(n).cast("long") + F.col(m)) * (down - up)
 
 
+def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), in either order, whose sizes and sketches allow the similarity."""
+    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda key, n, sk: distinct.select(F.col("set_key").alias(key), F.col("n").alias(n), F.col("sketch").alias(sk))
+    both = pairs.join(side("a", "n", "one"), "a").join(side("b", "m", "other"), "b")
+    return both.where(_near_sketches("n", "one", "m", "other")).select("a", "b")
+
+
+def _proposed(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or are linked by the Gray-ordered index."""
+    fps = stored(distinct.groupBy("fp").agg(F.min("set_key").alias("a")), "proposed")
+    links = simhash.links(fps.select("fp"))
+    far = links.join(fps.select(F.col("fp").alias("u"), "a"), "u").join(fps.select(F.col("fp").alias("v"), F.col("a").alias("b")), "v").select("a", "b")
+    return far.unionByName(distinct.select("fp", F.col("set_key").alias("b")).join(fps, "fp").where("a != b").select("a", "b"))
+
+
+def _by_hubs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b): each set with the hub of a shingle's group, the set that shares most of its prefix."""
+    up, down = LEAST
+    most = F.col("n") - F.ceil(F.col("n") * up / down) + 1
+    share = shared.groupBy("set_key").agg((F.count("*") / F.first(most)).alias("share"))
+    ranked = shared.join(share, "set_key")
+    hubs = ranked.groupBy("gram").agg(F.min(F.struct(-F.col("share"), "set_key", "n", "rest")).alias("hub"))
+    stars = shared.join(hubs.select("gram", F.col("hub.set_key").alias("a"), F.col("hub.n").alias("m"), F.col("hub.rest").alias("other_rest")), "gram")
+    return stars.where((F.col("set_key") != F.col("a")) & _near("n", "rest", "m", "other_rest")).select("a", F.col("set_key").alias("b"))
+
+
+def _across(shared: DataFrame, labels: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a shingle: those outside its group's main component with all others."""
+    named = shared.join(labels, "set_key", "left").select("gram", "set_key", "n", "rest", F.coalesce("label", "set_key").alias("label"))
+    sizes = named.groupBy("gram", "label").agg(F.count("*").alias("members"))
+    main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    named = stored(named.join(main.select("gram", "main"), "gram").join(distinct.select("set_key", "sketch"), "set_key"), "open")
+    other = named.select("gram", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("label").alias("other"), F.col("sketch").alias("other_sketch"))
+    met = named.where("label != main").join(other, "gram")
+    met = met.where((F.col("label") != F.col("other")) & _near("n", "rest", "m", "other_rest") & _near_sketches("n", "sketch", "m", "other_sketch"))
+    return met.select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges (u, v) of set keys that connect all sets that a chain of similar ones joins."""
-    distinct = rows.groupBy("set_key").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
-    grams = distinct.select("set_key", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "set_key", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    groups = grams.groupBy("gram").agg(F.min(F.struct("set_key", "n", "rest")).alias("least"), F.count("*").alias("members")).where("members > 1")
-    shared = stored(grams.join(groups, "gram").select("gram", "set_key", "n", "rest", "least"), "shared")
-    sized = shared.where((F.col("set_key") != F.col("least.set_key")) & _near("n", "rest", "least.n", "least.rest"))
-    stars = stored(sized.select(F.col("least.set_key").alias("a"), F.col("set_key").alias("b")).distinct(), "stars")
-    wanted = distinct.join(shared.select("set_key").distinct(), "set_key", "left_semi").select("text_key")
-    sets = stored(_whole_sets(docs, wanted), "sets")
-    edges = stored(_confirmed(stars, sets), "edges")
+    firsts = rows.where("sketch is not null")
+    distinct = stored(firsts.groupBy("set_key").agg(*[F.min_by(c, F.struct("doc_id", "text_key")).alias(c) for c in ("doc_id", "text_key")], F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "distinct")
+    shared = stored(shared_grams(rows), "shared")
+    stars = stored(_allowed(_by_hubs(shared).unionByName(_proposed(distinct)), distinct), "stars")
+    edges = _confirmed(stars, docs, distinct)
     labels = components(edges).withColumnRenamed("node", "set_key").withColumnRenamed("root", "label")
-    named = shared.join(labels, "set_key", "left").select("gram", "set_key", "n", "rest", F.coalesce("label", "set_key").alias("label"))
-    open_ = named.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("gram")
-    named = stored(named.join(open_, "gram", "left_semi").join(distinct.select("set_key", "sketch"), "set_key"), "open")
-    other = named.select("gram", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("label").alias("other"), F.col("sketch").alias("other_sketch"))
-    across = named.join(other, "gram").where((F.col("label") < F.col("other")) & _near("n", "rest", "m", "other_rest") & _near_sketches("n", "sketch", "m", "other_sketch"))
-    pairs = across.select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
-    pairs = stored(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return edges.unionByName(_confirmed(pairs, sets))
+    pairs = stored(_across(shared, labels, distinct).join(stars, ["a", "b"], "left_anti"), "pairs")
+    return edges.unionByName(_confirmed(pairs, docs, distinct))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key, component_id: the smallest doc_id that links reach."""
     rows = stored(shingle_sets(docs), "shingles")
-    distinct = rows.groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
     comp = components(links(docs, rows)).withColumnRenamed("node", "set_key")
-    roots = comp.join(distinct, "set_key").groupBy("root").agg(F.min("first_id").alias("root_id"))
-    named = comp.join(roots, "root").select("set_key", "root_id")
-    by_set = distinct.join(named, "set_key", "left").select("set_key", F.coalesce("root_id", "first_id").alias("component_id"))
-    return rows.join(by_set, "set_key").select("doc_id", "text_key", "set_key", "component_id")
+    named = rows.select("doc_id", "text_key", "set_key").join(comp, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    firsts = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(firsts, "root").select("doc_id", "text_key", "set_key", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each component the row of the smallest doc_id (then smallest text_key) stays."""
-    return first_of_each(docs, near_copies(docs))
+    return simhash.first_of_each(docs, near_copies(docs))

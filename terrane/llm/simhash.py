@@ -29,25 +29,36 @@ from pyspark.sql import functions as F
 
 from terrane.operators.components import components
 
-from .common import stored, words
+from .common import rows_in, stored, text_key, words
 
 MOST_BITS = 3
+SHINGLE = 3  # words
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FANOUT = 8
 MOST_PAIRS = 1 << 20
 ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def fingerprint(text: str | None) -> int:
+def shingle_hashes(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of a text's n-word shingles, repeats included; fewer words are one shingle, none are none."""
     ws, hash64 = words(text), xxhash.xxh64_intdigest
     if not ws:
-        return 0
-    hs = [hash64(b" ".join(t), 42) for t in zip(ws, ws[1:], ws[2:])] if len(ws) > 2 else [hash64(b" ".join(ws), 42)]
+        return np.zeros(0, np.uint64)
+    hs = [hash64(b" ".join(t), 42) for t in zip(*(ws[i:] for i in range(n)), strict=False)] if len(ws) >= n else [hash64(b" ".join(ws), 42)]
+    return np.array(hs, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed number."""
     total = np.zeros(64, np.int64)
-    for k in range(0, len(hs), 1 << 16):
-        octets = np.array(hs[k : k + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+    for k in range(0, len(hashes), 1 << 16):
+        octets = hashes[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hs)).view("<i8")[0])
+    return int(np.packbits(2 * total > len(hashes)).view("<i8")[0])
+
+
+def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -58,7 +69,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fps = [fingerprint(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     return cols.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
@@ -193,15 +204,21 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, components_of: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component (doc_id, text_key, component_id) that of the smallest doc_id, then smallest text_key."""
-    found = components_of.select("doc_id", "text_key", "component_id")
+    """The rows of docs that stay: of each component (doc_id, text_key, component_id) that of the smallest doc_id, then smallest text_key.
+
+    Only the keys of rows that go meet the texts. Rows that are equal in doc_id and text are one.
+    """
+    found = stored(components_of.groupBy("component_id", "doc_id", "text_key").agg(F.count("*").alias("n")), "members")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # rows that name a component share its doc_id: one text of each (component, doc_id), however often it is repeated
-    keep = first.groupBy("component_id").agg(F.min("text_key").alias("keep_key")).select(F.col("component_id").alias("keep_id"), "keep_key")
-    keyed = docs.withColumn("key_sim", F.xxhash64("text"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col("key_sim") == F.col("keep_key"))
-    rows = keyed.join(keep, on, "left_semi").dropDuplicates(["doc_id", "key_sim"])
-    return rows.drop("key_sim")
+    keep = first.groupBy(F.col("component_id").alias("of")).agg(F.min("text_key").alias("keep_key"))
+    stays = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("keep_key"))
+    kept = stored(found.join(keep, F.col("component_id").eqNullSafe(F.col("of"))).select("doc_id", "text_key", "n", stays.alias("stays")), "kept")
+    once = rows_in(docs, kept.where("not stays or n > 1"), "left_anti")
+    several = kept.where("stays and n > 1")
+    if several.isEmpty():
+        return once
+    again = rows_in(docs, several).withColumn("key of row", text_key()).dropDuplicates(["doc_id", "key of row"]).drop("key of row")
+    return once.unionByName(again)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -153,20 +153,24 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5):
-    """(model, slope, intercept), or None where a class has no labelled row."""
+    """(model, slope, intercept), or None where a class has no labelled row.
+
+    The driver sees the distinct grams of at most 2 * COUNT_ROWS texts and broadcasts about 30 bytes for each.
+    """
     counting, calibrating = labelled(docs, labels, folds)
-    got = gram_counts(counting).na.fill(0).toPandas()
-    counts = got[["0", "1"]].to_numpy()
+    got = gram_counts(counting).na.fill(0).toArrow()
+    counts = np.stack([got[c].to_numpy() for c in ("0", "1")], axis=1)
     if not len(got) or (counts.sum(axis=0) == 0).any():
         return None
     model = KneserNey(got["gram"].to_numpy().view(np.uint64), counts)
+    del got, counts
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean_evidence(b.column(1).to_pylist(), shared.value))], ["toxic", "evidence"])
 
-    curve = calibrating.mapInArrow(run, "toxic int, evidence double").toPandas()
+    curve = calibrating.mapInArrow(run, "toxic int, evidence double").toArrow()
     slope, shift = logistic(curve["evidence"].to_numpy(), curve["toxic"].to_numpy()) if len(curve) else (1.0, 0.0)
     return shared, slope, shift
 

@@ -39,10 +39,3 @@ def test_shared_passages_of_51_words_go_and_of_50_stay(spark):
             assert i not in got
     assert got[99].text is None
     assert sum(w != t.split() for w, t in zip(want, texts, strict=True)) == 9
-
-
-def test_long_words_still_go_by_bytes(spark):
-    line = " ".join(f"{k:020d}" for k in range(30))
-    rows = [(1, "a " + line + " b", 0), (2, line, 0), (3, "c", 0)]
-    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
-    assert got == {1: "a  b", 3: "c"}
