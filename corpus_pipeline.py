@@ -22,8 +22,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, or of 400 bytes, that occur more than once are cut out."""
-    return suffix_dedup.without_passages(docs)
+    """Passages of over 50 words that occur more than once are cut out."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.WORDS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
