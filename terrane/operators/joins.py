@@ -15,6 +15,19 @@ def lookup_array(left: DataFrame, right: DataFrame, on: tuple[str, str], name: s
     return out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
 
 
+def lookup_count(left: DataFrame, right: DataFrame, on: tuple[str, str], name: str) -> DataFrame:
+    """left with the number of its matching rows of right, counted before the join."""
+    counted = right.groupBy(F.col(on[1]).alias("key_of_lookup")).agg(F.count("*").alias(name))
+    out = left.join(counted, left[on[0]].eqNullSafe(counted["key_of_lookup"]), "left").drop("key_of_lookup")
+    return out.withColumn(name, F.coalesce(name, F.lit(0)))
+
+
+def with_any(left: DataFrame, right: DataFrame, on: tuple[str, str], test: Column) -> DataFrame:
+    """The rows of left of which a matching row of right passes the test."""
+    passed = right.where(test).select(F.col(on[1]).alias("key_of_lookup"))
+    return left.join(passed, left[on[0]].eqNullSafe(passed["key_of_lookup"]), "left_semi")
+
+
 def full_outer_difference(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """key, value_a, value_b and their difference, null where either side lacks the key."""
     left, right = a.select(key, F.col(value).alias(f"{value}_a")), b.select(key, F.col(value).alias(f"{value}_b"))

@@ -1,63 +1,108 @@
-"""Price statistics: quartiles, fences, indicators, roll-ups, anomalies."""
+"""Price statistics: quartiles, fences, indicators, roll-ups, anomalies.
+
+Quartiles are exact and need no buffer that grows with a group. Values are counted per group; slices of the value range,
+narrow enough to be small, are summed and ranked; the slices that hold a wanted rank, six to a group at most, are opened
+and their values ranked in turn. So a hot group is spread over its slices, whatever it holds.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+SLICES = 4096  # for each factor e of a value
+PARTS = (0.25, 0.5, 0.75)
 
-def quartiles(value: Column) -> list[Column]:
-    """q1, q2, q3 by linear interpolation and q4, the maximum, of the positive values.
 
-    The three percentiles are one aggregate, so each group's values are counted once.
-    """
-    positive = F.when(value > 0, value)
-    three = F.percentile(positive, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.get(three, F.lit(i)).alias(f"q{i + 1}") for i in range(3)] + [F.max(positive).alias("q4")]
+def value_counts(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """by, v, n: the positive values of each group, counted."""
+    return df.withColumn("v", value.cast("double")).where("v > 0").groupBy(*by, "v").agg(F.count("*").alias("n"))
+
+
+def _group(by: list[str]) -> Column:
+    """The key of a group as one value, in which nulls are equal."""
+    return F.struct(*[F.col(c) for c in by], F.lit(0).alias("of all")).alias("g")
+
+
+def quartiles_of(counts: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, q1, q2, q3 by linear interpolation and q4, the maximum, of counted values (by, v, n); null keys are groups."""
+    sliced = counts.select(_group(by), F.floor(F.log("v") * SLICES).alias("s"), "v", "n")
+    slices = sliced.groupBy("g", "s").agg(F.sum("n").alias("held"), F.max("v").alias("top"))
+    whole = Window.partitionBy("g")
+    upto = whole.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    placed = slices.select("g", "s", "held", (F.sum("held").over(upto) - F.col("held")).alias("before"), F.sum("held").over(whole).alias("total"), F.max("top").over(whole).alias("q4"))
+    at = [F.lit(p) * (F.col("total") - 1) for p in PARTS]
+    ranks = F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)])
+    wanted = F.transform(ranks, lambda r, i: F.struct(i.alias("i"), r.alias("r")))
+    opened = placed.withColumn("wanted", F.filter(wanted, lambda x: (x["r"] >= F.col("before")) & (x["r"] < F.col("before") + F.col("held")))).where(F.size("wanted") > 0)
+    met = sliced.join(opened, ["g", "s"])
+    running = F.col("before") + F.sum("n").over(Window.partitionBy("g", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    hits = met.withColumn("upto", running).select("g", "total", "q4", "v", F.explode(F.filter("wanted", lambda x: (x["r"] >= F.col("upto") - F.col("n")) & (x["r"] < F.col("upto")))).alias("x"))
+    found = hits.groupBy("g").agg(F.first("total").alias("total"), F.first("q4").alias("q4"), *[F.max(F.when(F.col("x.i") == i, F.col("v"))).alias(f"v{i}") for i in range(6)])
+    low = lambda k: F.col(f"v{2 * k}")
+    quartile = [(low(k) + (F.col(f"v{2 * k + 1}") - low(k)) * (at[k] - F.floor(at[k]))).alias(f"q{k + 1}") for k in range(3)]
+    return found.select(*[F.col("g")[c].alias(c) for c in by], F.col("total").alias("n"), *quartile, "q4")
 
 
-def summary(value: Column) -> list[Column]:
-    """avg, population std (0 for one value), count and quartiles of the positive values."""
-    positive = F.when(value > 0, value)
-    return [F.avg(positive).alias("avg"), F.stddev_pop(positive).alias("std"), F.count(positive).alias("count"), *quartiles(value)]
+def quartiles(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """by, n, q1 .. q4 of the positive values of each group; groups without any are left out."""
+    return quartiles_of(value_counts(df, by, value), by)
 
 
-def fences(df: DataFrame, value: str, by: list[str], width: float, floor: float = 0.0, least: int = 1) -> DataFrame:
-    """by, lo, hi: quartiles widened by `width` spreads, a spread being at least `floor` of the median."""
-    q = df.groupBy(*by).agg(*quartiles(F.col(value)), F.count(F.when(F.col(value) > 0, 1)).alias("n")).where(F.col("n") >= least)
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.col("q2") * floor)
-    return q.select(*by, (F.col("q1") - width * spread).alias("lo"), (F.col("q3") + width * spread).alias("hi"), (F.col("q4") + width * spread).alias("top"))
+def fences_of(counts: DataFrame, by: list[str], width: Column | float, floor: float = 0.0, least: int = 1) -> DataFrame:
+    """by, lo, hi, top: quartiles widened by `width` spreads, a spread being at least `floor` of the median."""
+    width = width if isinstance(width, Column) else F.lit(width)
+    spread = width * F.greatest(F.col("q3") - F.col("q1"), F.col("q2") * floor)
+    q = quartiles_of(counts, by).where(F.col("n") >= least)
+    return q.select(*by, (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"), (F.col("q4") + spread).alias("top"))
 
 
 def indicators(df: DataFrame, value: str, kind: str, region: str, place: str, least_place: int = 5, least_region: int = 3) -> DataFrame:
     """Quartiles per (kind, region, place) and per (kind, region), after trimming by the kind's fences over all rows.
 
-    Both levels are grouping sets of one pass. place is null at the level of regions.
+    All levels come from one count of the values. place is null at the level of regions.
     """
-    bounds = fences(df, value, [kind], 2.0, 0.05, 3)
-    kept = df.join(bounds, kind).where((F.col(value) > 0) & (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("top")))
-    levels = kept.groupingSets([[kind, region, place], [kind, region]], kind, region, place)
-    out = levels.agg(*quartiles(F.col(value)), F.count("*").alias("count"), F.grouping_id().alias("level"))
-    return out.where(((F.col("level") == 0) & (F.col("count") >= least_place)) | ((F.col("level") > 0) & (F.col("count") >= least_region))).drop("level")
-
-
-def period_rollup(df: DataFrame, periods: dict[str, Column], dims: list[str], value: str) -> DataFrame:
-    """period_type, period_key, dims and summary(value), for several kinds of period in one pass."""
-    keyed = df.withColumns({f"key_{p}": c for p, c in periods.items()})
-    sets = [[f"key_{p}", *dims] for p in periods]
-    every = [*(f"key_{p}" for p in periods), *dims]
-    out = keyed.groupingSets(sets, *every).agg(*summary(F.col(value)), *[F.grouping(f"key_{p}").alias(f"no_{p}") for p in periods])
-    kind, key = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for p in periods:
-        kind = F.when(F.col(f"no_{p}") == 0, F.lit(p)).otherwise(kind)
-        key = F.when(F.col(f"no_{p}") == 0, F.col(f"key_{p}")).otherwise(key)
-    return out.select(kind.alias("period_type"), key.alias("period_key"), *dims, "avg", "std", "count", "q1", "q2", "q3", "q4")
+    levels = [[kind, region, place], [kind, region], [kind]]
+    counts = value_counts(df, levels[0], F.col(value))
+    rolled = lambda rows, by: rows.groupBy(*by, "v").agg(F.sum("n").alias("n"))
+    bounds = fences_of(rolled(counts, levels[2]), levels[2], 2.0, 0.05, 3)
+    kept = counts.join(bounds, kind).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("top"))).select(*levels[0], "v", "n")
+    places = quartiles_of(kept, levels[0]).where(F.col("n") >= least_place)
+    regions = quartiles_of(rolled(kept, levels[1]), levels[1]).where(F.col("n") >= least_region)
+    return places.unionByName(regions, allowMissingColumns=True).withColumnRenamed("n", "count")
+
+
+def period_rollup(df: DataFrame, periods: dict[str, Column], dims: list[str], values: list[str]) -> DataFrame:
+    """metric, period_type, period_key, dims, avg, population std, count and quartiles of the positive values.
+
+    Rows are first counted by the periods' keys, dims and value; each kind of period is a roll-up of that. The mean and
+    the deviation are merged from sums of the counted values around the group's mean.
+    """
+    metric = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")
+    keyed = df.select(*[c.alias(f"key {p}") for p, c in periods.items()], *dims, metric).select("*", "x.*").where("v > 0")
+    keys = [f"key {p}" for p in periods]
+    counts = keyed.groupBy("metric", *keys, *dims, "v").agg(F.count("*").alias("n"))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period_type"), F.col(f"key {p}").alias("period_key")) for p in periods])).alias("p")
+    by = ["metric", "period_type", "period_key", *dims]
+    rolled = counts.select("metric", *dims, "v", "n", each).select("metric", "p.*", *dims, "v", "n").groupBy(*by, "v").agg(F.sum("n").alias("n"))
+    return with_moments(rolled, by, quartiles_of(rolled, by)).withColumnRenamed("n", "count").select(*by, "avg", "std", "count", "q1", "q2", "q3", "q4")
+
+
+def with_moments(counts: DataFrame, by: list[str], groups: DataFrame) -> DataFrame:
+    """groups (one row for each by) with avg and population std of counted values."""
+    keyed = counts.select(_group(by), "v", "n")
+    means = keyed.groupBy("g").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("avg"))
+    apart = keyed.join(means, "g").withColumn("d", F.pow(F.col("v") - F.col("avg"), F.lit(2.0)) * F.col("n"))
+    moments = apart.groupBy("g").agg(F.first("avg").alias("avg"), F.sqrt(F.sum("d") / F.sum("n")).alias("std"))
+    return groups.withColumn("g", _group(by)).join(moments, "g").drop("g")
 
 
 def anomalies(df: DataFrame, value: str, group: list[str], width: float = 1.5, least: int = 10) -> DataFrame:
     """Rows outside the fences of all rows or, failing that, of their group; scope says which, distance how far."""
-    whole = fences(df, value, [], width, 0.05, least).select(F.col("lo").alias("all_lo"), F.col("hi").alias("all_hi"))
-    local = fences(df, value, group, width, 0.05, least).select(*group, "lo", "hi")
+    counts = value_counts(df, group, F.col(value))
+    whole = fences_of(counts.groupBy("v").agg(F.sum("n").alias("n")), [], width, 0.05, least).select(F.col("lo").alias("all_lo"), F.col("hi").alias("all_hi"))
+    local = fences_of(counts, group, width, 0.05, least).select(*group, "lo", "hi")
     both = df.where(F.col(value) > 0).join(F.broadcast(whole), how="left").join(local, group, "left")  # whole is one row
     v = F.col(value)
     beyond = lambda lo, hi: F.when(v < lo, lo - v).when(v > hi, v - hi)

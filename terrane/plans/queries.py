@@ -75,8 +75,8 @@ def f5_nested_or_not(spark, d):
 
 @query("select o_orderkey, o_orderstatus from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_quantity > 45 and l_returnflag = 'R')")
 def f6_elem_match(spark, d):
-    o = joins.lookup_array(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), table(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag"), ("o_orderkey", "l_orderkey"), "lines")
-    return o.where(C.elem_match(F.col("lines"), lambda x: (x["l_quantity"] > 45) & (x["l_returnflag"] == "R"))).select("o_orderkey", "o_orderstatus")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return joins.with_any(o, table(spark, d, "lineitem"), ("o_orderkey", "l_orderkey"), (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "R"))
 
 
 @query("select doc_id, lang from documents where contains(lower(text), 'license')")
@@ -139,8 +139,13 @@ def p15_p16_area_and_kind(spark, d):
 
 @query("select c_custkey, (select count(*) from orders where o_custkey = c_custkey) as n_orders from customer")
 def j1_lookup_array(spark, d):
+    return joins.lookup_count(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders"), ("c_custkey", "o_custkey"), "n_orders")
+
+
+@query("select c_custkey, coalesce((select string_agg(o_orderkey::varchar, ',' order by o_orderkey) from orders where o_custkey = c_custkey), '') as orders from customer")
+def j1_lookup_elements(spark, d):
     out = joins.lookup_array(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey", "o_orderkey"), ("c_custkey", "o_custkey"), "orders")
-    return out.select("c_custkey", F.size("orders").cast("long").alias("n_orders"))
+    return out.select("c_custkey", F.array_join(F.array_sort("orders.o_orderkey").cast("array<string>"), ",").alias("orders"))
 
 
 @query("select c_custkey, o_orderkey from customer left join orders on o_custkey = c_custkey")
@@ -179,7 +184,7 @@ left join k kn on kn.key = 'n:' || n_name left join k kr on kr.key = 'r:' || r_n
 @query(_J6.format(least=2400))
 def j6_priority_fallback(spark, d):
     b = placed(spark, d).withColumn("v", F.col("l_extendedprice") / F.col("l_quantity"))
-    level = lambda p, c: b.groupBy(F.concat(F.lit(p), c).alias("ind_key")).agg(F.percentile("v", 0.5).alias("q2"), F.count("*").alias("n"))
+    level = lambda p, c: stats.quartiles(b.withColumn("ind_key", F.concat(F.lit(p), c)), ["ind_key"], F.col("v")).select("ind_key", "q2", "n")
     ind = level("n:", F.col("n_name")).where("n >= 2400").unionByName(level("r:", F.col("r_name"))).withColumn("used", F.col("ind_key"))
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     out = joins.first_match(s.select("s_suppkey", "n_name", "r_name"), ind, [F.concat(F.lit("n:"), "n_name"), F.concat(F.lit("r:"), "r_name")], "ind_key", ["s_suppkey"])
@@ -275,9 +280,9 @@ def a10_time_series(spark, d):
 @query("""select p_type, round(quantile_cont(l_extendedprice, 0.25), 6) as q1, round(quantile_cont(l_extendedprice, 0.5), 6) as q2, round(quantile_cont(l_extendedprice, 0.75), 6) as q3, max(l_extendedprice) as q4,
           round(stddev_pop(l_extendedprice), 4) as std from lineitem join part on l_partkey = p_partkey where l_extendedprice > 0 group by 1""")
 def a12_quartiles(spark, d):
-    v = F.col("l_extendedprice")
-    out = typed(spark, d).groupBy("p_type").agg(*stats.quartiles(v), F.round(F.stddev_pop(F.when(v > 0, v)), 4).alias("std"))
-    return out.withColumns({q: F.round(q, 6) for q in ("q1", "q2", "q3")})
+    counts = stats.value_counts(typed(spark, d), ["p_type"], F.col("l_extendedprice"))
+    out = stats.with_moments(counts, ["p_type"], stats.quartiles_of(counts, ["p_type"])).drop("n", "avg")
+    return out.withColumns({q: F.round(q, 6) for q in ("q1", "q2", "q3")}).withColumn("std", F.round("std", 4))
 
 
 @query(f"""with b as (select l_returnflag as kind, r_name, n_name, l_extendedprice / l_quantity as v from {PLACED}),
@@ -291,18 +296,39 @@ def a15_indicators(spark, d):
     return out.withColumns({q: F.round(q, 6) for q in ("q1", "q2", "q3", "q4")})
 
 
-def _rollup_sql() -> str:
-    one = "select '{p}' as period_type, {k} as period_key, p_type, round(avg(v), 7) as avg, round(stddev_pop(v), 7) as std, count(*) as count, round(quantile_cont(v, 0.25), 7) as q1, round(quantile_cont(v, 0.5), 7) as q2, round(quantile_cont(v, 0.75), 7) as q3, round(max(v), 7) as q4 from b group by 2, 3"
-    keys = {"day": "strftime(l_shipdate, '%Y-%m-%d')", "week": "strftime(l_shipdate, '%G-W%V')", "month": "strftime(l_shipdate, '%Y-%m')"}
-    return "with b as (select l_shipdate, p_type, l_extendedprice / l_quantity as v from lineitem join part on l_partkey = p_partkey) " + " union all ".join(one.format(p=p, k=k) for p, k in keys.items())
+_METRICS = {"price": "l_extendedprice", "unit_price": "l_extendedprice / l_quantity", "usd": "l_extendedprice / 41.5", "unit_usd": "l_extendedprice / 41.5 / l_quantity", "per_ha": "l_extendedprice / (l_quantity / 10000.0)", "per_ha_usd": "l_extendedprice / 41.5 / (l_quantity / 10000.0)"}
+_KEYS = {"day": "strftime(l_shipdate, '%Y-%m-%d')", "week": "strftime(l_shipdate, '%G-W%V')", "month": "strftime(l_shipdate, '%Y-%m')"}
 
 
-@query(_rollup_sql())
-def a17_period_rollup(spark, d):
-    b = typed(spark, d).select("l_shipdate", "p_type", (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"))
+def _rollup_sql(dims: str, metrics: list[str], keys: list[str]) -> str:
+    one = "select '{m}' as metric, '{p}' as period_type, {k} as period_key, {dims}, avg(v) as avg, stddev_pop(v) as std, count(*) as count, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as q2, quantile_cont(v, 0.75) as q3, max(v) as q4 from (select *, {v} as v from b) group by all"
+    parts = [one.format(m=m, p=p, k=_KEYS[p], v=_METRICS[m], dims=dims) for m in metrics for p in keys]
+    rounded = ", ".join(f"round({c} + 3e-7, 4) as {c}" for c in ("avg", "std", "q1", "q2", "q3", "q4"))
+    return f"with b as (select * from {PLACED} join part on l_partkey = p_partkey), r as ({' union all '.join(parts)}) select metric, period_type, period_key, {dims}, count, {rounded} from r"
+
+
+def _periods(keys: list[str]) -> dict:
     at = F.col("l_shipdate")
-    out = stats.period_rollup(b, {"day": C.day_key(at), "week": C.week_key(at), "month": C.month_key(at)}, ["p_type"], "v")
-    return out.withColumns({q: F.round(q, 7) for q in ("avg", "std", "q1", "q2", "q3", "q4")})
+    return {k: {"day": C.day_key, "week": C.week_key, "month": C.month_key}[k](at) for k in keys}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """To four places, off the halves that a mean of two prices falls on."""
+    return df.withColumns({q: F.round(F.col(q) + 3e-7, 4) for q in ("avg", "std", "q1", "q2", "q3", "q4")})
+
+
+@query(_rollup_sql("p_type", ["unit_price"], ["day", "week", "month"]))
+def a17_period_rollup(spark, d):
+    b = typed(spark, d).withColumn("unit_price", F.expr(_METRICS["unit_price"]))
+    return _rounded(stats.period_rollup(b, _periods(["day", "week", "month"]), ["p_type"], ["unit_price"]))
+
+
+@query(_rollup_sql("l_returnflag, p_type, r_name, n_name", list(_METRICS), ["month"]))
+def a17_all_metrics(spark, d):
+    """Six metrics by source, type, region and settlement."""
+    b = placed(spark, d).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    b = b.withColumns({m: F.expr(e) for m, e in _METRICS.items()})
+    return _rounded(stats.period_rollup(b, _periods(["month"]), ["l_returnflag", "p_type", "r_name", "n_name"], list(_METRICS)))
 
 
 @query("""with q as (select l_suppkey, quantile_cont(l_extendedprice, 0.25) as q1, quantile_cont(l_extendedprice, 0.5) as q2, quantile_cont(l_extendedprice, 0.75) as q3, max(l_extendedprice) as q4 from lineitem group by 1)
@@ -311,7 +337,7 @@ select l_orderkey, l_linenumber, case when l_extendedprice < q1 - 1.5 * s then '
 from lineitem join (select *, greatest(q3 - q1, 0.05 * q2, 1) as s from q) using (l_suppkey)""")
 def w8_price_label(spark, d):
     li = table(spark, d, "lineitem")
-    q = li.groupBy("l_suppkey").agg(*stats.quartiles(F.col("l_extendedprice")))
+    q = stats.quartiles(li, ["l_suppkey"], F.col("l_extendedprice"))
     label = C.position_label(F.col("l_extendedprice"), *[F.col(x) for x in ("q1", "q2", "q3", "q4")])
     return li.join(q, "l_suppkey").select("l_orderkey", "l_linenumber", label.alias("label"))
 
@@ -393,7 +419,7 @@ def a40_bucket(spark, d):
 @query("select q as bucket, count(*) as n, min(l_extendedprice) as lo, max(l_extendedprice) as hi from (select l_extendedprice, width_bucket_4 as q from (select l_extendedprice, case when l_extendedprice <= a then 1 when l_extendedprice <= b then 2 when l_extendedprice <= c then 3 else 4 end as width_bucket_4 from lineitem, (select quantile_cont(l_extendedprice, 0.25) as a, quantile_cont(l_extendedprice, 0.5) as b, quantile_cont(l_extendedprice, 0.75) as c from lineitem))) group by 1")
 def a40_bucket_auto(spark, d):
     li = table(spark, d, "lineitem")
-    q = li.agg(*stats.quartiles(F.col("l_extendedprice")))
+    q = stats.quartiles(li, [], F.col("l_extendedprice"))
     v = F.col("l_extendedprice")
     bucket = F.when(v <= F.col("q1"), 1).when(v <= F.col("q2"), 2).when(v <= F.col("q3"), 3).otherwise(4)
     return li.join(F.broadcast(q)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))

@@ -36,9 +36,22 @@ def test_repeats_and_difference(spark):
 
 def test_quartiles_interpolate_and_skip_what_is_not_positive(spark):
     df = spark.createDataFrame([(x,) for x in (1.0, 2.0, 3.0, 4.0, -5.0, 0.0, None)], "x double")
-    assert rows(df.agg(*stats.quartiles(F.col("x")))) == [(1.75, 2.5, 3.25, 4.0)]
-    assert rows(df.limit(0).agg(*stats.quartiles(F.col("x")))) == [(None, None, None, None)]
-    assert rows(df.where("x = 1").agg(*stats.summary(F.col("x"))))[0][:3] == (1.0, 0.0, 1)
+    assert rows(stats.quartiles(df, [], F.col("x"))) == [(4, 1.75, 2.5, 3.25, 4.0)]
+    assert rows(stats.quartiles(df.limit(0), [], F.col("x"))) == []
+    one = stats.value_counts(df.where("x = 1"), [], F.col("x"))
+    assert rows(stats.with_moments(one, [], stats.quartiles_of(one, [])))[0] == (1, 1.0, 1.0, 1.0, 1.0, 1.0, 0.0)
+
+
+def test_quartiles_of_many_groups_and_repeated_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = {g: np.round(np.exp(rng.normal(3, width, n)), 1) for g, width, n in (("a", 2.0, 400), ("b", 0.01, 333), (None, 1e-9, 50), ("c", 1.0, 1))}
+    df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs], "g string, x double")
+    got = {r.g: tuple(r)[1:] for r in stats.quartiles(df, ["g"], F.col("x")).collect()}
+    assert set(got) == set(data)
+    for g, xs in data.items():
+        assert got[g][0] == (xs > 0).sum() and np.allclose(got[g][1:], [*np.quantile(xs[xs > 0], [0.25, 0.5, 0.75]), xs.max()])
 
 
 def test_indicator_thresholds(spark):
@@ -49,7 +62,7 @@ def test_indicator_thresholds(spark):
 
 def test_rollup_counts_a_period_over_all_its_rows(spark):
     df = spark.createDataFrame([("2024-01-01", 1.0), ("2024-01-02", 3.0), ("2024-02-01", 5.0)], "d string, v double").withColumn("d", F.to_date("d"))
-    out = stats.period_rollup(df, {"day": F.date_format("d", "yyyy-MM-dd"), "month": F.date_format("d", "yyyy-MM")}, [], "v")
+    out = stats.period_rollup(df, {"day": F.date_format("d", "yyyy-MM-dd"), "month": F.date_format("d", "yyyy-MM")}, [], ["v"])
     assert rows(out.select("period_type", "period_key", "avg", "count"), "period_type", "period_key")[-2:] == [("month", "2024-01", 2.0, 2), ("month", "2024-02", 5.0, 1)]
 
 
