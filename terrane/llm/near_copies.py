@@ -48,17 +48,20 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The shingles of which one at least is also in the prefix of every set that is similar enough.
+def prefix(found: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of which one at least is also in the prefix of every set that is similar enough, and how many are rare.
 
     frequent is ascending; places are the frequent ones' places in the order, after all others.
     """
     up, down = LEAST
     most = len(found) - -(-up * len(found) // down) + 1
     if not len(frequent):
-        return found[:most]
+        return found[:most], min(most, len(found))
     at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-    return found[np.argsort(np.where(frequent[at] == found, places[at], -1), kind="stable")][:most]
+    often = frequent[at] == found
+    rare = found[~often][:most]
+    rest = found[often][np.argsort(places[at[often]])][: most - len(rare)]
+    return np.concatenate([rare, rest]), len(rare)
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -102,8 +105,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 found = [np.unique(h.view(np.int64)) for h in hashes]
                 keys = [set_key(f) for f in found]
                 new = [key not in seen and not seen.add(key) for key in keys]
-                heads = [prefix(f, frequent, places) if is_new else f[:0] for f, is_new in zip(found, new, strict=True)]
-                rare = [len(h) - int(np.isin(h, frequent).sum()) for h in heads]
+                heads, rare = zip(*(prefix(f, frequent, places) if is_new else (f[:0], 0) for f, is_new in zip(found, new, strict=True)), strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads)))
                 sketches = pa.array([sketch(f).tolist() if is_new else None for f, is_new in zip(found, new, strict=True)], pa.list_(pa.int64()))
                 cols = [pa.array(keys, pa.int64()), pa.array([simhash.majority(h) for h in hashes], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array(rare, pa.int32()), sketches]
