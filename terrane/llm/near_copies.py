@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from terrane.operators.components import components
 
 from . import simhash
-from .common import rows_in, stored, text_key
+from .common import forget, rows_in, scratch, stored, text_key
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity from which texts link, as a fraction
-SKETCH = 512
+SKETCH = 512  # bits at least
 SAMPLE, SEEN, MOST_FREQUENT = 8_000, 3, 50_000
 
 
@@ -64,10 +64,19 @@ def prefix(found: np.ndarray, frequent: np.ndarray, places: np.ndarray) -> tuple
     return np.concatenate([rare, rest]), len(rare)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """SKETCH bits, each the parity of the shingles that fall on it: two sets differ in as many shingles at least as bits."""
-    odd = np.bincount((found.view(np.uint64) >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) % 2
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def sketch(found: np.ndarray) -> bytes:
+    """About a bit for each shingle, the parity of those that fall on it: two sets differ in as many shingles at least as bits."""
+    bits = SKETCH << max(0, (len(found) - 1) // SKETCH).bit_length()
+    odd = np.bincount((found.view(np.uint64) >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) % 2
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(one: bytes, other: bytes) -> int:
+    """The bits in which two sketches differ; the longer one is folded to the shorter one's length."""
+    a, b = (np.frombuffer(x, np.uint64) for x in (one, other))
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return int(np.unpackbits((a ^ b).view(np.uint8)).sum())
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -107,12 +116,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 new = [key not in seen and not seen.add(key) for key in keys]
                 heads, rare = zip(*(prefix(f, frequent, places) if is_new else (f[:0], 0) for f, is_new in zip(found, new, strict=True)), strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads)))
-                sketches = pa.array([sketch(f).tolist() if is_new else None for f, is_new in zip(found, new, strict=True)], pa.list_(pa.int64()))
+                sketches = pa.array([sketch(f) if is_new else None for f, is_new in zip(found, new, strict=True)], pa.binary())
                 cols = [pa.array(keys, pa.int64()), pa.array([simhash.majority(h) for h in hashes], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array(rare, pa.int32()), sketches]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["doc_id", "text_key", "set_key", "fp", "n", "prefix", "n_rare", "sketch"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, n int, prefix array<long>, n_rare int, sketch array<long>")
+    return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, n int, prefix array<long>, n_rare int, sketch binary")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -147,7 +156,10 @@ def shared_grams(rows: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set_key, grams (bytes of the sorted shingles) of the texts in wanted (doc_id, text_key, one for each set)."""
+    """set_key, grams (bytes of the sorted shingles) of the texts in wanted (doc_id, text_key, one for each set).
+
+    Rows that repeat one of these texts give its set once a task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -158,7 +170,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array(list(new.values()), pa.binary())], ["set_key", "grams"])
 
-    return rows_in(docs, wanted).select("text").mapInArrow(run, "set_key long, grams binary").groupBy("set_key").agg(F.first("grams").alias("grams"))
+    return rows_in(docs, wanted).select("text").mapInArrow(run, "set_key long, grams binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -170,10 +182,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFr
             yield b.select(["u", "v"]).filter(pa.array([similar(*p) for p in pairs], pa.bool_()))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).distinct()
-    sets = stored(_whole_sets(docs, distinct.join(nodes, "set_key", "left_semi")), "sets")
+    path = scratch(docs.sparkSession, "sets")
+    sets = stored(_whole_sets(docs, distinct.join(nodes, "set_key", "left_semi")), "sets", path)
     first, second = sets.select(F.col("set_key").alias("u"), F.col("grams").alias("left")), sets.select(F.col("set_key").alias("v"), F.col("grams").alias("right"))
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).join(first, "u").join(second, "v").select("u", "v", "left", "right")
-    return stored(both.mapInArrow(run, "u long, v long"), "edges")
+    edges = stored(both.mapInArrow(run, "u long, v long"), "edges")
+    forget(docs.sparkSession, path)
+    return edges
 
 
 def _near(n: str, rest: str, m: str, other_rest: str) -> Column:
@@ -182,19 +197,20 @@ def _near(n: str, rest: str, m: str, other_rest: str) -> Column:
     return F.least(rest, other_rest).cast("long") * (up + down) >= (F.col(n).cast("long") + F.col(m)) * up
 
 
-def _near_sketches(n: str, one: str, m: str, other: str) -> Column:
-    """Sketches that sets of n and m shingles can have if they are similar enough: these differ in 1/9 of n + m at most."""
+def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), in either order, whose sketches allow the similarity: sets of n and m shingles differ in 1/9 of n + m at most."""
     up, down = LEAST
-    bits = sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(SKETCH // 64)), F.lit(0))
-    return bits * (up + down) <= (F.col(n).cast("long") + F.col(m)) * (down - up)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(k) for k in range(2, 6)), strict=True)
+            near = [apart(x.as_py(), y.as_py()) * (up + down) <= (n.as_py() + m.as_py()) * (down - up) for n, m, x, y in rows]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b), in either order, whose sizes and sketches allow the similarity."""
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda key, n, sk: distinct.select(F.col("set_key").alias(key), F.col("n").alias(n), F.col("sketch").alias(sk))
-    both = pairs.join(side("a", "n", "one"), "a").join(side("b", "m", "other"), "b")
-    return both.where(_near_sketches("n", "one", "m", "other")).select("a", "b")
+    both = pairs.join(side("a", "n", "one"), "a").join(side("b", "m", "other"), "b").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
+    return both.select("a", "b", "n", "m", "one", "other").mapInArrow(run, "a long, b long")
 
 
 def _proposed(distinct: DataFrame) -> DataFrame:
@@ -217,22 +233,18 @@ def _by_hubs(shared: DataFrame) -> DataFrame:
 
 
 def _across(shared: DataFrame, labels: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle: those outside its group's main component with all others."""
+    """Allowed pairs (a, b) of different components that share a shingle: those outside its group's main component with all others."""
     named = shared.join(labels, "set_key", "left").select("gram", "set_key", "n", "rest", F.coalesce("label", "set_key").alias("label"))
     sizes = named.groupBy("gram", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    named = stored(named.join(main.select("gram", "main"), "gram").join(distinct.select("set_key", "sketch"), "set_key"), "open")
-    other = named.select("gram", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("label").alias("other"), F.col("sketch").alias("other_sketch"))
+    named = stored(named.join(main.select("gram", "main"), "gram"), "open")
+    other = named.select("gram", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("label").alias("other"))
     met = named.where("label != main").join(other, "gram")
-    met = met.where((F.col("label") != F.col("other")) & _near("n", "rest", "m", "other_rest") & _near_sketches("n", "sketch", "m", "other_sketch"))
-    return met.select(F.least("set_key", "b").alias("a"), F.greatest("set_key", "b").alias("b")).distinct()
+    return _allowed(met.where((F.col("label") != F.col("other")) & _near("n", "rest", "m", "other_rest")).select(F.col("set_key").alias("a"), "b"), distinct)
 
 
-def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def links(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
     """Edges (u, v) of set keys that connect all sets that a chain of similar ones joins."""
-    firsts = rows.where("sketch is not null")
-    distinct = stored(firsts.groupBy("set_key").agg(*[F.min_by(c, F.struct("doc_id", "text_key")).alias(c) for c in ("doc_id", "text_key")], F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "distinct")
-    shared = stored(shared_grams(rows), "shared")
     stars = stored(_allowed(_by_hubs(shared).unionByName(_proposed(distinct)), distinct), "stars")
     edges = _confirmed(stars, docs, distinct)
     labels = components(edges).withColumnRenamed("node", "set_key").withColumnRenamed("root", "label")
@@ -242,9 +254,14 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key, component_id: the smallest doc_id that links reach."""
-    rows = stored(shingle_sets(docs), "shingles")
-    comp = components(links(docs, rows)).withColumnRenamed("node", "set_key")
-    named = rows.select("doc_id", "text_key", "set_key").join(comp, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    spark = docs.sparkSession
+    path = scratch(spark, "shingles")
+    rows = stored(shingle_sets(docs), "shingles", path)
+    firsts = rows.where("sketch is not null").groupBy("set_key").agg(*[F.min_by(c, F.struct("doc_id", "text_key")).alias(c) for c in ("doc_id", "text_key")], F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    distinct, shared, keys = stored(firsts, "distinct"), stored(shared_grams(rows), "shared"), stored(rows.select("doc_id", "text_key", "set_key"), "set-keys")
+    forget(spark, path)
+    comp = components(links(docs, distinct, shared)).withColumnRenamed("node", "set_key")
+    named = keys.join(comp, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     firsts = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return named.join(firsts, "root").select("doc_id", "text_key", "set_key", "component_id")
 
