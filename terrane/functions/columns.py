@@ -94,6 +94,21 @@ def changed(old: Column, new: Column, tolerance: float | None = None) -> Column:
 # values
 
 
+def is_number(c: Column) -> Column:
+    """Whether a field of any type holds a number."""
+    return c.cast("string").try_cast("double").isNotNull()
+
+
+def count_is(items: Column, n: int) -> Column:
+    """Whether an array has n elements; a missing one has none."""
+    return F.coalesce(F.size(items), F.lit(0)) == n
+
+
+def first_filled(*cs: Column) -> Column:
+    """The first field that is neither null nor ''."""
+    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+
+
 def first_of(items: Column, default=None) -> Column:
     """The first element, or the default."""
     return F.coalesce(F.get(items, F.lit(0)), F.lit(default))
@@ -199,30 +214,46 @@ def cadastral_parts(code: Column) -> dict[str, Column]:
     return {"oblast_code": part(head.substr(1, 2)), "district_code": part(head.substr(3, 3)), "city_code": part(head.substr(6, 3)), "zone": part(F.get(groups, F.lit(1))), "quarter": part(F.get(groups, F.lit(2))), "parcel": part(F.get(groups, F.lit(3)))}
 
 
-def region_name(c: Column) -> Column:
-    """A region without its word for region and in the nominative."""
-    bare = F.trim(F.regexp_replace(c, "(?iu)\\s*(область|області|обл\\.?)\\s*$", ""))
-    return F.regexp_replace(bare, "(?iu)ській$", "ська")
+# The words for a hundred square metres, by case and number, and for a hectare.
+SOTKY = "сотка|сотки|сотку|соткою|сотками|сотках|соток|сотих|соті|соти|сотк|сот"
+HECTARES = "гектарів|гектари|гектара|гектар|га"
+SQUARE_METRES = "м²|м2|кв\\.?\\s?м"
+NUMBER = "\\d{1,3}(?:[ \\u00a0]\\d{3})+(?:[.,]\\d+)?|\\d+(?:[.,]\\d+)?"
 
 
-def settlement_name(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(c), "(?iu)^(м\\.|місто|с\\.|село|смт\\.?|селище)\\s*", ""))
+def numbers_before(text: Column, unit: str) -> Column:
+    """All numbers that stand before a unit, as doubles; blanks may part thousands."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)(?<![\\d.,])({NUMBER})\\s*(?:{unit})(?![\\p{{L}}\\d])"), F.lit(1))
+    return F.transform(found, lambda x: number(x))
 
 
-def numbers_before(text: Column, unit: str) -> Column:
-    """All numbers that stand before a unit, as doubles."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)(\\d+(?:[.,]\\d+)?)\\s*(?:{unit})(?!\\p{{L}})"), F.lit(1))
+def numbers_after(text: Column, words: str, unit: str) -> Column:
+    """All numbers that stand after one of the words and before no unit."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?iu)(?:{words})[:\\s]*({NUMBER})(?!\\d|[.,]\\d)(?!\\s?\\d)(?!\\s*(?:{unit}))"), F.lit(1))
     return F.transform(found, lambda x: number(x))
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def _units() -> str:
+    return f"{SQUARE_METRES}|{HECTARES}|{SOTKY}"
+
+
 def building_area(text: Column) -> Column:
-    return F.get(numbers_before(text, "м²|м2|кв\\.?\\s?м"), F.lit(0))
+    """The square metres that a text names, each mention once, or a bare number after the word for area; null without any."""
+    named = F.concat(numbers_before(text, SQUARE_METRES), numbers_after(text, "площа|площею", _units()))
+    some = F.filter(named, lambda v: (v > 0.1) & (v < 1e8))
+    return F.when(F.size(some) > 0, _total(some))
 
 
 def land_hectares(text: Column) -> Column:
-    """Land in hectares; hundredths of a hectare are summed where no hectares are given."""
-    sotky = F.aggregate(numbers_before(text, "соток|сотки|сотка|сот"), F.lit(0.0), lambda a, x: a + x)
-    return F.coalesce(F.get(numbers_before(text, "га"), F.lit(0)), F.when(sotky > 0, sotky * 0.01))
+    """The hectares that a text names, sotky as hundredths, each mention once; null without any."""
+    sotky = F.transform(numbers_before(text, SOTKY), lambda v: v * 0.01)
+    named = F.concat(numbers_before(text, HECTARES), sotky, numbers_after(text, "площа\\s+ділянки|площа\\s+землі|земельна\\s+ділянка", _units()))
+    some = F.filter(named, lambda v: (v > 0.00001) & (v < 100_000))
+    return F.when(F.size(some) > 0, _total(some))
 
 
 def phone(c: Column) -> Column:
@@ -271,8 +302,21 @@ def place_and_date(text: Column) -> dict[str, Column]:
     return {"place": F.trim(F.when(has, cut[0]).otherwise(text)), "date": F.when(has, F.trim(F.substring_index(text, " - ", -1)))}
 
 
-def street_and_house(text: Column) -> dict[str, Column]:
-    """A street and its house number, which follows the last comma or blank and begins with a digit."""
-    pattern = "^(.*?)[,\\s]+(\\d[\\p{L}\\d/\\-]*)$"
-    house = F.regexp_extract(F.trim(text), pattern, 2)
-    return {"street": F.when(house != "", F.trim(F.regexp_extract(F.trim(text), pattern, 1))).otherwise(F.trim(text)), "house": F.nullif(house, F.lit(""))}
+def card_hash(*fields: Column) -> Column:
+    """md5 of a search card's fields in their order; missing ones are left out."""
+    return F.md5(F.concat_ws("|", *fields).cast("binary"))
+
+
+def query_hash(text: Column) -> Column:
+    """md5 of a geocoding query, in lower case and with single blanks."""
+    return F.md5(F.lower(F.trim(F.regexp_replace(text, "\\s+", " "))).cast("binary"))
+
+
+def values_at(docs: Column, *path: str) -> Column:
+    """All filled values at a path through nested arrays of structs."""
+    field = lambda name: lambda x: x[name]
+    for i, name in enumerate(path):
+        docs = F.transform(docs, field(name))
+        if i < len(path) - 1:
+            docs = F.flatten(F.filter(docs, lambda x: x.isNotNull()))
+    return F.filter(docs, filled)

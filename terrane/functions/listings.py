@@ -34,7 +34,7 @@ USE_WORDS = {
     "клініка": ["клініка", "медцентр", "медичний центр", "поліклініка"],
     "салон": ["салон краси", "перукарня", "косметологія"],
     "спортзал": ["спортзал", "фітнес", "тренажерний зал"],
-    "автосервіс": ["автосервіс", "автомийка", "шиномонтаж", "сто"],
+    "автосервіс": ["автосервіс", "автомийка", "шиномонтаж", "СТО"],
 }
 
 # A use, the places nearby that speak for it, its least area, its base score.
@@ -58,9 +58,13 @@ LEASE_WORDS_IN_TEXT = ["оренд", "lease", "rent"]
 SALE_WORDS = ["продаж", "sale"]
 
 
-def any_word(text: Column, words: list[str]) -> Column:
-    """Whether the text holds any of the words, in any case; null texts hold none."""
-    return F.coalesce(text.rlike("(?iu)" + "|".join(re.escape(w) for w in words)), F.lit(False))
+def any_word(text: Column, words: list[str], whole_up_to: int = 0) -> Column:
+    """Whether the text holds any of the words, in any case; null texts hold none.
+
+    Words may stand inside others, as stems do, but those of at most whole_up_to letters only as words of their own.
+    """
+    alone = lambda w: f"(?<!\\p{{L}}){re.escape(w)}(?!\\p{{L}})" if len(w) <= whole_up_to else re.escape(w)
+    return F.coalesce(text.rlike("(?iu)" + "|".join(alone(w) for w in words)), F.lit(False))
 
 
 # addresses
@@ -115,10 +119,12 @@ def kind_of_items(items: Column) -> Column:
     return F.when(land & building, LAND_AND_BUILDING).when(land, LAND).when(building, BUILDING).otherwise(OTHER)
 
 
-def is_lease(lease_type: Column, sale_type: Column, procedure: Column, codes: Column, text: Column) -> Column:
-    """Whether a lot is let; the first rule that speaks decides: kind of lease, of sale, procedure, codes, text."""
+def is_lease(lease_type: Column, sale_type: Column, procedure: Column, codes: Column, text: Column, code_texts: Column | None = None) -> Column:
+    """Whether a lot is let; the first rule that speaks decides: kind of lease, of sale, procedure, codes, their descriptions, text."""
     by_text = any_word(text, LEASE_WORDS_IN_TEXT) & ~any_word(text, SALE_WORDS)
     marked = F.coalesce(F.array_contains(codes, LEASE_CODE), F.lit(False))
+    if code_texts is not None:
+        marked = marked | C.elem_match(code_texts, lambda t: any_word(t, LEASE_WORDS_IN_TEXT))
     return F.when(C.filled(lease_type), True).when(C.filled(sale_type), False).when(any_word(procedure, LEASE_WORDS) | marked, True).otherwise(by_text)
 
 
@@ -134,7 +140,7 @@ def is_open_lot(status: Column, start: Column, now: Column, codes: Column, extra
 
 def uses_in_text(text: Column) -> Column:
     """The uses that a text speaks of, in the order of the table."""
-    return F.array_compact(F.array(*[F.when(any_word(text, words), F.lit(use)) for use, words in USE_WORDS.items()]))
+    return F.array_compact(F.array(*[F.when(any_word(text, words, 3), F.lit(use)) for use, words in USE_WORDS.items()]))
 
 
 def ranked_uses(known: Column, area: Column, nearby: Column, most: int = 10, least: int = 50) -> Column:
@@ -167,8 +173,7 @@ def listed_date(text: Column, today: Column) -> Column:
 
 def sotky(text: Column) -> Column:
     """The different numbers of sotky (100 m2) that a text names, up to 100,000."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?iu)(\\d[\\d\\s]*[.,]?\\d*)\\s*сот(?:к(?:а|и|у|ою|ами|ах)?|ок|их|і|и)?(?![\\p{L}\\d])"), F.lit(1))
-    values = F.transform(found, lambda x: F.round(C.number(x), 4))
+    values = F.transform(C.numbers_before(text, C.SOTKY), lambda x: F.round(x, 4))
     return F.array_distinct(F.filter(values, lambda v: (v > 0) & (v <= 100_000)))
 
 

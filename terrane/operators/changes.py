@@ -57,3 +57,26 @@ def add_counts(old: DataFrame, new: DataFrame, key: list[str], count: str) -> Da
 def dimension(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct members of a dimension with a key made from their values, the same on every run."""
     return df.select(*columns).distinct().withColumn("id", F.xxhash64(*columns))
+
+
+def delete_prefix(df: DataFrame, key: str, prefix: str) -> DataFrame:
+    return delete_where(df, F.col(key).startswith(prefix))
+
+
+def unexpired(df: DataFrame, expires: str, now: Column) -> DataFrame:
+    """Rows whose time has not come; rows without one stay."""
+    return df.where(F.col(expires).isNull() | (F.col(expires) > now))
+
+
+def promote(raw: DataFrame, main: DataFrame, key: list[str], columns: list[str], now: Column) -> DataFrame:
+    """main with the raw rows that are new or changed, by a hash of columns kept in version_hash; promoted_at says when."""
+    fresh = raw.select(*key, *columns, content_hash(columns).alias("version_hash"))
+    known = main.select(*key, F.col("version_hash").alias("known"))
+    moved = fresh.join(known, key, "left").where(~F.col("version_hash").eqNullSafe(F.col("known"))).drop("known").withColumn("promoted_at", now)
+    return replace_rows(main, moved, key)
+
+
+def reordered(df: DataFrame, key: str, ids: list, order: str) -> DataFrame:
+    """df with order from the places of ids (from 0); rows that are not listed follow in their former order."""
+    listed = F.array_position(F.array(*[F.lit(i) for i in ids]), F.col(key)) if ids else F.lit(0)
+    return df.withColumn(order, F.when(listed > 0, listed - 1).otherwise(F.col(order) + len(ids)))

@@ -91,3 +91,65 @@ def majority_address(addresses: DataFrame, doc: list[str], place: list[str], com
     votes = addresses.groupBy(*doc, *place).agg(F.max(complete).alias("full"), F.count_if(F.col(complete)).alias("n_full"), F.count("*").alias("n"), F.min(order).alias("met"))
     rank = F.struct((-F.col("full").cast("int")).alias("a"), F.when(F.col("full"), -F.col("n_full")).otherwise(-F.col("n")).alias("b"), "met")
     return votes.groupBy(*doc).agg(F.min_by(F.struct(*place), rank).alias("best")).select(*doc, "best.*")
+
+
+def linked_objects(df: DataFrame, keys: list[Column], ident: Column, attributes: list[str]) -> DataFrame:
+    """One row for each object: rows are the same object where any filled key is the same, through others as well.
+
+    Keys of different kinds never match; a row without any key is an object of its own. A key's rows are linked to its
+    smallest ident, so links grow with the rows. Attributes are the first filled ones by ident; n_refs counts the rows.
+    """
+    named = F.array_compact(F.array(*[F.when(k.isNotNull() & (k.cast("string") != ""), F.concat(F.lit(f"{i}:"), k.cast("string"))) for i, k in enumerate(keys)]))
+    rows = df.withColumn("ref", ident.cast("long"))
+    keyed = rows.select("ref", F.explode(named).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("ref").alias("first"))
+    links = keyed.join(first, "key").where("ref != first").select(F.col("ref").alias("u"), F.col("first").alias("v"))
+    roots = components(links).select(F.col("node").alias("ref"), F.col("root").alias("first_ref"))
+    named_rows = rows.join(roots, "ref", "left").withColumn("first_ref", F.coalesce("first_ref", "ref"))
+    best = [F.min_by(a, F.when(F.col(a).isNotNull(), F.col("ref"))).alias(a) for a in attributes]
+    return named_rows.groupBy("first_ref").agg(F.count("*").alias("n_refs"), *best)
+
+
+def resolve_snowflake(known: dict[str, DataFrame], rows: DataFrame, levels: list[str]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Find or create each level of a place under the level above it; rows with a key for each level, and the new tables.
+
+    levels go from the widest to the narrowest. A table holds (id, parent_id, name); an id is a hash of its parent's id
+    and its name, so the same place has the same id on every run. A missing name ends the path: levels below are null.
+    """
+    out, tables, parent = rows, {}, F.lit(0).cast("long")
+    for level in levels:
+        key = F.when(F.col(level).isNotNull() & parent.isNotNull(), F.xxhash64(parent, F.lit(level), F.col(level)))
+        out = out.withColumn(f"{level}_id", key)
+        found = out.select(F.col(f"{level}_id").alias("id"), parent.alias("parent_id"), F.col(level).alias("name")).where("id is not null").distinct()
+        old = known.get(level)
+        tables[level] = found if old is None else old.unionByName(found.join(old, "id", "left_anti"))
+        parent = F.col(f"{level}_id")
+    return out, tables
+
+
+def earlier_repeats(df: DataFrame, same: Column, ident: str, created: str) -> DataFrame:
+    """ident, is_repeat, earlier: whether another row of the same key was created earlier, or has or meets no date; its idents' links.
+
+    A row without a date repeats every other row of its key, and is repeated by each. The dated ones are listed by a
+    running window over the dates; rows of the same date do not repeat each other.
+    """
+    from pyspark.sql.window import Window
+
+    keyed = df.select(ident, created, same.alias("same_key"))
+    w = Window.partitionBy("same_key")
+    before = w.orderBy(F.col(created).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
+    told = keyed.withColumns({"n": F.count("*").over(w), "undated": F.count_if(F.col(created).isNull()).over(w), "upto": F.count(created).over(before), "equal": F.count(created).over(Window.partitionBy("same_key", created))})
+    n = F.when(F.col(created).isNull(), F.col("n") - 1).otherwise(F.col("undated") + F.col("upto") - F.col("equal"))
+    return told.select(ident, (n > 0).alias("is_repeat"), n.cast("long").alias("n_earlier"))
+
+
+def region_and_local_context(rows: DataFrame, months: DataFrame, region: str, city: str, price: str) -> DataFrame:
+    """rows with n_similar, local and regional means of the latest month, and which of them the price is nearer to.
+
+    months holds region, city, month, mean, n. Rows without a settlement of their own get the region alone.
+    """
+    local = months.groupBy(region, city).agg(F.sum("n").alias("n_similar"), F.max_by("mean", "month").alias("local"))
+    wide = months.groupBy(region, "month").agg((F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean")).groupBy(region).agg(F.max_by("mean", "month").alias("regional"))
+    both = rows.join(local, [region, city], "left").join(wide, region, "left").withColumn("n_similar", F.coalesce("n_similar", F.lit(0)))
+    near = F.abs(F.col(price) - F.col("local")) - F.abs(F.col(price) - F.col("regional"))
+    return both.withColumn("note", F.when(F.col("local").isNull(), "region only").when(near <= 0, "as the settlement").otherwise("as the region"))

@@ -93,3 +93,32 @@ def broken_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """rule, count: how many rows break each rule (a rule that is null for a row is broken)."""
     names = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))
     return df.select(F.explode(names).alias("rule")).groupBy("rule").agg(F.count("*").alias("count"))
+
+
+def first_non_empty(candidates: list[DataFrame]) -> DataFrame:
+    """The first of several tables that has a row; the last where none has."""
+    for df in candidates[:-1]:
+        if not df.isEmpty():
+            return df
+    return candidates[-1]
+
+
+def auto_buckets(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
+    """bucket, n, lo, hi: n buckets of rows as equal in number as can be, the first ones a row larger, in the order of value and tie.
+
+    A sort over partitions numbers the rows: places within a partition, and the rows of the partitions before it.
+    """
+    dealt = df.select(value, tie).repartitionByRange(F.col(value), F.col(tie)).withColumn("part", F.spark_partition_id())
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("held"))
+    before = sizes.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))  # a row for each partition
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(value, tie)) - 1
+    large, small = F.floor(F.col("total") / n) + 1, F.greatest(F.floor(F.col("total") / n), F.lit(1))
+    first = F.col("total") % n * large
+    bucket = F.when(F.col("place") < first, F.floor(F.col("place") / large)).otherwise(F.col("total") % n + F.floor((F.col("place") - first) / small)) + 1
+    rows = dealt.join(before, "part").withColumn("place", place)
+    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+
+
+def sampled(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """About a share of the rows, the same on every run: those whose key's hash is low."""
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -42,8 +42,11 @@ def months(first: str, last: str) -> Column:
     return F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("interval 1 month")))
 
 
-def tile_cells(spark, west: float, south: float, east: float, north: float, zoom: int) -> DataFrame:
-    """x, y and bounds of the map tiles over a box, in the usual web projection."""
+def tile_cells(spark, west: float, south: float, east: float, north: float, zoom: int, first: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """x, y, bounds and priority of the map tiles over a box, in the usual web projection.
+
+    Tiles that meet the box `first` (west, south, east, north) have priority 0, all others 1.
+    """
     import math
 
     n = 2**zoom
@@ -54,7 +57,9 @@ def tile_cells(spark, west: float, south: float, east: float, north: float, zoom
     cells = grid.select((F.col("id") % wide + x(west)).alias("x"), (F.floor(F.col("id") / wide) + y(north)).alias("y"))
     lon = lambda c: c / F.lit(float(n)) * 360 - 180
     lat = lambda c: F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * c / F.lit(float(n))))))
-    return cells.select("x", "y", lon(F.col("x")).alias("west"), lat(F.col("y") + 1).alias("south"), lon(F.col("x") + 1).alias("east"), lat(F.col("y")).alias("north"))
+    cells = cells.select("x", "y", lon(F.col("x")).alias("west"), lat(F.col("y") + 1).alias("south"), lon(F.col("x") + 1).alias("east"), lat(F.col("y")).alias("north"))
+    meets = (F.col("west") < first[2]) & (F.col("east") > first[0]) & (F.col("south") < first[3]) & (F.col("north") > first[1]) if first else F.lit(False)
+    return cells.withColumn("priority", F.when(meets, 0).otherwise(1))
 
 
 PARCELS = "features array<struct<geometry struct<type string, coordinates array<array<array<double>>>>, properties struct<number string, area double, purpose string, ownership string>>>"
@@ -82,7 +87,74 @@ def page_fields(html: Column) -> dict[str, Column]:
     }
 
 
-def page_state(html: Column) -> Column:
-    """'blocked', 'inactive', 'empty' or 'ok', by phrases and by how much text a page has."""
-    low = F.lower(html)
-    return F.when(low.rlike("captcha|access denied|are you a robot"), "blocked").when(low.rlike("no longer available|has been removed|not found"), "inactive").when(F.length(page_fields(html)["text"]) < 40, "empty").otherwise("ok")
+# Phrases of pages that check the visitor, and of listings that are gone.
+BLOCKED = ["captcha", "cloudflare", "перевірка браузера", "перевірте, що ви не робот", "please wait", "just a moment", "enable javascript", "увімкніть javascript", "ddos protection", "checking your browser", "ray id", "cf-browser-verification", "challenge-running", "turnstile"]
+INACTIVE = ["оголошення неактивне", "прибрано з публікації", "знято з публікації", "оголошення не знайдено", "ми не знайшли оголошення", "таке оголошення не знайдено", "об'єкт не знайдено", "сторінку не знайдено"]
+
+
+def page_state(html: Column, least: int = 40) -> Column:
+    """'blocked', 'inactive', 'empty' (under `least` characters of text) or 'ok'."""
+    import re
+
+    low = F.translate(F.lower(html), "\u00a0\u202f", "  ")
+    says = lambda phrases: low.rlike("|".join(re.escape(p) for p in phrases))
+    return F.when(html.isNull() | (F.trim(html) == ""), "empty").when(says(BLOCKED), "blocked").when(says(INACTIVE), "inactive").when(F.length(page_fields(html)["text"]) < least, "empty").otherwise("ok")
+
+
+def newest_file(spark, path: str, pattern: str) -> DataFrame:
+    """file, modified: the file under path that was modified last among those whose name fits the pattern."""
+    files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
+    named = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).where(F.col("file").rlike(pattern))
+    return named.agg(F.max_by("file", F.struct("modificationTime", "file")).alias("file"), F.max("modificationTime").alias("modified"))
+
+
+def dates_in_name(name: Column) -> dict[str, Column]:
+    """The first and last day that a file's name gives, as 2024-01-05_2024-02-01 or 05.01.2024-01.02.2024; null where it gives none."""
+    iso, dotted = "(\\d{4}-\\d{2}-\\d{2})", "(\\d{2}\\.\\d{2}\\.\\d{4})"
+    day = lambda k: F.coalesce(F.regexp_extract(name, f"{iso}_{iso}", k).try_cast("date"), F.try_to_timestamp(F.nullif(F.regexp_extract(name, f"{dotted}-{dotted}", k), F.lit("")), F.lit("dd.MM.yyyy")).cast("date"))
+    return {"first": day(1), "last": day(2)}
+
+
+def report(template: list[tuple[str, DataFrame]], base: str, kind: str = "csv") -> dict[str, str]:
+    """Write each named part of a template under base, as CSV with commas or as JSON; the parts' paths."""
+    paths = {}
+    for name, df in template:
+        paths[name] = f"{base}/{name}"
+        if kind == "csv":
+            write_csv(df, paths[name], ",")
+        else:
+            write_json(df, paths[name])
+    return paths
+
+
+def rebuild(df: DataFrame, path: str) -> str:
+    """Write a whole new version of a table beside the old ones and return its path; readers change over at once."""
+    import uuid
+
+    fresh = f"{path}/version-{uuid.uuid4().hex}"
+    df.write.parquet(fresh)
+    return fresh
+
+
+# The start of a card's link in a list of pages, and what a card may hold.
+CARD = "(?s)<a\\s[^>]*href=\"[^\"]*\"[^>]*>.*?</a>"
+
+
+def html_cards(html: Column) -> Column:
+    """The cards of a page of results: place (from 1), link, title (the link's text without tags), price, from its numbers."""
+    found = F.regexp_extract_all(html, F.lit(CARD), F.lit(0))
+    text = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "(?s)<[^>]*>", " "), "\\s+", " "))
+    from terrane.functions.columns import price_in_text
+
+    return F.transform(found, lambda c, i: F.struct((i + 1).alias("place"), F.regexp_extract(c, "href=\"([^\"]*)\"", 1).alias("link"), text(c).alias("title"), price_in_text(text(c)).alias("price")))
+
+
+def largest_ring(rings: Column) -> Column:
+    """The ring of the most area, closed; rings of fewer than three points are none."""
+    def area(r: Column) -> Column:
+        nxt = F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1))
+        return F.abs(F.aggregate(F.zip_with(r, nxt, lambda p, q: p[0] * q[1] - q[0] * p[1]), F.lit(0.0), lambda a, x: a + x)) / 2
+
+    sized = F.transform(F.filter(rings, lambda r: F.size(r) > 2), lambda r: F.struct(area(r).alias("area"), r.alias("ring")))
+    best = F.array_max(sized)["ring"]
+    return F.when(best[0] == F.element_at(best, -1), best).otherwise(F.concat(best, F.slice(best, 1, 1)))

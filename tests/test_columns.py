@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import columns as C
+from terrane.functions import listings as L
+from terrane.functions import places as P
 
 
 def values(spark, rows, schema, column):
@@ -98,14 +100,32 @@ def test_urls_and_phones(spark):
 
 
 def test_names_of_places(spark):
-    assert values(spark, ["Волинській області", "Київська область", "Львівська"], "x string", C.region_name(F.col("x"))) == ["Волинська", "Київська", "Львівська"]
-    assert values(spark, ["м. Київ", "село Гора", "Київ"], "x string", C.settlement_name(F.col("x"))) == ["Київ", "Гора", "Київ"]
+    assert values(spark, ["Волинській області", "Київська область", "Львівська"], "x string", P.region_name(F.col("x"))) == ["Волинська", "Київська", "Львівська"]
+    assert values(spark, ["м. Київ", "село Гора", "Київ"], "x string", P.settlement_name(F.col("x"))) == ["Київ", "Гора", "Київ"]
 
 
 def test_areas_in_text(spark):
     rows = ["будинок 65 м², ділянка 0,5 га", "10 соток та 2,5 сотки", "без площі", None]
     assert values(spark, rows, "x string", C.building_area(F.col("x"))) == [65.0, None, None, None]
     assert values(spark, rows, "x string", F.round(C.land_hectares(F.col("x")), 6)) == [0.5, 0.125, None, None]
+    more = ["1 200 м²", "1\u00a0200,5 кв.м та 20 м2", "кв. 5 65 м²", "площа: 85", "площа 85 соток", "м² 12"]
+    assert values(spark, more, "x string", C.building_area(F.col("x"))) == [1200.0, 1220.5, 65.0, 85.0, None, None]
+
+
+def test_short_words_stand_alone(spark):
+    texts = ["Продам дім, місто Київ, простора кухня", "Станція СТО", "Барвінок біля бару", "цех, склад", None]
+    assert values(spark, texts, "x string", F.array_join(L.uses_in_text(F.col("x")), ",")) == ["", "автосервіс", "", "склад,виробництво", ""]
+
+
+def test_place_tree(spark):
+    schema = "city string, region string, addresses array<struct<settlement:string,region:string,latitude:double,longitude:double>>"
+    rows = [("Київ", None, None), (None, "Одеська", [("Київ", "Київська", 50.4, 30.5)]), ("Суми", "Сумська", []), (None, None, None)]
+    tree = lambda p: values(spark, rows, schema, P.located(p, F.col("city"), F.col("region"), F.col("addresses")))
+    assert tree(P.Places(["Київ"])) == [True, True, False, False]
+    assert tree(P.Places([], ["Одеська", "Сумська"])) == [False, True, True, False]
+    assert tree(P.Places(not_regions=["Одеська"])) == [True, False, True, True]
+    assert tree(P.Places(["Київ"], [], [], [], (50.45, 30.52, 10.0))) == [False, True, False, False]
+    assert tree(P.Places()) == [True] * 4
 
 
 def test_distances(spark):
@@ -138,5 +158,5 @@ def test_prices_places_and_streets_in_text(spark):
     assert values(spark, ["від 12 500,50 грн до 99", "50", None], "x string", C.price_in_text(F.col("x"))) == [12500.5, None, None]
     p = C.place_and_date(F.col("x"))
     assert [tuple(v) for v in values(spark, ["Київ - Центр - Сьогодні", "Львів"], "x string", F.struct(p["place"], p["date"]))] == [("Київ - Центр", "Сьогодні"), ("Львів", None)]
-    s = C.street_and_house(F.col("x"))
-    assert [tuple(v) for v in values(spark, ["вул. Незалежності, 12а", "вул. Нова"], "x string", F.struct(s["street"], s["house"]))] == [("вул. Незалежності", "12а"), ("вул. Нова", None)]
+    s = P.street_and_house(F.col("x"))
+    assert [tuple(v) for v in values(spark, ["вул. Незалежності, 12а", "вул. Нова"], "x string", F.struct(s["street"], s["house"]))] == [("Незалежності", "12а"), ("Нова", None)]

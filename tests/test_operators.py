@@ -178,3 +178,41 @@ def test_broken_rules_are_counted(spark):
     df = spark.createDataFrame([(1, "a"), (-1, None), (None, "b")], "n int, s string")
     out = groups.broken_rules(df, {"n positive": F.col("n") > 0, "s present": F.col("s").isNotNull()})
     assert rows(out, "rule") == [("n positive", 2), ("s present", 1)]
+
+
+def test_schema_profile_goes_into_nested_fields(spark):
+    from terrane.operators import profiles
+
+    df = spark.createDataFrame([(1, [("a", None), ("b", 2)]), (None, None), (3, [])], "k int, items array<struct<n:string,v:int>>")
+    got = {r.path: (r.type, r.nullable, r.n_values, round(r.rate, 4), r.examples) for r in profiles.schema_profile(df).collect()}
+    assert got["k"] == ("int", True, 2, 0.6667, ["1", "3"])
+    assert got["items"] == ("array", True, 2, 0.6667, [])
+    assert got["items[].n"] == ("string", False, 2, 0.3333, ["a", "b"]) or got["items[].n"][:3] == ("string", False, 2)
+    assert got["items[].v"][:3] == ("int", True, 1)
+
+
+def test_linked_objects_join_through_either_key(spark):
+    from terrane.operators import entities
+
+    df = spark.createDataFrame([(1, "x", None), (2, "x", "p"), (3, None, "p"), (4, None, None), (5, "y", ""), (6, "", None)], "id long, a string, b string")
+    got = rows(entities.linked_objects(df, [F.col("a"), F.col("b")], F.col("id"), ["a"]), "first_ref")
+    assert got == [(1, 3, "x"), (4, 1, None), (5, 1, "y"), (6, 1, "")]
+
+
+def test_snowflake_ids_are_the_same_on_every_load(spark):
+    from terrane.operators import entities
+
+    df = spark.createDataFrame([("r", "c"), ("r", "d"), ("s", "c"), (None, "c"), ("r", None)], "region string, city string")
+    first, tables = entities.resolve_snowflake({}, df.limit(2), ["region", "city"])
+    again, more = entities.resolve_snowflake(tables, df, ["region", "city"])
+    assert more["region"].count() == 2 and more["city"].count() == 3
+    assert again.where("region is null and city_id is not null").count() == 0
+    assert first.join(again, ["region", "city", "region_id", "city_id"]).count() == 2
+
+
+def test_repeats_and_missing_dates(spark):
+    from terrane.operators import entities
+
+    df = spark.createDataFrame([(1, "a", "2024-01-01"), (2, "a", "2024-01-02"), (3, "a", "2024-01-02"), (4, "a", None), (5, "b", None), (6, "c", "2024-01-01")], "id int, h string, t string")
+    got = rows(entities.earlier_repeats(df, F.col("h"), "id", "t"), "id")
+    assert got == [(1, True, 1), (2, True, 2), (3, True, 2), (4, True, 3), (5, False, 0), (6, False, 0)]
