@@ -41,8 +41,8 @@ def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), passages=suffix_dedup.WORDS)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.col("n_passage").alias("n_passage_bytes"))
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

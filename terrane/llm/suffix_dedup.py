@@ -59,6 +59,7 @@ MOST_CONTEXTS = 20_000  # of one key, resolved in one task (48 MB of hashes); ke
 SLICE = 500_000
 SPOKEN = re.compile(rb"[^ \t-\r]+")
 ENTRY = "key long, ctx long, doc_id long, text_key long, lo int, hi int"
+SPANS = "array<struct<from:int,to:int>>"
 _rolls: dict[int, Rolling] = {}
 
 
@@ -346,7 +347,7 @@ def repeated_spans(docs: DataFrame, kind: Symbols = BYTES, batches: int | None =
     parts = _within_keys(bodies.where(F.col("n_ctx") <= MOST_CONTEXTS), kind)
     parts = parts.unionByName(_by_windows(bodies.where(F.col("n_ctx") > MOST_CONTEXTS), kind))
     some = parts.groupBy("key", "ctx").agg(F.collect_list(F.struct("from", "to")).alias("runs"))
-    whole = ctxs.where("n_same > 1").select("key", "ctx", F.lit(None).cast("array<struct<from:int,to:int>>").alias("runs"))
+    whole = ctxs.where("n_same > 1").select("key", "ctx", F.lit(None).cast(SPANS).alias("runs"))
     some = some.join(whole.select("key", "ctx"), ["key", "ctx"], "left_anti")
     runs = F.coalesce("runs", F.array(F.struct(F.lit(0).alias("from"), (F.col("hi") - F.col("lo") + 1).alias("to"))))
     resolved = stored(whole.unionByName(some), "resolved")  # read from files, so that a hot context's entries can be split
@@ -368,29 +369,45 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs that have no spans, and those that have, as row (a struct) and spans: only their texts are shuffled."""
+    """The rows of docs that have no spans, and those that have, as row (a struct) beside them: only their texts are shuffled."""
     spans = stored(spans, "spans")
     rows = rows_in(docs, spans).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key().alias("key"))
     on = rows["id"].eqNullSafe(spans["doc_id"]) & (rows["key"] == spans["text_key"])
-    return rows_in(docs, spans, "left_anti"), rows.join(spans, on).select("row", "spans")
+    return rows_in(docs, spans, "left_anti"), rows.join(spans, on).drop("id", "key", "doc_id", "text_key")
 
 
-def remove_repeats(docs: DataFrame, kind: Symbols = BYTES, batches: int | None = None) -> DataFrame:
-    """Per row of docs: doc_id, kept (bytes), n_bytes, n_removed, n_spans."""
-    clean, hit = _with_spans(docs.select("doc_id", "text"), repeated_spans(docs, kind, batches))
+def _joined(spans: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, text_key, spans and passages, either of which may be null."""
+    none = F.lit(None).cast(SPANS)
+    both = spans.select("doc_id", "text_key", "spans", none.alias("passages")).unionByName(passages.select("doc_id", "text_key", none.alias("spans"), F.col("spans").alias("passages")))
+    return both.groupBy("doc_id", "text_key").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages"))
+
+
+def remove_repeats(docs: DataFrame, kind: Symbols = BYTES, batches: int | None = None, passages: Symbols | None = None) -> DataFrame:
+    """Per row of docs: doc_id, kept (bytes), n_bytes, n_removed, n_spans, n_passage.
+
+    n_passage is the number of the text's bytes that stand in repeats of another kind (passages), which stay; 0 without one.
+    """
+    spans = repeated_spans(docs, kind, batches)
+    spans = _joined(spans, repeated_spans(docs, passages, batches) if passages else spans.limit(0))
+    clean, hit = _with_spans(docs.select("doc_id", "text"), spans)
+    counts = ("n_bytes", "n_removed", "n_spans", "n_passage")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                raw = [_raw(t) for t in part.column(1).to_pylist()]
-                done = [cut(r, byte_spans(r, s, kind)) for r, s in zip(raw, part.column(2).to_pylist(), strict=True)]
-                cols = [part.column(0), pa.array([d[0] for d in done], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(r) for r in raw], [d[1] for d in done], [d[2] for d in done]))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+                kept, n = [], []
+                for t, s, p in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    raw = _raw(t)
+                    left, removed, runs = cut(raw, byte_spans(raw, s or [], kind))
+                    kept.append(left)
+                    n.append((len(raw), removed, runs, cut(raw, byte_spans(raw, p or [], passages))[1] if passages else 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in zip(*n, strict=True))], ["doc_id", "kept", *counts])
 
     doc_id, raw, none = F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
-    cut_rows = hit.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.text", "spans").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return cut_rows.unionByName(clean.select(doc_id, raw.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans")))
+    cut_rows = hit.select(F.col("row.doc_id").cast("long").alias("doc_id"), "row.text", "spans", "passages").mapInArrow(run, "doc_id long, kept binary, " + ", ".join(f"{c} long" for c in counts))
+    return cut_rows.unionByName(clean.select(doc_id, raw.alias("kept"), F.octet_length(raw).cast("long").alias("n_bytes"), *[none.alias(c) for c in counts[1:]]))
 
 
 def without_repeats(docs: DataFrame, kind: Symbols = BYTES, batches: int | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from terrane.llm import suffix_dedup
 
 DOCS = "doc_id long, text string, n_chars long"
 
@@ -39,3 +40,10 @@ def test_shared_passages_of_51_words_go_and_of_50_stay(spark):
             assert i not in got
     assert got[99].text is None
     assert sum(w != t.split() for w, t in zip(want, texts, strict=True)) == 9
+    # the byte rule reaches none of these, but says how much of a text stands in such passages
+    df = spark.createDataFrame(rows, DOCS)
+    told = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, passages=suffix_dedup.WORDS).collect()}
+    for i, (words, t) in enumerate(zip(want, texts, strict=True)):
+        left = got[i].text if i in got else ""
+        assert told[i].n_passage == len(t.encode()) - len((left or "").encode()) and bytes(told[i].kept).decode() == t
+    assert told[99].n_passage == 0 and told[99].n_bytes == 0
