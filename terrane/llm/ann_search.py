@@ -3,10 +3,11 @@
 Unit vectors are cut into pairs of dimensions, each with 16 codewords: four bits a pair. Codes and codewords minimise
 ``|r|^2 + (eta - 1) * <r, x/|x|>^2`` for the residual r, which weighs the error parallel to the vector eta times: that
 is the part which disturbs large inner products. A query builds a table of its inner products with all codewords, two
-codes are looked up at once as a byte, and the sums rank a block. The best of them, and all others whose sum comes
-within a margin of the k-th exact score found, are scored exactly.
+codes are looked up at once as a byte, and the sums rank a block. Of all blocks' best the SHORTLIST with the largest
+sums, and all others within a margin of the k-th sum, meet the original vectors and are scored exactly.
 
-The codebook is fitted on a bounded sample, the SAMPLE rows whose ids have the smallest hashes; every row is indexed.
+The codebook is fitted on a bounded sample, the SAMPLE rows whose ids have the smallest hashes; every row is indexed
+once, as its codes in a stored table, and only codes are dealt to the blocks of queries.
 
 Edge cases: see ``vectors.usable``; zero vectors take no part; fewer than k candidates are all returned; ties go to the
 smaller vec_id; an empty table gives no rows.
@@ -14,12 +15,16 @@ smaller vec_id; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import stored
-from .vectors import matrix, search_in_blocks, usable
+from .vectors import best, grid, matrix, usable
 
 SAMPLE = 8_192
 WORDS = 16
@@ -81,64 +86,90 @@ def fit(x: np.ndarray, rounds: int = 6, seed: int = 5) -> np.ndarray:
     return book
 
 
-class Index:
-    """A block's codes, two to a byte."""
-
-    def __init__(self, rows: np.ndarray, book: np.ndarray) -> None:
-        self.rows, self.book = rows, book
-        self.norms = np.sqrt((rows * rows).sum(axis=1))
-        x = unit(rows)
-        codes = encode(x, book, eta(2 * x.shape[1]))
-        r = x - book[np.arange(x.shape[1]), codes]
-        self.error = float(np.sqrt((r**2).sum(axis=(1, 2)).mean() / (2 * x.shape[1])))
-        if codes.shape[1] % 2:
-            codes = np.pad(codes, ((0, 0), (0, 1)))
-        self.bytes = np.ascontiguousarray((codes[:, ::2] << 4 | codes[:, 1::2]).T)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        norm = np.sqrt((query * query).sum())
-        table = np.einsum("mwd,md->mw", self.book, unit(query[None])[0])
-        if len(table) % 2:
-            table = np.pad(table, ((0, 1), (0, 0)))
-        both = (table[::2, :, None] + table[1::2, None, :]).reshape(len(table) // 2, WORDS * WORDS).astype(np.float32)
-        sums = np.zeros(self.bytes.shape[1], np.float32)
-        for t, b in zip(both, self.bytes, strict=True):
-            sums += t[b]
-        if own >= 0:
-            sums[own] = -np.inf
-        n = len(sums)
-        short = np.argpartition(-sums, min(SHORTLIST, n - 1))[:SHORTLIST] if n > SHORTLIST else np.arange(n)
-        score = self._exact(short, query, norm)
-        if n > SHORTLIST:
-            bound = np.sort(score)[-k] - MARGIN * self.error
-            more = np.flatnonzero(sums >= bound)
-            short = np.union1d(short, more)
-            score = self._exact(short, query, norm)
-        keep = short != own
-        short, score = short[keep], score[keep]
-        best = np.lexsort((short, -score))[:k]
-        return short[best], score[best]
-
-    def _exact(self, at: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
-        return (self.rows[at] * query).sum(axis=1) / (self.norms[at] * norm)
+def packed(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The codes of rows, two to a byte: (n, bytes)."""
+    codes = encode(unit(rows), book, eta(2 * len(book)))
+    if codes.shape[1] % 2:
+        codes = np.pad(codes, ((0, 0), (0, 1)))
+    return codes[:, ::2] << 4 | codes[:, 1::2]
+
+
+def error_of(rows: np.ndarray, book: np.ndarray) -> float:
+    """The standard deviation of a quantised score's error."""
+    x = unit(rows)
+    r = x - book[np.arange(x.shape[1]), encode(x, book, eta(2 * x.shape[1]))]
+    return float(np.sqrt((r**2).sum(axis=(1, 2)).mean() / (2 * x.shape[1])))
+
+
+def scan(codes: np.ndarray, query: np.ndarray, book: np.ndarray, own: int, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and sums of a block's candidates that may be near; codes are (bytes, n)."""
+    table = np.einsum("mwd,md->mw", book, unit(query[None])[0])
+    if len(table) % 2:
+        table = np.pad(table, ((0, 1), (0, 0)))
+    both = (table[::2, :, None] + table[1::2, None, :]).reshape(len(table) // 2, WORDS * WORDS).astype(np.float32)
+    n = codes.shape[1]
+    sums = np.zeros(n, np.float32)
+    for t, b in zip(both, codes, strict=True):
+        sums += t[b]
+    if own >= 0:
+        sums[own] = -np.inf
+    if n <= SHORTLIST:
+        short = np.arange(n)
+    else:
+        top = np.partition(sums, [n - SHORTLIST, n - k])
+        short = np.flatnonzero(sums >= min(top[n - SHORTLIST], top[n - k] - margin))
+    short = short[short != own]
+    return short, sums[short]
+
+
+def wide(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows padded with zeros."""
+    return np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
 def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score (cosine on the original vectors)."""
     vectors = stored(usable(embeddings).where(F.exists("v", lambda x: x != 0)), "usable")
-    rows = matrix(vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow()["v"])
-    book = fit(unit(rows)) if len(rows) else np.zeros((1, WORDS, 2))
-
-    def search(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray):
-        width = max(2 * len(book), queries.shape[1], rows.shape[1])
-        wide = lambda a: np.pad(a, ((0, 0), (0, width - a.shape[1])))
-        words = np.pad(book, ((0, (width + 1) // 2 - len(book)), (0, 0), (0, 0)))
-        index, out = Index(wide(rows), words), []
-        own = np.searchsorted(ids, qids)
-        for i, q in enumerate(wide(queries)):
-            mine = int(own[i]) if own[i] < len(ids) and ids[own[i]] == qids[i] else -1
-            got, score = index.top(q, mine, k)
-            out.append((np.full(len(got), i), got, score))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return search_in_blocks(vectors, is_query, search, k, "double")
+    width = vectors.agg(F.max(F.size("v"))).first()[0] or 2
+    width += width % 2
+    sample = matrix(vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow()["v"])
+    book = fit(unit(wide(sample, width))) if len(sample) else np.zeros((width // 2, WORDS, 2))
+    margin = 2 * MARGIN * error_of(wide(sample, width), book) if len(sample) else 0.0
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                codes = packed(wide(matrix(b.column(1)), width), book)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "code"])
+
+    def search(groups: pa.Table) -> pa.Table:
+        asks, ids = groups["asks"].to_numpy(), groups["vec_id"].to_numpy()
+        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+        c = c[np.argsort(ids[c], kind="stable")]
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        if len(q) and len(c):
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(groups["code"].take(pa.array(c)).to_pylist()), np.uint8).reshape(len(c), -1).T)
+            queries = wide(matrix(groups["v"].take(pa.array(q))), width)
+            own = np.minimum(np.searchsorted(ids[c], ids[q]), len(c) - 1)
+            for i, (at, v) in enumerate(zip(own.tolist(), queries, strict=True)):
+                short, sums = scan(codes, v, book, at if ids[c[at]] == ids[q[i]] else -1, k, margin)
+                out.append((np.full(len(short), ids[q[i]]), ids[c[short]], sums))
+        a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "sum": pa.array(s)})
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                x, y = (wide(matrix(part.column(i)), width) for i in (2, 3))
+                norm = lambda a: np.sqrt((a * a).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array((x * y).sum(axis=1) / (norm(x) * norm(y)))], ["query_id", "vec_id", "score"])
+
+    codes = stored(vectors.mapInArrow(index, "vec_id long, code binary"), "codes")
+    found = grid(vectors.where(is_query), codes).applyInArrow(search, "query_id long, vec_id long, sum float")
+    order = Window.partitionBy("query_id").orderBy(F.desc("sum"), "vec_id")
+    placed = found.withColumns({"place": F.row_number().over(order), "kth": F.nth_value("sum", k).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    short = placed.where((F.col("place") <= SHORTLIST) | (F.col("sum") >= F.col("kth") - margin)).select("query_id", "vec_id")
+    asked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    met = short.join(vectors, "vec_id").join(asked, "query_id").select("query_id", "vec_id", "q", "v")
+    return best(met.mapInArrow(exact, "query_id long, vec_id long, score double"), k)

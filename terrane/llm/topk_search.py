@@ -97,4 +97,4 @@ def top_inner_products(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame
         return a, b, s.astype(np.int64)
 
     vectors = usable(embeddings).select("vec_id", integers(F.col("v")).alias("v"))
-    return search_in_blocks(vectors, is_query, search, k, "long")
+    return search_in_blocks(vectors, is_query, search, k)

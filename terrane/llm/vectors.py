@@ -42,33 +42,37 @@ def matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def search_in_blocks(vectors: DataFrame, is_query: Column, search: Search, k: int, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best over all candidate blocks.
+def grid(queries: DataFrame, candidates: DataFrame):
+    """Groups of one query block and one candidate block each, in which asks tells the rows apart.
 
-    Queries and candidates are dealt into blocks of bounded size by a hash of their id, and a task gets one block of
-    each, so memory does not grow with the table. Ties go to the smaller vec_id.
+    Both are dealt into blocks of bounded size by a hash of their id, and a task gets one block of each, so memory does
+    not grow with the table. The candidates' columns should be few bytes: each goes to every block of queries.
     """
-    vectors = stored(vectors, "vectors")
-    queries = vectors.where(is_query)
-    n, m = max(1, ceil(vectors.count() / CANDIDATE_BLOCK)), max(1, ceil(queries.count() / QUERY_BLOCK))
+    n, m = max(1, ceil(candidates.count() / CANDIDATE_BLOCK)), max(1, ceil(queries.count() / QUERY_BLOCK))
     block = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    left = queries.select(every(n).alias("cand"), block(m).alias("quer"), F.lit(True).alias("asks"), "vec_id", "v")
-    right = vectors.select(block(n).alias("cand"), every(m).alias("quer"), F.lit(False).alias("asks"), "vec_id", "v")
+    left = queries.select(every(n).alias("cand"), block(m).alias("quer"), F.lit(True).alias("asks"), "*")
+    right = candidates.select(block(n).alias("cand"), every(m).alias("quer"), F.lit(False).alias("asks"), "*")
+    return left.unionByName(right, allowMissingColumns=True).groupBy("cand", "quer")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query; ties go to the smaller vec_id."""
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_in_blocks(vectors: DataFrame, is_query: Column, search: Search, k: int) -> DataFrame:
+    """The k best of each query over all candidate blocks, by search on whole vectors; scores are integers."""
+    vectors = stored(vectors, "vectors")
 
     def run(groups: pa.Table) -> pa.Table:
         asks = groups["asks"].to_numpy()
         ids, rows = groups["vec_id"].to_numpy(), matrix(groups["v"])
         q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
         q, c = q[np.argsort(ids[q], kind="stable")], c[np.argsort(ids[c], kind="stable")]
-        if len(q) and len(c):
-            a, b, score = search(ids[q], rows[q], ids[c], rows[c])
-        else:
-            a = b = np.zeros(0, np.int64)
-            score = np.zeros(0)
-        kind = pa.int64() if score_type == "long" else pa.float64()
-        return pa.table({"query_id": pa.array(ids[q][a]), "vec_id": pa.array(ids[c][b]), "score": pa.array(score).cast(kind)})
-
-    found = left.unionByName(right).groupBy("cand", "quer").applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        a, b, score = search(ids[q], rows[q], ids[c], rows[c]) if len(q) and len(c) else (np.zeros(0, np.int64),) * 3
+        return pa.table({"query_id": pa.array(ids[q][a]), "vec_id": pa.array(ids[c][b]), "score": pa.array(score, pa.int64())})
+
+    found = grid(vectors.where(is_query), vectors).applyInArrow(run, "query_id long, vec_id long, score long")
+    return best(found, k)
