@@ -217,7 +217,8 @@ def first_of_each(docs: DataFrame, components_of: DataFrame) -> DataFrame:
     several = kept.where("stays and n > 1")
     if several.isEmpty():
         return once
-    again = rows_in(docs, several).withColumn("key of row", text_key()).dropDuplicates(["doc_id", "key of row"]).drop("key of row")
+    nested = rows_in(docs, several).select("doc_id", text_key().alias("key"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    again = nested.groupBy("doc_id", "key").agg(F.first("row").alias("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
     return once.unionByName(again)
 
 

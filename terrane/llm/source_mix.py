@@ -10,7 +10,8 @@ SPLIT_MEAN are the sum of several independent draws, which is again Poisson and
 
 Edge cases: a null source is the source ''; a null or empty text has the size 1, so that no rate divides by nothing; rows
 that are equal in doc_id, text and source get the same count; a source without a given weight has weight 0; an empty
-table gives no rows. Columns of the input are kept, names of this operator's own columns end in ``_mix``.
+table gives no rows. Columns of the input are kept; this operator's own end in ``_mix`` and are left out where the input
+has a column of that name.
 """
 
 from __future__ import annotations
@@ -83,8 +84,12 @@ def with_counts(docs: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, budget: float | None = None, seed: int = 17) -> DataFrame:
     """Every row of docs n_mix times (copy_mix from 1), shuffled over the whole corpus; order_mix is the order's key."""
-    counted = with_counts(docs, source_rates(docs, weights, alpha, budget), seed)
+    names = docs.columns
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("row_mix"), "doc_id", "text", "source")
+    counted = with_counts(rows, source_rates(rows, weights, alpha, budget), seed).drop("text", "source")
     copies = counted.where("n_mix > 0").withColumn("copy_mix", F.explode(F.sequence(F.lit(1), F.col("n_mix"))))
     key = F.md5(F.concat_ws("|", F.lit(f"{seed}s"), F.col("doc_id").cast("string"), F.col("text_mix"), F.col("copy_mix").cast("string")).cast("binary"))
-    copies = copies.withColumn("order_mix", key).drop("text_mix")
-    return copies.repartition(partitions(docs.sparkSession), "order_mix").sortWithinPartitions("order_mix")
+    copies = copies.withColumn("order_mix", key).drop("text_mix", "doc_id")
+    dealt = copies.repartition(partitions(docs.sparkSession), "order_mix").sortWithinPartitions("order_mix")
+    own = [c for c in ("n_mix", "copy_mix", "order_mix") if c not in names]
+    return dealt.select(*[F.col("row_mix")[c].alias(c) for c in names], *own)

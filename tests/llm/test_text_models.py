@@ -60,6 +60,83 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(p.sum(axis=0), 1, atol=1e-5)
 
 
+def plain_evidence(counts, word):
+    """Toxic minus ordinary log-likelihood of a word by dictionaries; counts: (word, class) to number."""
+    order, shared, d = toxicity.ORDER, toxicity.SHARED, toxicity.DISCOUNT
+    grams_of = lambda w: [(b" " * (order - 1) + w + b" ")[i : i + order] for i in range(len(w) + 1)]
+    n = Counter()
+    for (w, c), k in counts.items():
+        for g in grams_of(w):
+            n[g, c] += k
+    levels = {}
+    for size in range(order, 0, -1):
+        if size == shared:
+            both = Counter()
+            for (g, _), k in n.items():
+                both[g, 0] += k
+                both[g, 1] += k
+            n = both
+        total, kinds = Counter(), Counter()
+        for (g, c), k in n.items():
+            total[g[:-1], c] += k
+            kinds[g[:-1], c] += k > 0
+        levels[size] = (n, total, kinds)
+        n = Counter((g[1:], c) for (g, c), k in n.items() if k > 0)
+    p = [1.0, 1.0]
+    for g in grams_of(word):
+        for c in (0, 1):
+            q = 1 / 256
+            for size in range(1, order + 1):
+                n, total, kinds = levels[size]
+                h = g[order - size :]
+                t = total[h[:-1], c]
+                if t:
+                    q = q * d * kinds[h[:-1], c] / t + max(n[h, c] - d, 0) / t
+            p[c] *= q
+    return math.log(p[1]) - math.log(p[0])
+
+
+def test_evidence_equals_a_plain_model(spark):
+    texts = [(0, "aab ab ba aab"), (1, "zug ab zugg"), (0, "ba abc"), (1, "zug é")]
+    df = spark.createDataFrame(texts, "toxic int, text string")
+    got = toxicity.gram_counts(df).na.fill(0).toArrow()
+    model = toxicity.KneserNey(got["gram"].to_numpy().view(np.uint64), np.stack([got[c].to_numpy() for c in ("0", "1")], axis=1))
+    counts = Counter((w, c) for c, t in texts for w in words(t))
+    asked = [b"zug", b"zu", b"ab", b"aab", b"new", "é".encode(), b"zuggg"]
+    assert np.allclose(model.evidence(asked), [plain_evidence(counts, w) for w in asked], atol=1e-4)
+
+
+def test_scores_mix_with_the_learnt_weights(spark):
+    texts = some_texts(random.Random(9), 400, 40)
+    df = docs(spark, texts)
+    role = {r.doc_id: r.deleted for r in df.select("doc_id", (F.pmod(F.xxhash64(F.lit("deleted"), "doc_id"), F.lit(10)) == 0).alias("deleted")).collect()}
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    split = [[*words(t), b" "] for t in texts]
+    before = lambda ws: list(zip([b" ", *ws], ws, strict=False))
+
+    def counted(which):
+        one, two = Counter(), Counter()
+        for i in which:
+            one.update(split[i])
+            two.update(before(split[i]))
+        return one, two, sum(one.values())
+
+    train = [i for i in range(len(texts)) if not held[i]]
+    one, two, n = counted([i for i in train if not role[i]])
+    cell = lambda p: round(lm_score.GRID * math.log2(p)) if p > 0 else lm_score.NONE
+    bucket = lambda c: int(math.log2(c)) + 1 if c else 0
+    events = Counter((bucket(one[v]), cell(two[v, w] / max(one[v], 1)), cell(one[w] / n)) for i in train if role[i] for v, w in before(split[i]))
+    weights = lm_score.learn(np.array([(*k, e) for k, e in events.items()]), len(one))
+    one, two, n = counted(train)
+    got = {r.doc_id: r.score for r in lm_score.scores(df).collect()}
+    for i, ws in enumerate(split):
+        want = 0.0
+        for v, w in before(ws):
+            l2, l1, l0 = weights[bucket(one[v])]
+            want += math.log10(l2 * two[v, w] / max(one[v], 1) + l1 * one[w] / n + l0 / (len(one) + 1))
+        assert math.isclose(got[i], want, rel_tol=1e-6)
+
+
 def test_language_model_counts_and_scores(spark, monkeypatch):
     texts = [*some_texts(random.Random(1), 300), None, "", "A\tb\x0bc  D", "b " * 3000]
     df = docs(spark, texts).repartition(3)
