@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from terrane.functions import columns as C
 from terrane.functions import listings as L
+from terrane.functions import places as P
 from terrane.operators import changes, entities, groups, joins
 from terrane.plans.queries import ORACLE_SQL, QUERIES, query
 from terrane.sources import files
@@ -170,6 +171,12 @@ def f31_material_change(spark, d):
     return o.join(later, "o_orderkey").where(C.changed(F.col("o_totalprice"), F.col("later"), 1e-6)).select("o_orderkey")
 
 
+@query("select page_id, length(html) > 0 as has_body from pages where contains(lower(html), '<article>')")
+def f28_page_kind(spark, d):
+    p = table(spark, d, "pages")
+    return p.where(C.contains(F.col("html"), "<article>")).select("page_id", (F.length("html") > 0).alias("has_body"))
+
+
 @query("select o_orderstatus, count(*) as n from orders where starts_with(o_orderpriority, '1') or lower(o_orderpriority) = '5-low' group by 1")
 def f20_f26_prefix_and_equal(spark, d):
     p = F.col("o_orderpriority")
@@ -370,6 +377,12 @@ def t6_phone(spark, d):
     return table(spark, d, "customer").select("c_custkey", C.phone(shown).alias("phone"))
 
 
+@query("select s_suppkey, 'Шевченка' as street, s_nationkey || 'а' as house from supplier")
+def t16_street_and_house(spark, d):
+    parts = P.street_and_house(F.concat(F.lit("Шевченка, "), F.col("s_nationkey").cast("string"), F.lit("а")))
+    return table(spark, d, "supplier").select("s_suppkey", parts["street"].alias("street"), parts["house"].alias("house"))
+
+
 @query("select event_id, epoch_us(ts) // 1000 as ms, strftime(ts, '%d.%m.%Y') as shown, left(event_type, 3) as short from events")
 def t20_t22_dates_and_cuts(spark, d):
     ts = F.col("ts").cast("timestamp")

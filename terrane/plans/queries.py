@@ -543,7 +543,13 @@ def t1_number(spark, d):
     return table(spark, d, "customer").select("c_custkey", C.number(shown).alias("amount"))
 
 
-@query()
+_TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_SAYS = lambda phrases: "regexp_matches(low, '" + "|".join(p.replace("'", "''") for p in phrases) + "')"
+
+
+@query(rf"""with p as (select page_id, html, translate(lower(html), chr(160) || chr(8239), '  ') as low, {_TEXT} as text from pages)
+select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title, regexp_extract(html, '(?i)<html[^>]*\blang="([^"]*)"', 1) as lang, len(regexp_extract_all(html, '(?i)<a\s'))::int as n_links, length(text)::int as n_text,
+case when trim(html) = '' then 'empty' when {_SAYS(files.BLOCKED)} then 'blocked' when {_SAYS(files.INACTIVE)} then 'inactive' when length(text) < 40 then 'empty' else 'ok' end as state from p""")
 def s10_html_fields(spark, d):
     f = files.page_fields(F.col("html"))
     return table(spark, d, "pages").select("page_id", f["title"].alias("title"), f["lang"].alias("lang"), f["n_links"].alias("n_links"), F.length(f["text"]).alias("n_text"), files.page_state(F.col("html")).alias("state"))
@@ -581,19 +587,31 @@ def k7_state_flip(spark, d):
     return changes.update_where(o, (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 100000), {"o_orderstatus": F.lit("X")}).select("o_orderkey", "o_orderstatus")
 
 
-@query("""with recursive e as (select distinct l_partkey * 2 as a, l_suppkey * 2 + 1 as b from lineitem where l_quantity = 50 and l_partkey % 5 = 0), s as (select a, b from e union select b, a from e),
-r(node, root) as (select a, a from s union select s.b, r.root from r join s on s.a = r.node where s.b <> r.root) select node, min(root) as root from r group by node""")
-def n1_components(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity = 50 and l_partkey % 5 = 0")
-    return components(li.select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
+def _components_sql(rounds: int) -> str:
+    """Smallest labels of neighbours, taken on in rounds: exact where no node is farther than that from its smallest one."""
+    out = "with e as (select distinct l_partkey * 2 as a, l_suppkey * 2 + 1 as b from lineitem), s as (select a, b from e union select b, a from e), l0 as (select distinct a as node, a as root from s)"
+    for k in range(rounds):
+        out += f", l{k + 1} as (select l.node, least(min(l.root), min(n.root)) as root from l{k} l join s on s.a = l.node join l{k} n on n.node = s.b group by l.node)"
+    return out + f" select node, root from l{rounds}"
 
 
-@query()
-def n1_components_all(spark, d):
-    """All part-supplier edges; n1_components and its SQL read those of quantity 50 and of every fifth part."""
+@query(_components_sql(8))
+def n1_components(spark, d):
+    """All part-supplier edges."""
     return components(table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
 
 
+QUERIES["n1_components_all"], ORACLE_SQL["n1_components_all"] = n1_components, ORACLE_SQL["n1_components"]
+
+
+@query("select min(v) as v, count(*) as n from (select distinct l_suppkey as v from lineitem where l_quantity = 50)")
+def n1_component_of_large_orders(spark, d):
+    """Edges from one hub to all suppliers of the largest quantity make one component, however many they are."""
+    big = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("v"))
+    found = components(big.select(F.lit(-1).cast("long").alias("u"), "v"))
+    return found.where("node >= 0").groupBy("root").agg(F.min("node").alias("v"), F.count("*").alias("n")).drop("root")
+
+
 @query("select time_bucket(interval 1 day, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def r11_tumbling(spark, d):
     out = ev.windows(table(spark, d, "events"), "ts", "1 day", None, ["event_type"], {"n": F.count("*"), "total": F.round(F.sum("value"), 4)})

@@ -19,7 +19,7 @@ def test_components_of_all_edges_equal_union_find(spark, tmp_path):
     for p, s, _ in edges:
         a, b = find(2 * p), find(2 * s + 1)
         root[max(a, b)] = min(a, b)
-    got = {(r.node, r.root) for r in QUERIES["n1_components_all"](spark, d).collect()}
+    got = {(r.node, r.root) for r in QUERIES["n1_components"](spark, d).collect()}
     assert got == {(x, find(x)) for x in list(root)}
 
 
