@@ -35,7 +35,7 @@ from .common import forget, rows_in, scratch, stored, text_key
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity from which texts link, as a fraction
-SKETCH = 512  # bits at least
+SKETCH = 1024  # bits at least, and of a mark
 SAMPLE, SEEN, MOST_FREQUENT = 8_000, 3, 50_000
 
 
@@ -79,6 +79,11 @@ def apart(one: bytes, other: bytes) -> int:
     return int(np.unpackbits((a ^ b).view(np.uint8)).sum())
 
 
+def mark(sketched: bytes) -> list[int]:
+    """A sketch folded to SKETCH bits, as 64-bit numbers."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketched, np.int64).reshape(-1, SKETCH // 64), axis=0).tolist()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     up, down = LEAST
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -100,7 +105,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, set_key, fp, n, and for the first of equal sets in a task: prefix, n_rare (of it), sketch."""
+    """doc_id, text_key, set_key, fp, n, and for the first of equal sets in a task: prefix, n_rare (of it), mark, sketch (where it is longer)."""
     by_count = _frequent(docs)
     order = np.argsort(by_count)
     frequent, places = by_count[order], len(order) - order
@@ -116,12 +121,14 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 new = [key not in seen and not seen.add(key) for key in keys]
                 heads, rare = zip(*(prefix(f, frequent, places) if is_new else (f[:0], 0) for f, is_new in zip(found, new, strict=True)), strict=True)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(np.concatenate(heads)))
-                sketches = pa.array([sketch(f) if is_new else None for f, is_new in zip(found, new, strict=True)], pa.binary())
-                cols = [pa.array(keys, pa.int64()), pa.array([simhash.majority(h) for h in hashes], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array(rare, pa.int32()), sketches]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["doc_id", "text_key", "set_key", "fp", "n", "prefix", "n_rare", "sketch"])
+                drawn = [sketch(f) if is_new else None for f, is_new in zip(found, new, strict=True)]
+                marks = pa.array([None if x is None else mark(x) for x in drawn], pa.list_(pa.int64()))
+                sketches = pa.array([x if x and len(x) * 8 > SKETCH else None for x in drawn], pa.binary())
+                cols = [pa.array(keys, pa.int64()), pa.array([simhash.majority(h) for h in hashes], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array(rare, pa.int32()), marks, sketches]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["doc_id", "text_key", "set_key", "fp", "n", "prefix", "n_rare", "mark", "sketch"])
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, n int, prefix array<long>, n_rare int, sketch binary")
+    return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, n int, prefix array<long>, n_rare int, mark array<long>, sketch binary")
 
 
 def shared_grams(rows: DataFrame) -> DataFrame:
@@ -197,20 +204,28 @@ def _near(n: str, rest: str, m: str, other_rest: str) -> Column:
     return F.least(rest, other_rest).cast("long") * (up + down) >= (F.col(n).cast("long") + F.col(m)) * up
 
 
+def _near_marks(n: str, one: str, m: str, other: str) -> Column:
+    """Marks that sets of n and m shingles can have if they are similar enough: these differ in 1/9 of n + m at most."""
+    up, down = LEAST
+    bits = sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return bits * (up + down) <= (F.col(n).cast("long") + F.col(m)) * (down - up)
+
+
 def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b), in either order, whose sketches allow the similarity: sets of n and m shingles differ in 1/9 of n + m at most."""
+    """The distinct pairs (a, b), in either order, whose sizes, marks and sketches allow the similarity."""
     up, down = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(k) for k in range(2, 6)), strict=True)
-            near = [apart(x.as_py(), y.as_py()) * (up + down) <= (n.as_py() + m.as_py()) * (down - up) for n, m, x, y in rows]
+            rows = ([x.as_py() for x in r] for r in zip(*(b.column(k) for k in range(2, 6)), strict=True))
+            near = [not (x and y) or apart(x, y) * (up + down) <= (n + m) * (down - up) for n, m, x, y in rows]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda key, n, sk: distinct.select(F.col("set_key").alias(key), F.col("n").alias(n), F.col("sketch").alias(sk))
-    both = pairs.join(side("a", "n", "one"), "a").join(side("b", "m", "other"), "b").where(F.least("n", "m") * down >= F.greatest("n", "m") * up)
-    return both.select("a", "b", "n", "m", "one", "other").mapInArrow(run, "a long, b long")
+    side = lambda *names: distinct.select(*[F.col(c).alias(n) for c, n in zip(("set_key", "n", "mark", "sketch"), names, strict=True)])
+    both = pairs.join(side("a", "n", "mark", "one"), "a").join(side("b", "m", "other_mark", "other"), "b")
+    near = both.where((F.least("n", "m") * down >= F.greatest("n", "m") * up) & _near_marks("n", "mark", "m", "other_mark"))
+    return near.select("a", "b", "n", "m", "one", "other").mapInArrow(run, "a long, b long")
 
 
 def _proposed(distinct: DataFrame) -> DataFrame:
@@ -237,10 +252,10 @@ def _across(shared: DataFrame, labels: DataFrame, distinct: DataFrame) -> DataFr
     named = shared.join(labels, "set_key", "left").select("gram", "set_key", "n", "rest", F.coalesce("label", "set_key").alias("label"))
     sizes = named.groupBy("gram", "label").agg(F.count("*").alias("members"))
     main = sizes.groupBy("gram").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    named = stored(named.join(main.select("gram", "main"), "gram"), "open")
-    other = named.select("gram", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("label").alias("other"))
+    named = stored(named.join(main.select("gram", "main"), "gram").join(distinct.select("set_key", "mark"), "set_key"), "open")
+    other = named.select("gram", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), F.col("label").alias("other"), F.col("mark").alias("other_mark"))
     met = named.where("label != main").join(other, "gram")
-    return _allowed(met.where((F.col("label") != F.col("other")) & _near("n", "rest", "m", "other_rest")).select(F.col("set_key").alias("a"), "b"), distinct)
+    return _allowed(met.where((F.col("label") != F.col("other")) & _near("n", "rest", "m", "other_rest") & _near_marks("n", "mark", "m", "other_mark")).select(F.col("set_key").alias("a"), "b"), distinct)
 
 
 def links(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
@@ -257,7 +272,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     path = scratch(spark, "shingles")
     rows = stored(shingle_sets(docs), "shingles", path)
-    firsts = rows.where("sketch is not null").groupBy("set_key").agg(*[F.min_by(c, F.struct("doc_id", "text_key")).alias(c) for c in ("doc_id", "text_key")], F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"))
+    firsts = rows.where("mark is not null").groupBy("set_key").agg(*[F.min_by(c, F.struct("doc_id", "text_key")).alias(c) for c in ("doc_id", "text_key")], F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch"))
     distinct, shared, keys = stored(firsts, "distinct"), stored(shared_grams(rows), "shared"), stored(rows.select("doc_id", "text_key", "set_key"), "set-keys")
     forget(spark, path)
     comp = components(links(docs, distinct, shared)).withColumnRenamed("node", "set_key")
