@@ -3,8 +3,8 @@
 Unit vectors are cut into pairs of dimensions, each with 16 codewords: four bits a pair. Codes and codewords minimise
 ``|r|^2 + (eta - 1) * <r, x/|x|>^2`` for the residual r, which weighs the error parallel to the vector eta times: that
 is the part which disturbs large inner products. A query builds a table of its inner products with all codewords, two
-codes are looked up at once as a byte, and the sums rank a block. Of all blocks' best the SHORTLIST with the largest
-sums, and all others within a margin of the k-th sum, meet the original vectors and are scored exactly.
+codes are looked up at once as a byte, and the sums rank a block. Of the best of all blocks the SHORTLIST with the
+largest sums meet the original vectors and are scored exactly.
 
 The codebook is fitted on a bounded sample, the SAMPLE rows whose ids have the smallest hashes; every row is indexed
 once, as its codes in a stored table, and only codes are dealt to the blocks of queries.
@@ -29,8 +29,7 @@ from .vectors import best, grid, matrix, usable
 SAMPLE = 8_192
 WORDS = 16
 THRESHOLD = 0.2  # scores from here on are to be kept accurate
-SHORTLIST = 128
-MARGIN = 2.0  # standard deviations of the quantised scores' error
+SHORTLIST, OF_BLOCK = 256, 192  # candidates of a query that are scored exactly, and that a block may put forward
 
 
 def eta(dims: int, threshold: float = THRESHOLD) -> float:
@@ -94,15 +93,8 @@ def packed(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
     return codes[:, ::2] << 4 | codes[:, 1::2]
 
 
-def error_of(rows: np.ndarray, book: np.ndarray) -> float:
-    """The standard deviation of a quantised score's error."""
-    x = unit(rows)
-    r = x - book[np.arange(x.shape[1]), encode(x, book, eta(2 * x.shape[1]))]
-    return float(np.sqrt((r**2).sum(axis=(1, 2)).mean() / (2 * x.shape[1])))
-
-
-def scan(codes: np.ndarray, query: np.ndarray, book: np.ndarray, own: int, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and sums of a block's candidates that may be near; codes are (bytes, n)."""
+def scan(codes: np.ndarray, query: np.ndarray, book: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and sums of a block's OF_BLOCK best candidates; codes are (bytes, n)."""
     table = np.einsum("mwd,md->mw", book, unit(query[None])[0])
     if len(table) % 2:
         table = np.pad(table, ((0, 1), (0, 0)))
@@ -113,11 +105,7 @@ def scan(codes: np.ndarray, query: np.ndarray, book: np.ndarray, own: int, k: in
         sums += t[b]
     if own >= 0:
         sums[own] = -np.inf
-    if n <= SHORTLIST:
-        short = np.arange(n)
-    else:
-        top = np.partition(sums, [n - SHORTLIST, n - k])
-        short = np.flatnonzero(sums >= min(top[n - SHORTLIST], top[n - k] - margin))
+    short = np.argpartition(-sums, OF_BLOCK)[:OF_BLOCK] if n > OF_BLOCK else np.arange(n)
     short = short[short != own]
     return short, sums[short]
 
@@ -134,7 +122,6 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     width += width % 2
     sample = matrix(vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow()["v"])
     book = fit(unit(wide(sample, width))) if len(sample) else np.zeros((width // 2, WORDS, 2))
-    margin = 2 * MARGIN * error_of(wide(sample, width), book) if len(sample) else 0.0
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +139,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
             queries = wide(matrix(groups["v"].take(pa.array(q))), width)
             own = np.minimum(np.searchsorted(ids[c], ids[q]), len(c) - 1)
             for i, (at, v) in enumerate(zip(own.tolist(), queries, strict=True)):
-                short, sums = scan(codes, v, book, at if ids[c[at]] == ids[q[i]] else -1, k, margin)
+                short, sums = scan(codes, v, book, at if ids[c[at]] == ids[q[i]] else -1)
                 out.append((np.full(len(short), ids[q[i]]), ids[c[short]], sums))
         a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "sum": pa.array(s)})
@@ -168,8 +155,7 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     codes = stored(vectors.mapInArrow(index, "vec_id long, code binary"), "codes")
     found = grid(vectors.where(is_query), codes).applyInArrow(search, "query_id long, vec_id long, sum float")
     order = Window.partitionBy("query_id").orderBy(F.desc("sum"), "vec_id")
-    placed = found.withColumns({"place": F.row_number().over(order), "kth": F.nth_value("sum", k).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    short = placed.where((F.col("place") <= SHORTLIST) | (F.col("sum") >= F.col("kth") - margin)).select("query_id", "vec_id")
+    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SHORTLIST).select("query_id", "vec_id")
     asked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     met = short.join(vectors, "vec_id").join(asked, "query_id").select("query_id", "vec_id", "q", "v")
     return best(met.mapInArrow(exact, "query_id long, vec_id long, score double"), k)
