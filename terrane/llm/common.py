@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from terrane.sources.storage import forget, scratch, stored, table
 
-__all__ = ["fold", "forget", "partitions", "rows_in", "scratch", "stored", "table", "text_key", "words"]
+__all__ = ["bounded_batches", "fold", "forget", "partitions", "rows_in", "scratch", "stored", "table", "text_key", "words"]
 
 BROADCAST_KEYS = 500_000  # of 16 bytes each
+BATCH_ROWS = 1_000  # of whole texts that go to a Python worker at once
 
 
 def fold(id_col: str, n: int):
@@ -17,6 +18,13 @@ def fold(id_col: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows that hold whole texts go to Python workers BATCH_ROWS at a time at most, which bounds what both sides hold of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

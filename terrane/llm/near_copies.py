@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from terrane.operators.components import components
 
 from . import simhash
-from .common import forget, rows_in, scratch, stored, text_key
+from .common import bounded_batches, forget, rows_in, scratch, stored, text_key
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity from which texts link, as a fraction
@@ -270,6 +270,7 @@ def links(docs: DataFrame, distinct: DataFrame, shared: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, set_key, component_id: the smallest doc_id that links reach."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = scratch(spark, "shingles")
     rows = stored(shingle_sets(docs), "shingles", path)
     firsts = rows.where("mark is not null").groupBy("set_key").agg(*[F.min_by(c, F.struct("doc_id", "text_key")).alias(c) for c in ("doc_id", "text_key")], F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("mark").alias("mark"), F.first("sketch").alias("sketch"))

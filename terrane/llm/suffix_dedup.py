@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, partitions, rows_in, scratch, stored, text_key
+from .common import bounded_batches, forget, partitions, rows_in, scratch, stored, text_key
 
 
 class Symbols(NamedTuple):
@@ -220,6 +220,7 @@ class SuffixFamily:
 def repeated_entries(docs: DataFrame, kind: Symbols, batches: int | None = None) -> DataFrame:
     """The entries (ENTRY) whose key is there twice."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     batches = batches or min(MOST_BATCHES, max(1, ceil(docs.count() / BATCH_ROWS)))
     path, family = scratch(spark, "entries"), SuffixFamily(spark)
     suffix_entries(docs, kind, batches).write.option("compression", "zstd").partitionBy("batch").parquet(path)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, words
+from .common import bounded_batches, fold, words
 
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.9
@@ -157,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5):
 
     The driver sees the distinct grams of at most 2 * COUNT_ROWS texts and broadcasts about 30 bytes for each.
     """
+    bounded_batches(docs.sparkSession)
     counting, calibrating = labelled(docs, labels, folds)
     got = gram_counts(counting).na.fill(0).toArrow()
     counts = np.stack([got[c].to_numpy() for c in ("0", "1")], axis=1)
