@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.sources.storage import stored
+
 AGGREGATES = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "std": F.stddev_pop, "std_samp": F.stddev_samp, "set_size": F.count_distinct}
 MOST_ROWS = 5000  # of a page that goes to a caller; never inside an aggregation
 
@@ -106,9 +108,11 @@ def first_non_empty(candidates: list[DataFrame]) -> DataFrame:
 def auto_buckets(df: DataFrame, value: str, tie: str, n: int) -> DataFrame:
     """bucket, n, lo, hi: n buckets of rows as equal in number as can be, the first ones a row larger, in the order of value and tie.
 
-    A sort over partitions numbers the rows: places within a partition, and the rows of the partitions before it.
+    A sort over partitions numbers the rows: places within a partition, and the rows of the partitions before it. Which
+    partition a row is in is written down, since it is asked for twice.
     """
     dealt = df.select(value, tie).repartitionByRange(F.col(value), F.col(tie)).withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "parts")
     sizes = dealt.groupBy("part").agg(F.count("*").alias("held"))
     before = sizes.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"), F.sum("held").over(Window.partitionBy()).alias("total"))  # a row for each partition
     place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(value, tie)) - 1
