@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES, AGREED_ENTRIES = 300_000, 400_000  # of steps and of pairs of pieces, about 200 bytes each, in a worker
 PART = 1 << 15  # characters that a stream takes at a time
 SHORT = 64  # of a step that is kept, and of text that waits for its end before the lattice takes it
 _coders: dict[str, PieceCoder] = {}
@@ -170,7 +170,7 @@ class PieceCoder:
         known = self.agreed.get((a, b))
         if known is None:
             known = self.merge(a + b) == ([a, b] if a else [b])
-            if len(self.agreed) < 4 * MEMO_ENTRIES:
+            if len(self.agreed) < AGREED_ENTRIES:
                 self.agreed[a, b] = known
         return known
 
