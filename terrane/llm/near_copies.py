@@ -126,6 +126,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 sketches = pa.array([x if x and len(x) * 8 > SKETCH else None for x in drawn], pa.binary())
                 cols = [pa.array(keys, pa.int64()), pa.array([simhash.majority(h) for h in hashes], pa.int64()), pa.array(list(map(len, found)), pa.int32()), lists, pa.array(rare, pa.int32()), marks, sketches]
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], *cols], ["doc_id", "text_key", "set_key", "fp", "n", "prefix", "n_rare", "mark", "sketch"])
+        pa.default_memory_pool().release_unused()  # workers stay for later stages
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
     return cols.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, n int, prefix array<long>, n_rare int, mark array<long>, sketch binary")

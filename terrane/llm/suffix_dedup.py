@@ -167,6 +167,7 @@ def suffix_entries(docs: DataFrame, kind: Symbols, batches: int) -> DataFrame:
                 key, ctx, lo, hi = (np.concatenate([e[c] for e, _ in got]) for c in range(4))
                 cols = [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), part.column(3).take(row)]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        pa.default_memory_pool().release_unused()  # workers stay for later stages
 
     dealt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")
     return _keyed(docs, dealt).mapInArrow(run, f"{ENTRY}, batch int")

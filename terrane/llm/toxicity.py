@@ -29,7 +29,7 @@ from .common import bounded_batches, fold, words
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.9
 COUNT_ROWS, CALIBRATION_ROWS = 6_000, 6_000
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 120_000
 
 
 def grams(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
