@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, lm_score, piece_coding, simhash, source_mix, suffix_dedup, token_records, topk_search, toxicity
+from . import ann_search, chat_format, lm_score, piece_coding, simhash, source_mix, substring_dedup, suffix_dedup, token_records, topk_search, toxicity
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -62,6 +62,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_topk_search": op2_topk_search,
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash": op9_simhash,
     "op10_source_mix": op10_source_mix,
+    "op11_substring_dedup": op11_substring_dedup,
 }
 
 _OP2 = """
@@ -115,4 +121,14 @@ select d.doc_id, d.text, d.lang, d.source, d.n_chars, n_mix, c::int as copy_mix,
 from d join m on d.doc_id = m.doc_id and d.src = m.src and d.h = m.h, range(1, n_mix + 1) as q(c)
 """
 
-ORACLE_SQL = {"op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
+_OP11 = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+k as (select rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') as seq from (select rid, doc_id, ws, unnest(range(1, len(ws) - 11)) as i from d where len(ws) >= 13)),
+m as (select seq, min(doc_id) as lo from k group by seq),
+g as (select distinct rid, k.i + j.j as i from k join m using (seq), range(13) as j(j) where doc_id > lo),
+w as (select rid, unnest(ws) as word, generate_subscripts(ws, 1) as i from d),
+r as (select w.rid, count(g.i) as n_removed, string_agg(word, ' ' order by w.i) filter (g.i is null) as kept from w left join g on w.rid = g.rid and w.i = g.i group by w.rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join r using (rid)
+"""
+
+ORACLE_SQL = {"op11_substring_dedup": _OP11, "op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
