@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, lm_score, piece_coding, simhash, source_mix, substring_dedup, suffix_dedup, token_records, topk_search, toxicity
+from . import ann_search, chat_format, collocations, lm_score, piece_coding, simhash, source_mix, substring_dedup, suffix_dedup, token_records, topk_search, toxicity
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -67,6 +67,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_topk_search": op2_topk_search,
@@ -79,6 +83,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_source_mix": op10_source_mix,
     "op11_substring_dedup": op11_substring_dedup,
+    "op12_collocations": op12_collocations,
 }
 
 _OP2 = """
@@ -131,4 +136,21 @@ r as (select w.rid, count(g.i) as n_removed, string_agg(word, ' ' order by w.i)
 select doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join r using (rid)
 """
 
-ORACLE_SQL = {"op11_substring_dedup": _OP11, "op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
+_OP12 = r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from t),
+n as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, range(1, 6) as q(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*)::hugeint as a from g group by all),
+o as (select *, string_split(phrase, ' ') as ws from f where k >= 2 and a >= 100),
+s as (select distinct o.lang, array_to_string(ws[i:j], ' ') as inner_, o.a as longer from o, range(1, 6) as p(i), range(1, 6) as q(j) where j > i and j <= k and j - i + 1 < k),
+gone as (select distinct f.lang, f.phrase from s join f on f.lang = s.lang and f.phrase = s.inner_ where 100 * s.longer >= 100 * f.a),
+c as (select o.lang, o.phrase, o.a, l.a as l, r.a as r, n.n, c, (1000 * o.a * n.n) // (l.a * r.a) as score
+      from o join range(1, 5) as q(c) on c < o.k join n on n.lang = o.lang
+      join f l on l.lang = o.lang and l.phrase = array_to_string(ws[1:c], ' ') join f r on r.lang = o.lang and r.phrase = array_to_string(ws[c + 1:], ' ')),
+b as (select * from c anti join gone using (lang, phrase) qualify row_number() over (partition by c.lang, c.phrase order by score, c) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from b qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
+ORACLE_SQL = {"op12_collocations": _OP12, "op11_substring_dedup": _OP11, "op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
