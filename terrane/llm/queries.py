@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_search, chat_format, collocations, lm_score, piece_coding, simhash, source_mix, substring_dedup, suffix_dedup, token_records, topk_search, toxicity
+from . import ann_search, chat_format, collocations, lm_score, piece_coding, simhash, source_audit, source_mix, substring_dedup, suffix_dedup, token_records, topk_search, toxicity
 from .common import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -71,6 +71,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_topk_search": op2_topk_search,
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_source_mix": op10_source_mix,
     "op11_substring_dedup": op11_substring_dedup,
     "op12_collocations": op12_collocations,
+    "op13_source_audit": op13_source_audit,
 }
 
 _OP2 = """
@@ -153,4 +158,23 @@ select lang, row_number() over (partition by lang order by score desc, a desc, p
 from b qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
 """
 
-ORACLE_SQL = {"op12_collocations": _OP12, "op11_substring_dedup": _OP11, "op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
+_OP13 = r"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+w as (select rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term from w group by lang, term having count(distinct rid) >= 10),
+c as (select lang, source, term, count(*)::hugeint as n from w join k using (lang, term) group by all),
+g as (select distinct lang, source from d),
+v as (select lang, count(*)::hugeint as v from k group by lang),
+s as (select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as total, coalesce(any_value(v.v), 0)::hugeint as v from g left join c on g.lang = c.lang and g.source = c.source left join v on v.lang = g.lang group by all),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (s.total + 2 * s.v) as p
+      from s join k on k.lang = s.lang left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+l as (select lang, term, 1 + (1000000000 * (n + 2)) // (total + 2 * v) as q
+      from (select lang, term, sum(n) as n from c group by all) join (select lang, sum(total) as total, any_value(v) as v from s group by lang) using (lang)),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+x as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0) as value from s a join s b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+      union all select p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // (p + q) from p join l using (lang, term) where n > 0 and p > q),
+r as (select lang, source, part, item, value::bigint as value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from x)
+select * from r where part = 'pair' or rank <= 10
+"""
+
+ORACLE_SQL = {"op13_source_audit": _OP13, "op12_collocations": _OP12, "op11_substring_dedup": _OP11, "op2_topk_search": _OP2, "op8_chat_format": _OP8, "op10_source_mix": _OP10}
