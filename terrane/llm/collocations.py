@@ -5,8 +5,8 @@ its last k - 1 words, where both are frequent, and gets an id of its own if it i
 words' positions by the ids of the phrases that begin there. A pair names its two parents, so the counts of all prefixes
 and suffixes, which cuts need, and the longer phrases that contain it are found by following ids, level by level.
 
-Counting and naming is one exchange for a level: a batch of texts sends its distinct pairs with their counts, dealt over
-bins by a hash; a bin adds up what all batches send, names what is frequent, and answers each batch with ids in the order
+Counting and naming is one exchange for a level: a batch of texts sends its distinct pairs with their counts, sorted and
+packed, dealt over bins by a hash; a bin adds up what all batches send, names what is frequent, and answers each batch with ids in the order
 in which it asked (0: not frequent). No table of phrases is broadcast or held whole, and a pair that occurs everywhere is
 one entry of each batch. A phrase can only be frequent if both its parents are, so the levels shrink.
 
@@ -25,7 +25,6 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,8 +37,8 @@ LEAST, MOST_WORDS, SHARE, TOP = 100, 5, 100, 2000
 BIN_BYTES = 24_000_000  # of text for each bin
 STOP = b"."
 PARTED = bytes.maketrans(b",;:!?\n\x0b\x0c\r", STOP * 9)
-ASK = "lang string, batch long, bin long, words array<binary>, left array<long>, right array<long>, n array<long>, n_words long, codes binary"
-NAME = "lang string, batch long, bin long, ids array<long>, id long, word binary, left long, right long, n long"
+ASK = "lang string, batch long, bin long, words binary, left binary, right binary, n binary, n_words long, codes binary"
+NAME = "lang string, batch long, bin long, ids binary, id long, word binary, left long, right long, n long"
 
 
 def split(raw: bytes) -> list[bytes]:
@@ -49,14 +48,18 @@ def split(raw: bytes) -> list[bytes]:
 
 def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
     fields = [f.split() for f in schema.split(", ")]
-    kind = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    kind = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     columns = zip(*rows, strict=True) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kind[t]) for (_, t), c in zip(fields, columns, strict=True)], [n for n, _ in fields])
 
 
-def _ordered(bins: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The order of entries by their bins, and each bin with its entries."""
-    order = np.argsort(bins, kind="stable")
+def _joined(words: list[bytes]) -> bytes:
+    return pack(np.frombuffer(b" ".join(words), np.uint8))
+
+
+def _ordered(bins: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The order of entries by their bins and within them, and each bin with its entries."""
+    order = np.lexsort((*then, bins))
     edges = np.flatnonzero(np.diff(bins[order])) + 1
     parts = np.split(order, edges) if len(order) else []
     return order, [(int(bins[p[0]]), p) for p in parts]
@@ -83,7 +86,7 @@ def words_asked(docs: DataFrame, bins: int) -> DataFrame:
             order, parts = _ordered(bin_)
             codes = np.full(len(b.ids), -1, np.int32)
             codes[b.ids != stop] = _codes(order, of[b.ids != stop])
-            asks = [(b.part, b.batch, k, [words[i] for i in p.tolist()], None, None, n[p], None, None) for k, p in parts]
+            asks = [(b.part, b.batch, k, _joined([words[i] for i in p.tolist()]), None, None, pack(n[p]), None, None) for k, p in parts]
             yield _record([*asks, (b.part, b.batch, -1, None, None, None, None, int(n.sum()), pack(codes))], ASK)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("part"), F.col("text").cast("string").alias("text")).mapInArrow(run, ASK)
@@ -94,17 +97,18 @@ def named(asks: DataFrame, least: int) -> DataFrame:
 
     def name(group: pa.Table) -> pa.Table:
         lang, bin_ = group["lang"][0].as_py(), group["bin"][0].as_py()
-        sizes = pc.list_value_length(group["n"]).to_numpy(zero_copy_only=False).astype(np.int64)
-        n = pc.list_flatten(group["n"]).to_numpy()
+        counts = [unpack(x.as_py(), "<i8") for x in group["n"]]
+        sizes, n = [len(x) for x in counts], np.concatenate(counts)
         is_word = group["words"].null_count == 0
         if is_word:
-            coded = pc.list_flatten(group["words"]).combine_chunks().dictionary_encode()
+            coded = pa.array([w for x in group["words"] for w in unpack(x.as_py(), "u1").tobytes().split(b" ")], pa.binary()).dictionary_encode()
             of, words = coded.indices.to_numpy(), coded.dictionary
             total = np.zeros(len(words), np.int64)
             np.add.at(total, of, n)
             by_name = np.argsort(np.array([xxhash.xxh64_intdigest(w.as_py()) for w in words], np.uint64), kind="stable")
         else:
-            left, right = (pc.list_flatten(group[c]).to_numpy() for c in ("left", "right"))
+            left = np.concatenate([np.cumsum(unpack(x.as_py(), "<i8")) for x in group["left"]])
+            right = np.concatenate([unpack(x.as_py(), "<i8") for x in group["right"]])
             order = np.lexsort((right, left))
             first = np.r_[True, (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])]
             of = np.empty(len(order), np.int64)
@@ -115,7 +119,7 @@ def named(asks: DataFrame, least: int) -> DataFrame:
         often = by_name[total[by_name] >= least]
         ids = np.zeros(len(total), np.int64)
         ids[often] = (bin_ << 32) + 1 + np.arange(len(often))
-        answers = [(lang, b, bin_, part, None, None, None, None, None) for b, part in zip(group["batch"].to_pylist(), np.split(ids[of], np.cumsum(sizes)[:-1]), strict=True)]
+        answers = [(lang, b, bin_, pack(part), None, None, None, None, None) for b, part in zip(group["batch"].to_pylist(), np.split(ids[of], np.cumsum(sizes)[:-1]), strict=True)]
         names = [(lang, None, bin_, None, ids[i], words[i].as_py() if is_word else None, None if is_word else left[i], None if is_word else right[i], total[i]) for i in often.tolist()]
         return pa.Table.from_batches([_record(answers + names, NAME)])
 
@@ -130,7 +134,7 @@ def pairs_asked(states: DataFrame, answers: DataFrame, bins: int) -> DataFrame:
             return pa.Table.from_batches([_record([], ASK)])
         lang, batch = left["lang"][0].as_py(), left["batch"][0].as_py()
         heard = sorted(zip(right["bin"].to_pylist(), right["ids"], strict=True), key=lambda x: x[0])
-        id_of = np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for _, x in heard)])
+        id_of = np.concatenate([np.zeros(0, np.int64), *(unpack(x.as_py(), "<i8") for _, x in heard)])
         codes = unpack(left["codes"][0].as_py(), "<i4")
         named_ = np.r_[id_of, np.int64(0)][codes] > 0  # code -1 meets the zero
         at = np.flatnonzero(named_[:-1] & named_[1:])
@@ -140,10 +144,10 @@ def pairs_asked(states: DataFrame, answers: DataFrame, bins: int) -> DataFrame:
         a, b = id_of[pairs // len(id_of)], id_of[pairs % len(id_of)]
         mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((b.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed ^= mixed >> np.uint64(32)
-        order, parts = _ordered((mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)).astype(np.int64) % bins)
+        order, parts = _ordered((mixed * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)).astype(np.int64) % bins, b, a)
         out = np.full(len(codes), -1, np.int32)
         out[at] = _codes(order, of)
-        asks = [(lang, batch, k, None, a[p], b[p], n[p], None, None) for k, p in parts]
+        asks = [(lang, batch, k, None, pack(np.diff(a[p], prepend=0)), pack(b[p]), pack(n[p]), None, None) for k, p in parts]
         return pa.Table.from_batches([_record([*asks, (lang, batch, -1, None, None, None, None, None, pack(out))], ASK)])
 
     keys = ("lang", "batch")
