@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from terrane.operators import polygons
 from terrane.plans.queries import query
 from terrane.plans.text_queries import ORACLE_SQL, QUERIES
+from terrane.sources import pages
 from terrane.sources.storage import table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -57,3 +58,56 @@ def a39_polygon_clusters(spark, d):
     rows = parcels(spark, d)
     found = polygons.polygon_clusters(rows, ["kind"], BUFFER, 16.0).join(rows, "id")
     return found.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
+# pages: the given ones, and listings and lists of results made of their articles and links
+
+_TEXT = "trim(regexp_replace(replace(replace(replace(replace(regexp_replace({c}, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+
+
+@query(f"""select page_id, nullif({_TEXT.format(c="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '') as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang,
+{_TEXT.format(c="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as heading, nullif({_TEXT.format(c=_ARTICLE)}, '') as description from pages""")
+def s10_page_details(spark, d):
+    rows = pages.page_details(table(spark, d, "pages"))
+    return rows.select("page_id", "title", "lang", F.coalesce(F.get("headings", F.lit(0)), F.lit("")).alias("heading"), "description")
+
+
+@query(f"""select page_id, 'Ділянка ' || page_id as title, (page_id * 10 + 1000)::double as price, case page_id % 3 when 0 then 'UAH' when 1 then 'USD' else 'EUR' end as currency, nullif({_TEXT.format(c="'Опис ' || " + _ARTICLE)}, '') as description,
+'Площа=' || (page_id % 40 + 2) || ' соток|Поверх=' || (page_id % 9) || ' з 9' as parameters, case page_id % 4 when 0 then 'Біла Церква' else 'Львів' end as city, case page_id % 4 when 0 then 'Київська область' else 'Львівська область' end as region,
+'Олена' as seller, '+380' || lpad(page_id::varchar, 9, '0') as phone from pages""")
+def s10_listing_details(spark, d):
+    """Listings whose descriptions are the articles of the pages, with tags left open in them."""
+    k = F.col("page_id")
+    says = lambda *c: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in c])
+    sign = F.when(k % 3 == 0, "грн.").when(k % 3 == 1, "$").otherwise("€")
+    place = F.when(k % 4 == 0, "<p>Біла Церква<p>Київська область").otherwise("<p>Львів</p><p>Київська область</p>".replace("Київська", "Львівська"))
+    html = says(
+        "<html lang=uk><head><title>Ділянка ", k.cast("string"), "</title><script>if (a < b) { '<div data-cy=\"ad-price\">1</div>' }</script></head><body><!-- <h3 data-cy='ad-price'>2 грн</h3> -->",
+        "<ul data-cy='ad_parameters'><li><p>Площа: ", (k % 40 + 2).cast("string"), " соток<li>Поверх:<b> ", (k % 9).cast("string"), " з 9</b></ul>",
+        "<div class=box><h3 data-cy=\"ad-price\"><span>", (k * 10 + 1000).cast("string"), "</span> ", sign, "</h3>",
+        "<div data-cy=\"ad_description\"><h4>Опис</h4><div>", F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), "</div></div></div>",
+        "<section><p>Місцезнаходження</p>", place, "</section><h4>Олена</h4><a href='/list/user/7'>Профіль</a><a href='tel:+380", F.lpad(k.cast("string"), 9, "0"), "'>xxx</a>",
+    )
+    rows = pages.page_details(table(spark, d, "pages").select("page_id", html.alias("html")))
+    said = F.array_join(F.transform("parameters", lambda p: F.concat(p["label"], F.lit("="), p["value"])), "|")
+    return rows.select("page_id", "title", "price", "currency", "description", said.alias("parameters"), "city", "region", "seller", F.get("phones", F.lit(0)).alias("phone"))
+
+
+@query("""with l as (select page_id, regexp_extract_all(html, '<li><a href="/([^"]*)"', 1) as links from pages), c as (select page_id, unnest(links) as link, generate_subscripts(links, 1) as place from l)
+select page_id, place::int as place, '/uk/d/' || place || '-' || page_id as url, 'Лот ' || place as title, (page_id + place * 1000)::double as price, 'UAH' as currency, 'Нові Петрівці' as location,
+case when place % 2 = 0 then date '2026-02-04' else date '2026-03-09' end as listed, (place + 40)::double as area from c""")
+def s9_page_cards(spark, d):
+    """A list of results with a card for each link of a page; every second one is marked, or none are."""
+    k = F.col("page_id").cast("string")
+
+    def card(link, i):
+        n = (i + 1).cast("string")
+        day = F.when((i + 1) % 2 == 0, "04 лютого 2026 р.").otherwise("Вчора о 12:00")
+        mark = F.when(F.col("page_id") % 2 == 0, " data-cy='l-card'").otherwise("")
+        return F.concat(F.lit("<div"), mark, F.lit("><div><a href='/uk/d/"), n, F.lit("-"), k, F.lit("'><h6>Лот "), n, F.lit("</h6></a><p data-cy=ad-price>"), (F.col("page_id") + (i + 1) * 1000).cast("string"), F.lit(" грн<p><span class='css-location'>Нові Петрівці - "), day, F.lit("</span><span>"), (i + 41).cast("string"), F.lit(" м²</span></div></div>"))
+
+    links = F.regexp_extract_all("html", F.lit('<li><a href="/([^"]*)"'), F.lit(1))
+    html = F.concat(F.lit("<body><main>"), F.array_join(F.transform(links, card), "\n"), F.lit("</main><a href='/help'>?</a>"))
+    rows = pages.page_cards(table(spark, d, "pages").select("page_id", html.alias("html")), F.to_date(F.lit("2026-03-10")))
+    return rows.select("page_id", "place", "url", "title", "price", "currency", "location", "listed", "area")
