@@ -128,19 +128,40 @@ def resolve_snowflake(known: dict[str, DataFrame], rows: DataFrame, levels: list
 
 
 def earlier_repeats(df: DataFrame, same: Column, ident: str, created: str) -> DataFrame:
-    """ident, is_repeat, earlier: whether another row of the same key was created earlier, or has or meets no date; its idents' links.
+    """ident, is_repeat, n_earlier: whether other rows of the same key were created earlier, or have or meet no date, and how many.
 
-    A row without a date repeats every other row of its key, and is repeated by each. The dated ones are listed by a
-    running window over the dates; rows of the same date do not repeat each other.
+    A row without a date repeats every other row of its key, and is repeated by each. The dated ones are counted by a
+    running window over the dates; rows of the same date do not repeat each other, rows without a key repeat nothing.
     """
     from pyspark.sql.window import Window
 
     keyed = df.select(ident, created, same.alias("same_key"))
+    alone = keyed.where("same_key is null").select(ident, F.lit(False).alias("is_repeat"), F.lit(0).cast("long").alias("n_earlier"))
+    keyed = keyed.where("same_key is not null")
     w = Window.partitionBy("same_key")
     before = w.orderBy(F.col(created).asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
     told = keyed.withColumns({"n": F.count("*").over(w), "undated": F.count_if(F.col(created).isNull()).over(w), "upto": F.count(created).over(before), "equal": F.count(created).over(Window.partitionBy("same_key", created))})
     n = F.when(F.col(created).isNull(), F.col("n") - 1).otherwise(F.col("undated") + F.col("upto") - F.col("equal"))
-    return told.select(ident, (n > 0).alias("is_repeat"), n.cast("long").alias("n_earlier"))
+    return told.select(ident, (n > 0).alias("is_repeat"), n.cast("long").alias("n_earlier")).unionByName(alone)
+
+
+def repeat_links(df: DataFrame, same: Column, ident: str, created: str, most: int = 5) -> DataFrame:
+    """ident, earlier, n_earlier: for each dated row the most nearest rows of its key that were created earlier, and how many there are.
+
+    The nearest come first, of one date those of the larger ident. A date gives `most` idents at most, so the frame over the
+    dates before holds a bounded list, however large the key's group is. Rows without a key or a date have no links.
+    """
+    from pyspark.sql.window import Window
+
+    keyed = df.select(ident, created, same.alias("same_key")).where(F.col("same_key").isNotNull() & F.col(created).isNotNull())
+    of_day = Window.partitionBy("same_key", created).orderBy(F.desc(ident))
+    days = keyed.groupBy("same_key", created).agg(F.count("*").alias("of_day"))
+    listed = keyed.withColumn("k", F.row_number().over(of_day)).where(F.col("k") <= most).groupBy("same_key", created).agg(F.sort_array(F.collect_list(ident), asc=False).alias("idents"))
+    before = Window.partitionBy("same_key").orderBy(created)
+    near = F.slice(F.flatten(F.reverse(F.collect_list("idents").over(before.rowsBetween(-most, -1)))), 1, most)
+    n = F.coalesce(F.sum("of_day").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = days.join(listed, ["same_key", created]).select("same_key", created, near.alias("earlier"), n.alias("n_earlier"))
+    return keyed.join(told, ["same_key", created]).select(ident, "earlier", "n_earlier")
 
 
 def region_and_local_context(rows: DataFrame, months: DataFrame, region: str, city: str, price: str) -> DataFrame:

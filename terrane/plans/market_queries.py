@@ -16,6 +16,7 @@ from terrane.plans.listing_queries import ORACLE_SQL, QUERIES
 from terrane.plans.queries import placed, query
 from terrane.sources import files
 from terrane.sources.storage import scratch, stored, table
+from terrane.sources.versions import Versions
 from terrane.streaming import events as ev
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -291,18 +292,18 @@ def r5_first_of_url(spark, d):
 @query("select user_id, count(*) as n, max(event_id) as last from events group by 1")
 def r1_micro_batches(spark, d):
     """The whole feed through a stream: each micro-batch is merged into the state's next version."""
-    src, state, versions = scratch(spark, "feed"), scratch(spark, "state"), []
+    src, state = scratch(spark, "feed"), Versions(spark, scratch(spark, "state"))
     table(spark, d, "events").withColumn("part", F.col("event_id") % 3).write.partitionBy("part").parquet(src)
 
     def merge(batch, number):
-        new = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-        both = batch.sparkSession.read.parquet(versions[-1]).unionByName(new) if versions else new
-        path = f"{state}/{number}"
-        both.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last")).write.mode("overwrite").parquet(path)
-        versions.append(path)
+        if state.entry()["batch"] >= number:  # it ran before, and its entry is there
+            return
+        new, old = batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last")), state.read()
+        both = new if old is None else old.unionByName(new)
+        state.publish(both.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last")), number)
 
     ev.run_available(ev.read_stream(spark, src), merge, scratch(spark, "offsets"))
-    return spark.read.parquet(versions[-1])
+    return state.read()
 
 
 # projections

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__
-from terrane.plans.shape_queries import ORACLE_SQL, QUERIES
+from terrane.plans.state_queries import ORACLE_SQL, QUERIES
 from terrane.sources.storage import TABLES
 
 DATA = "/root/testdata/sf0.001"
