@@ -55,22 +55,35 @@ def canonical_region(c: Column) -> Column:
     return F.when(city == "київ", "м. Київ").when(city == "севастополь", "м. Севастополь").when(crimea, "АР Крим").otherwise(F.element_at(_lookup(regions), key))
 
 
-def region_pattern(canonical: str) -> str:
-    """A pattern that finds a fixed region in text, in any case and with or without its word for region."""
-    if canonical == "АР Крим":
-        name = "(?:ар\\s*|автономна\\s+республіка\\s+)?крим"
-    elif canonical.startswith("м. "):
-        name = "(?:м\\.\\s*)?" + canonical[3:].lower()
-    else:
-        name = f"(?:о\\.\\s*|обл\\.?\\s*)?{re.escape(canonical.removesuffix(' область')[:-1])}(?:а|ої|у|ою|ій)(?:\\s*(?:області|область|обл\\.?))?"
-    edge = "[\\s,;:()-]"
-    return f"(?iu)(?:^|{edge}){name}(?:$|{edge})"
+def region_forms(canonical: str) -> list[str]:
+    """The words that name a fixed region in a sentence: the cases of its adjective, or of its noun."""
+    name = canonical.removeprefix("м. ").removeprefix("АР ").removesuffix(" область").lower()
+    if name.endswith("ька"):
+        return [name[:-1] + end for end in ("а", "ої", "ій", "у", "ою")]
+    if name == "київ":
+        return [name, "києва", "києву", "києві", "києвом"]
+    if name == "севастополь":
+        return [name[:-1] + end for end in ("ь", "я", "ю", "і", "ем")]
+    return [name + end for end in ("", "у", "ові", "ом")]
+
+
+def names_region(text: Column, canonical: str) -> Column:
+    """Whether a word of the text is a fixed region, in any case and number of letters around it."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[\\p{L}'’ʼ-]+"), F.lit(0))
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in region_forms(canonical)]))
+
+
+# What stands before a settlement's name: prepositions, and words for its kind.
+PREPOSITIONS = ["у", "в", "з", "на", "до"]
+SETTLEMENT_KINDS = ["м.", "місто", "с.", "село", "смт", "смт.", "селище"]
 
 
 def settlement_name(c: Column) -> Column:
     """A settlement without a preposition and its kind, in the nominative where its case is known; null where empty."""
-    bare = F.regexp_replace(F.trim(c), "(?iu)^(?:у|в|з|на|до)\\s+", "")
-    bare = F.trim(F.regexp_replace(bare, "(?iu)^(?:м\\.|місто\\s|с\\.|село\\s|смт\\.?\\s?|селище\\s)\\s*", ""))
+    words = F.filter(F.split(F.regexp_replace(F.trim(c), "\\.\\s*", ". "), "\\s+"), lambda w: w != "")
+    low = lambda k: F.lower(F.coalesce(F.get(words, F.lit(k)), F.lit("")))
+    skip = F.when(low(0).isin(*PREPOSITIONS), F.when(low(1).isin(*SETTLEMENT_KINDS), 2).otherwise(1)).when(low(0).isin(*SETTLEMENT_KINDS), 1).otherwise(0)
+    bare = F.trim(F.array_join(F.slice(words, skip + 1, F.greatest(F.size(words) - skip, F.lit(0))), " "))
     return F.nullif(F.coalesce(F.element_at(_lookup(SETTLEMENT_CASES), F.lower(bare)), bare), F.lit(""))
 
 
@@ -90,9 +103,10 @@ def district_name(c: Column) -> Column:
 
 
 def district_in_text(text: Column) -> Column:
-    """The first district of the table that a text names."""
-    low = _plain(text)
-    return F.coalesce(*[F.when(low.contains(stem), F.lit(name)) for stem, name in _district_stems().items()])
+    """The district of Kyiv that a text names first, in any case; a part of a longer or hyphenated word is none."""
+    stems = _district_stems()
+    word = F.regexp_extract(_plain(text), "(?u)(?<![\\p{L}-])(" + "|".join(stems) + ")(?:ий|ого|ому|им|а|ої|ій|у|ою)(?![\\p{L}-])", 1)
+    return F.element_at(_lookup(stems), word)
 
 
 def city_and_district(c: Column) -> dict[str, Column]:
@@ -114,13 +128,14 @@ def district_pattern(name: str) -> str:
 def street_and_house(text: Column) -> dict[str, Column]:
     """The street's name and the house's number of "вул. Соборності, 7 корпус А"; both may be null.
 
-    After a comma the first word is the number if it begins with a digit; without a comma a last word of digits is.
+    After a comma the first word is the number if it begins with a digit; without a comma a last word of digits is (12, 12/4, 12а).
     """
     text = F.trim(text)
     bare = F.trim(F.regexp_replace(F.trim(F.substring_index(text, ",", 1)), "(?iu)^(?:" + "|".join(re.escape(w) for w in STREET_WORDS) + ")\\s+", ""))
     after = F.when(text.contains(","), F.regexp_extract(text, ",\\s*(\\d[^\\s,]*)", 1))
-    last = F.when(~text.contains(","), F.regexp_extract(bare, "\\s(\\d+)$", 1))
-    street = F.when(last != "", F.trim(F.regexp_replace(bare, "\\s\\d+$", ""))).otherwise(bare)
+    number = "\\d+(?:[/-]\\d+)?\\p{L}?"
+    last = F.when(~text.contains(","), F.regexp_extract(bare, f"\\s({number})$", 1))
+    street = F.when(last != "", F.trim(F.regexp_replace(bare, f"\\s{number}$", ""))).otherwise(bare)
     return {"street": F.nullif(street, F.lit("")), "house": F.nullif(F.coalesce(after, last), F.lit(""))}
 
 

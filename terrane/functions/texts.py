@@ -68,7 +68,8 @@ def described_address(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     word = f"[{LETTERS}]+"
     region = places.region_name(F.regexp_extract(text, f"(?iu)(?:^|[,.\\s])({word}[сц]ька\\s+(?:область|обл\\.?))", 1))
-    settlement = F.trim(F.regexp_extract(text, f"(?iu)(?:^|[^\\p{{L}}])(?:м|с|смт|с-ще)\\.\\s*({word})", 1))
+    name = f"\\p{{Lu}}[{LETTERS}]*(?:\\s+\\p{{Lu}}[{LETTERS}]*)*"  # words with capitals; "м." alone is a metre
+    settlement = F.trim(F.regexp_extract(text, f"(?u)(?:^|[^\\p{{L}}])(?:[МмСс]|[Сс]мт|[Сс]-ще)\\.\\s*({name})", 1))
     kinds = "вулиця|вул\\.|просп\\.|бул\\.|пров\\.|пл\\."
     street = F.trim(F.regexp_extract(text, f"(?iu)(?:^|[^\\p{{L}}])(?:{kinds})\\s*({word}(?:\\s+{word})*?)(?=\\s*(?:,|\\.|$|\\d|\\s(?:буд|№)))", 1))
     beside = F.regexp_extract(text, f"(?iu)(?:^|[^\\p{{L}}])(?:{kinds})\\s*{word}(?:\\s+{word})*?,?\\s+(\\d+[а-яіїєґ]?)(?!\\p{{L}})", 1)

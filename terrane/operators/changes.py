@@ -10,28 +10,37 @@ def content_hash(columns: list[str]) -> Column:
     return F.md5(F.to_json(F.struct(*sorted(columns))).cast("binary"))
 
 
+def _same(a: str, b: str, key: list[str]) -> Column:
+    """Whether the keys of two aliased tables are equal; nulls are equal to nulls."""
+    out = F.lit(True)
+    for k in key:
+        out = out & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return out
+
+
 def compare(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """key and change: 'new', 'changed', 'same' or 'gone', by a hash of columns."""
+    """key and change: 'new', 'changed', 'same' or 'gone', by a hash of columns. A null in a key is a value like others."""
     a, b = old.select(*key, content_hash(columns).alias("old_hash")), new.select(*key, content_hash(columns).alias("new_hash"))
     change = F.when(F.col("old_hash").isNull(), "new").when(F.col("new_hash").isNull(), "gone").when(F.col("old_hash") == F.col("new_hash"), "same").otherwise("changed")
-    return a.join(b, key, "full_outer").select(*key, change.alias("change"))
+    both = a.alias("a").join(b.alias("b"), _same("a", "b", key), "full_outer")
+    return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key], change.alias("change"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = ()) -> DataFrame:
-    """Rows of both; where a key is in both the new values win, but for the columns in keep (such as created_at)."""
+    """Rows of both; where a key is in both the new values win, but for the columns in keep (such as created_at). Nulls in keys are equal."""
     rest = [c for c in old.columns if c not in key]
     a, b = old.withColumn("in_old", F.lit(True)).alias("a"), new.withColumn("in_new", F.lit(True)).alias("b")
-    both = a.join(b, key, "full_outer")
+    both = a.join(b, _same("a", "b", key), "full_outer")
     pick = lambda c: F.when(F.col("in_old") & F.lit(c in keep), F.col(f"a.{c}")).when(F.col("in_new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
-    return both.select(*key, *[pick(c).alias(c) for c in rest])
+    return both.select(*[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in key], *[pick(c).alias(c) for c in rest])
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    return old.join(new.select(key), key, "left_anti").unionByName(new)
+    return old.alias("a").join(new.select(key).alias("b"), _same("a", "b", key), "left_anti").unionByName(new)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(key), key, "left_anti").dropDuplicates(key))
+    return old.unionByName(new.alias("a").join(old.select(key).alias("b"), _same("a", "b", key), "left_anti").dropDuplicates(key))
 
 
 def update_where(df: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -68,11 +77,17 @@ def unexpired(df: DataFrame, expires: str, now: Column) -> DataFrame:
     return df.where(F.col(expires).isNull() | (F.col(expires) > now))
 
 
-def promote(raw: DataFrame, main: DataFrame, key: list[str], columns: list[str], now: Column) -> DataFrame:
-    """main with the raw rows that are new or changed, by a hash of columns kept in version_hash; promoted_at says when."""
-    fresh = raw.select(*key, *columns, content_hash(columns).alias("version_hash"))
+def promote(raw: DataFrame, main: DataFrame, key: list[str], columns: list[str], now: Column, order: str | None = None) -> DataFrame:
+    """main with the raw rows that are new or changed, by a hash of columns kept in version_hash; promoted_at says when.
+
+    Of raw rows with one key the last by order counts, without an order (and where it is the same) the one of the largest hash.
+    """
+    hashed = raw.withColumn("version_hash", content_hash(columns))
+    last = F.max_by(F.struct(*columns, "version_hash"), F.struct(F.col(order), F.col("version_hash")) if order else F.col("version_hash"))
+    fresh = hashed.groupBy(*key).agg(last.alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in [*columns, "version_hash"]])
     known = main.select(*key, F.col("version_hash").alias("known"))
-    moved = fresh.join(known, key, "left").where(~F.col("version_hash").eqNullSafe(F.col("known"))).drop("known").withColumn("promoted_at", now)
+    met = fresh.alias("a").join(known.alias("b"), _same("a", "b", key), "left").where(~F.col("version_hash").eqNullSafe(F.col("known")))
+    moved = met.select(*[F.col(f"a.{c}").alias(c) for c in fresh.columns]).withColumn("promoted_at", now)
     return replace_rows(main, moved, key)
 
 

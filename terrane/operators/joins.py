@@ -50,10 +50,14 @@ def first_match(left: DataFrame, right: DataFrame, candidates: list[Column], rig
 def repeats(df: DataFrame, same: Column, ident: str, earlier_than: str) -> DataFrame:
     """Each row with how many earlier rows are the same, and the first of them.
 
-    A running count in the order of `earlier_than` replaces a self-join, which would grow with the square of a group.
+    A running count in the order of `earlier_than` replaces a self-join, which would grow with the square of a group. A row
+    without a key repeats nothing.
     """
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("same_key").orderBy(earlier_than)
     keyed = df.withColumn("same_key", same)
-    return keyed.select(ident, (F.row_number().over(w) - 1).cast("long").alias("n_earlier"), F.when(F.row_number().over(w) > 1, F.first(ident).over(w)).alias("first_id"))
+    alone = keyed.where("same_key is null").select(ident, F.lit(0).cast("long").alias("n_earlier"), F.lit(None).cast(df.schema[ident].dataType).alias("first_id"))
+    keyed = keyed.where("same_key is not null")
+    told = keyed.select(ident, (F.row_number().over(w) - 1).cast("long").alias("n_earlier"), F.when(F.row_number().over(w) > 1, F.first(ident).over(w)).alias("first_id"))
+    return told.unionByName(alone)
