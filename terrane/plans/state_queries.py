@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import entities
+from terrane.operators import changes, entities
 from terrane.operators.rollups import Rollup
 from terrane.plans.queries import query
 from terrane.plans.shape_queries import ORACLE_SQL, QUERIES
 from terrane.sources.storage import scratch, table
 from terrane.sources.versions import Versions
+from terrane.streaming import events, sessions
 from terrane.streaming.phases import Feed
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -70,3 +71,21 @@ def j16_repeat_links(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey")).alias("k"), F.col("o_orderdate").alias("t"))
     links = entities.repeat_links(o, F.col("k"), "id", "t", 3)
     return links.select("id", F.array_join(F.coalesce(F.col("earlier"), F.array()).cast("array<string>"), ",").alias("earlier"), "n_earlier")
+
+
+@query("""with p as (select conv_id, turn, text, role, lead(role) over w as next_role, lead(text) over w as reply from conversations window w as (partition by conv_id order by turn))
+select conv_id, turn::bigint as turn, text, reply, row_number() over (partition by conv_id order by turn desc)::int as n_back from p where role = 'user' and next_role = 'assistant' qualify row_number() over (partition by conv_id order by turn desc) <= 2""")
+def w4_live_exchanges(spark, d):
+    """All conversations through a stream with state; each micro-batch's sessions replace those of the version before."""
+    src, state = scratch(spark, "turns"), Versions(spark, scratch(spark, "sessions"))
+    table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60).alias("ts")).write.parquet(src)
+
+    def merge(batch, number):
+        if state.entry()["batch"] < number:
+            old = state.read()
+            state.publish(batch if old is None else changes.replace_rows(old, batch, ["session"]), number)
+
+    live = sessions.live_exchanges(events.read_stream(spark, src), "conv_id", "turn", "ts", 2, 100_000_000)
+    events.run_available(live, merge, scratch(spark, "offsets"), "update")
+    found = state.read().select(F.col("session").cast("long").alias("conv_id"), F.posexplode("exchanges").alias("k", "x"))
+    return found.select("conv_id", "x.turn", "x.text", "x.reply", (F.col("k") + 1).alias("n_back"))

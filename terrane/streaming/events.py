@@ -38,6 +38,6 @@ def not_older(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
     return df.where(F.col(ts) >= now - F.make_dt_interval(F.lit(days)))
 
 
-def run_available(df: DataFrame, merge, checkpoint: str) -> None:
+def run_available(df: DataFrame, merge, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there, a micro-batch at a time: merge(batch, number) updates the state, as in changes.upsert."""
-    df.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    df.writeStream.outputMode(mode).foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
