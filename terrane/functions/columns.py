@@ -214,8 +214,8 @@ def cadastral_parts(code: Column) -> dict[str, Column]:
     return {"oblast_code": part(head.substr(1, 2)), "district_code": part(head.substr(3, 3)), "city_code": part(head.substr(6, 3)), "zone": part(F.get(groups, F.lit(1))), "quarter": part(F.get(groups, F.lit(2))), "parcel": part(F.get(groups, F.lit(3)))}
 
 
-# The noun сотка (a hundred square metres) in the cases of both numbers, and what it is shortened to.
-SOTKY = "|".join(["сот" + end for end in ("ка", "ки", "ці", "ку", "кою", "ко", "ок", "кам", "ками", "ках")] + ["сот\\.?"])
+# The noun сотка (a hundred square metres) in the cases of both numbers, what it is shortened to, and the fraction сота.
+SOTKY = "|".join(["сот" + end for end in ("ка", "ки", "ці", "ку", "кою", "ко", "ок", "кам", "ками", "ках", "а", "у", "і", "их", "ими")] + ["сот\\.?"])
 # Units of area.
 HECTARES = "гектарів|гектари|гектара|гектар|га"
 SQUARE_METRES = "м²|м2|кв\\.?\\s?м"
