@@ -410,14 +410,38 @@ def s11_geojson_parcels(spark, d):
     return files.geojson_parcels(docs, "doc").select("number", "x0", "y0", "x1", "y1", "area")
 
 
-@query("with b as (select floor((20 + 180) / 360 * 256)::bigint as x0, floor((25 + 180) / 360 * 256)::bigint as x1, floor((1 - asinh(tan(radians(54.5))) / pi()) / 2 * 256)::bigint as y0, floor((1 - asinh(tan(radians(51))) / pi()) / 2 * 256)::bigint as y1) select x, unnest(range(y0, y1 + 1)) as y from (select unnest(range(x0, x1 + 1)) as x, y0, y1 from b)")
+TILES_SQL = """p as (select 22.03::double + c_custkey * 7 % 180 / 10.0::double as lon, 44.03::double + c_custkey % 80 / 10.0::double as lat from customer),
+t as (select floor((lon + 180) / 360 * 256)::bigint as x, floor((1 - asinh(tan(radians(lat))) / pi()) / 2 * 256)::bigint as y from p),
+g as (select x, unnest(range(y0, y1 + 1)) as y from (select unnest(range(x0, x1 + 1)) as x, y0, y1 from (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from t)))"""
+
+
+def points(spark, d):
+    """A point for each customer, made from its key."""
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select("c_custkey", (22.03 + k * 7 % 180 / 10.0).alias("lon"), (44.03 + k % 80 / 10.0).alias("lat"))
+
+
+def bounds(rows):
+    """west, south, east, north of points: one row."""
+    return tuple(rows.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first())
+
+
+@query(f"with {TILES_SQL} select g.x, g.y, count(t.x) as n from g left join t on t.x = g.x and t.y = g.y group by 1, 2")
 def s14_tile_grid(spark, d):
-    return files.tile_cells(spark, 20.0, 51.0, 25.0, 54.5, 8).select("x", "y")
+    """The tiles over all customers' points, with the points of each."""
+    at = points(spark, d)
+    held = at.select(*[c.alias(n) for n, c in files.tile_of(F.col("lon"), F.col("lat"), 8).items()]).groupBy("x", "y").agg(F.count("*").alias("n"))
+    return files.tile_cells(spark, *bounds(at), 8).select("x", "y").join(held, ["x", "y"], "left").select("x", "y", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select strftime(d, '%Y-%m-%d') as month from (select unnest(generate_series(timestamp '2020-01-01', timestamp '2025-12-01', interval 1 month)) as d)")
+@query("""with p as (select o_orderpriority as priority, date_trunc('month', min(o_orderdate)) as a, date_trunc('month', max(o_orderdate)) as b from orders group by 1), m as (select priority, unnest(generate_series(a::timestamp, b::timestamp, interval 1 month)) as d from p)
+select m.priority, strftime(d, '%Y-%m-%d') as month, count(o_orderkey) as n from m left join orders on o_orderpriority = m.priority and date_trunc('month', o_orderdate) = d group by 1, 2""")
 def s15_months(spark, d):
-    return spark.range(1).select(files.months("2020-01-01", "2025-12-31").alias("m")).select(C.day_key(F.col("m")).alias("month"))
+    """Every month between the first and the last order of a priority, with its orders."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("day"))
+    every = o.groupBy("priority").agg(F.min("day").alias("a"), F.max("day").alias("b")).select("priority", files.months(F.col("a"), F.col("b")).alias("m"))
+    counted = o.groupBy("priority", F.trunc("day", "month").alias("m")).agg(F.count("*").alias("n"))
+    return every.join(counted, ["priority", "m"], "left").select("priority", C.day_key(F.col("m")).alias("month"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")

@@ -12,7 +12,7 @@ from terrane.functions import columns as C
 from terrane.functions import listings as L
 from terrane.functions import places as P
 from terrane.operators import changes, entities, groups, joins, profiles, search, stats
-from terrane.plans.listing_queries import ORACLE_SQL, QUERIES
+from terrane.plans.listing_queries import ORACLE_SQL, QUERIES, TILES_SQL, bounds, points
 from terrane.plans.queries import placed, query
 from terrane.sources import files
 from terrane.sources.storage import scratch, stored, table
@@ -87,13 +87,14 @@ def s7_a34_table_counts(spark, d):
     return profiles.table_counts(spark, {"orders": o, "part": table(spark, d, "part"), "nothing": o.limit(0), "absent": None})
 
 
-@query("select 'part-b.csv' as file")
+@query("select n_nationkey, n_name from nation where n_regionkey = (select max(n_regionkey) from nation)")
 def s13_latest_file(spark, d):
-    path = scratch(spark, "files")
-    for name in ("part-a", "other", "part-b"):
-        spark.range(1).write.option("header", True).csv(f"{path}/{name}.csv")
-    folders = spark.read.format("binaryFile").load(f"{path}/*/*.csv").select(F.element_at(F.split("path", "/"), -2).alias("file"), "modificationTime").where(F.col("file").rlike("^part"))
-    return folders.agg(F.max_by("file", F.struct("modificationTime", "file")).alias("file"))
+    """The regions' nations are exported one after another, and the export that was written last is read."""
+    path, nations = scratch(spark, "files"), table(spark, d, "nation")
+    for (region,) in nations.select("n_regionkey").distinct().orderBy("n_regionkey").collect():
+        nations.where(F.col("n_regionkey") == region).coalesce(1).write.parquet(f"{path}/export={region}")
+    newest = files.newest_file(spark, f"{path}/*", "^part-.*parquet$").first()["path"]
+    return spark.read.parquet(newest).select("n_nationkey", "n_name")
 
 
 _RELEVANT = "status = 'активне' and price_uah >= 50000 and price_uah <= 250000 and building_area_sqm >= 30 and land_area_sqm <= 0.4 * 10000 and title ilike '%low%' and price_uah / building_area_sqm >= 900 and (city ilike '%Львів%' or region ilike '%Волинська%' or (placed and (a_city ilike '%Львів%' or a_region ilike '%Волинська%')))"
@@ -206,9 +207,12 @@ def g14_largest_ring(spark, d):
     return table(spark, d, "supplier").select(k.alias("id"), F.size(ring).alias("n_points"), (ring[1][0] - ring[0][0]).alias("width"))
 
 
-@query("select p.x as x, p.y as y, if(x between 145 and 146, 0, 1) as priority from (with b as (select floor((20 + 180) / 360 * 256)::bigint as x0, floor((25 + 180) / 360 * 256)::bigint as x1, floor((1 - asinh(tan(radians(54.5))) / pi()) / 2 * 256)::bigint as y0, floor((1 - asinh(tan(radians(51))) / pi()) / 2 * 256)::bigint as y1) select x, unnest(range(y0, y1 + 1)) as y from (select unnest(range(x0, x1 + 1)) as x, y0, y1 from b)) p")
+@query(f"""with {TILES_SQL}, f as (select floor((min(lon) + 180) / 360 * 256) as x0, ceil((max(lon) + 180) / 360 * 256) - 1 as x1, floor((1 - asinh(tan(radians(max(lat)))) / pi()) / 2 * 256) as y0, ceil((1 - asinh(tan(radians(min(lat)))) / pi()) / 2 * 256) - 1 as y1 from p where lon < 30 and lat < 47)
+select g.x, g.y, if(g.x between f.x0 and f.x1 and g.y between f.y0 and f.y1, 0, 1) as priority from g, f""")
 def s14_tile_priority(spark, d):
-    return files.tile_cells(spark, 20.0, 51.0, 25.0, 54.5, 8, (24.0, 0.0, 26.5, 80.0)).select("x", "y", "priority")
+    """The tiles over all customers' points; those that meet the box of the points in the south-west come first."""
+    at = points(spark, d)
+    return files.tile_cells(spark, *bounds(at), 8, bounds(at.where("lon < 30 and lat < 47"))).select("x", "y", "priority")
 
 
 # state and reports
@@ -563,14 +567,15 @@ def a40_seven_buckets(spark, d):
     return groups.auto_buckets(table(spark, d, "part"), "p_retailprice", "p_partkey", 7)
 
 
-@query("select count(*) >= 0 as sampled, true as repeatable from part")
+@query("select true as sampled, true as repeatable, count(*) as total from part")
 def a40_sample_and_count(spark, d):
-    """A sample of about a tenth by a hash of the key; the count stage is an aggregate."""
+    """A sample of a tenth by a hash of the key, within four deviations of its size, and the same again; the count stage is an aggregate."""
     p = table(spark, d, "part")
     pick = lambda: groups.sampled(p, "p_partkey", 0.1, 7)
     both = pick().join(pick(), "p_partkey", "full_outer").agg(F.count("*").alias("n"))
-    once = pick().agg(F.count("*").alias("m"))
-    return both.join(once).select((F.col("n") >= 0).alias("sampled"), (F.col("n") == F.col("m")).alias("repeatable"))
+    once, total = pick().agg(F.count("*").alias("m")), p.agg(F.count("*").alias("total"))
+    near = F.abs(F.col("n") - F.col("total") * 0.1) <= 4 * F.sqrt(F.col("total") * 0.09)
+    return both.join(once).join(total).select(near.alias("sampled"), (F.col("n") == F.col("m")).alias("repeatable"), "total")
 
 
 # windows, orders

@@ -37,9 +37,16 @@ def rows_by_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.toDF(key).distinct(), key, "left_semi").dropDuplicates([key])
 
 
-def months(first: str, last: str) -> Column:
-    """The first days of all months from one date to another, one to a row."""
-    return F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr("interval 1 month")))
+def months(first: str | Column, last: str | Column) -> Column:
+    """The first days of all months from one date's to another's, one to a row."""
+    day = lambda c: F.trunc((c if isinstance(c, Column) else F.lit(c)).cast("date"), "month")
+    return F.explode(F.sequence(day(first), day(last), F.expr("interval 1 month")))
+
+
+def tile_of(lon: Column, lat: Column, zoom: int) -> dict[str, Column]:
+    """x and y of the map tile that holds a point, in the usual web projection."""
+    n = F.lit(float(2**zoom))
+    return {"x": F.floor((lon + 180) / 360 * n), "y": F.floor((1 - F.asinh(F.tan(F.radians(lat))) / F.pi()) / 2 * n)}
 
 
 def tile_cells(spark, west: float, south: float, east: float, north: float, zoom: int, first: tuple[float, float, float, float] | None = None) -> DataFrame:
@@ -102,10 +109,10 @@ def page_state(html: Column, least: int = 40) -> Column:
 
 
 def newest_file(spark, path: str, pattern: str) -> DataFrame:
-    """file, modified: the file under path that was modified last among those whose name fits the pattern."""
+    """file, path, modified: the file under path that was modified last among those whose name fits the pattern."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
     named = files.withColumn("file", F.element_at(F.split("path", "/"), -1)).where(F.col("file").rlike(pattern))
-    return named.agg(F.max_by("file", F.struct("modificationTime", "file")).alias("file"), F.max("modificationTime").alias("modified"))
+    return named.agg(F.max_by("file", F.struct("modificationTime", "file")).alias("file"), F.max_by("path", F.struct("modificationTime", "file")).alias("path"), F.max("modificationTime").alias("modified"))
 
 
 def dates_in_name(name: Column) -> dict[str, Column]:
