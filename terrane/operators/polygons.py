@@ -255,3 +255,79 @@ def polygon_clusters(polygons: DataFrame, same: list[str], buffer: float, cell:
 
 def _clusters(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("id"), F.col("root").alias("cluster"))
+
+
+# rings that cross themselves
+
+
+def simple_loops(ring: list) -> list[list[tuple[float, float]]]:
+    """The simple loops that a ring falls into where it crosses or touches itself, open; parts without area are left out.
+
+    Edges are swept by their smaller x, so that only those whose spans overlap are compared; where two meet, both get the
+    point. The ring is then walked, and comes off in a loop whenever a point comes again.
+    """
+    points = [(float(p[0]), float(p[1])) for p in ring]
+    points = [p for k, p in enumerate(points) if p != points[k - 1]]
+    n = len(points)
+    edges = [(points[k], points[(k + 1) % n]) for k in range(n)]
+    met: list[dict[tuple[float, float], float]] = [{} for _ in edges]
+    active: list[int] = []
+    for k in sorted(range(n), key=lambda k: min(edges[k][0][0], edges[k][1][0])):
+        low = min(edges[k][0][0], edges[k][1][0])
+        active = [a for a in active if max(edges[a][0][0], edges[a][1][0]) >= low]
+        for a in active:
+            for p in _meetings(*edges[a], *edges[k]):
+                for e in (a, k):
+                    met[e][p] = _along(p, *edges[e])
+        active.append(k)
+    loops, path, place = [], [], {}
+    for k in range(n):
+        between = sorted((t, p) for p, t in met[k].items() if 0 < t < 1 and p not in edges[k])
+        for p in [edges[k][0], *(p for _, p in between)]:
+            if p in place:
+                loop = path[place[p] :]
+                for q in loop:
+                    del place[q]
+                del path[-len(loop) :]
+                loops.append(loop)
+            place[p] = len(path)
+            path.append(p)
+    return [x for x in [*loops, path] if len(x) > 2 and _area(x) > 0]
+
+
+def _along(p, a, b) -> float:
+    """Where on a segment a point of it lies, from 0 to 1."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    return (p[0] - a[0]) / dx if abs(dx) >= abs(dy) else (p[1] - a[1]) / dy
+
+
+def _meetings(a, b, c, d) -> Iterator[tuple[float, float]]:
+    """The point where two segments cross, or the ends of one that lie on the other."""
+    turns = _turn(*a, *b, *c), _turn(*a, *b, *d), _turn(*c, *d, *a), _turn(*c, *d, *b)
+    if turns[0] * turns[1] < 0 and turns[2] * turns[3] < 0:
+        t = turns[2] / (turns[2] - turns[3])
+        yield (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1]))
+    for turn, p, e in ((turns[0], c, (a, b)), (turns[1], d, (a, b)), (turns[2], a, (c, d)), (turns[3], b, (c, d))):
+        if turn == 0 and 0 <= _along(p, *e) <= 1:
+            yield p
+
+
+def _area(loop: list[tuple[float, float]]) -> float:
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(loop, [*loop[1:], loop[0]], strict=True))) / 2
+
+
+def valid_rings(df: DataFrame, ident: str, ring: str) -> DataFrame:
+    """id, ring (closed) and area: of every ring the largest simple part; null where it has none."""
+
+    def largest(points: list | None) -> tuple:
+        usable = points and all(p and len(p) > 1 and None not in p and np.isfinite(p[:2]).all() for p in points)
+        loops = simple_loops(points) if usable else []
+        best = max(loops, key=_area, default=None)
+        return ([list(p) for p in [*best, best[0]]], _area(best)) if best else (None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [largest(r) for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.list_(pa.float64()))), pa.array([r[1] for r in rows], pa.float64())], ["id", "ring", "area"])
+
+    return df.select(F.col(ident).cast("long").alias("id"), F.col(ring).cast("array<array<double>>").alias("ring")).mapInArrow(run, "id long, ring array<array<double>>, area double")

@@ -111,3 +111,15 @@ def s9_page_cards(spark, d):
     html = F.concat(F.lit("<body><main>"), F.array_join(F.transform(links, card), "\n"), F.lit("</main><a href='/help'>?</a>"))
     rows = pages.page_cards(table(spark, d, "pages").select("page_id", html.alias("html")), F.to_date(F.lit("2026-03-10")))
     return rows.select("page_id", "place", "url", "title", "price", "currency", "location", "listed", "area")
+
+
+@query("select s_suppkey as id, round((1 + s_suppkey % 4) * (1 + s_suppkey % 4) * 2 * (4 - 4.0::double * (1 + s_suppkey % 3) / (5 + s_suppkey % 3)), 6) as area, 4 as n_points from supplier")
+def g14_repaired_rings(spark, d):
+    """Bow ties with a spike: the larger wing is what is left."""
+    k = F.col("s_suppkey")
+    w, v = 1 + k % 4, 1 + k % 3
+    p = lambda x, y: F.array((k + x * w).cast("double"), (k + y * w).cast("double"))
+    zero, four = F.lit(0), F.lit(4)
+    ring = F.array(p(zero, zero), p(four, four), p(four, zero), p(F.lit(6), zero), p(four, zero), p(zero, v), p(zero, zero))
+    found = polygons.valid_rings(table(spark, d, "supplier").select("s_suppkey", ring.alias("ring")), "s_suppkey", "ring")
+    return found.select("id", F.round("area", 6).alias("area"), F.size("ring").alias("n_points"))
