@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.sources.storage import forget, scratch, stored, table
 
-__all__ = ["bounded_batches", "fold", "forget", "partitions", "rows_in", "scratch", "stored", "table", "text_key", "words"]
+__all__ = ["bounded_batches", "fold", "forget", "kept_by", "partitions", "rows_in", "scratch", "stored", "table", "text_key", "words"]
 
 BROADCAST_KEYS = 500_000  # of 16 bytes each
 BATCH_ROWS = 1_000  # of whole texts that go to a Python worker at once
+_kept: dict[str, dict[Any, Any]] = {}
 
 
 def fold(id_col: str, n: int):
@@ -25,6 +29,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def kept_by(owner: str, key: Any = None, make: Callable[[Any], Any] | None = None) -> Any:
+    """What an operator keeps in a Python worker from task to task, made when first asked for.
+
+    Workers outlive the stages of a pipeline, so what other operators keep is dropped here; one that keeps nothing calls
+    this for that alone.
+    """
+    if owner not in _kept:
+        _kept.clear()
+        _kept[owner] = {}
+    if make and key not in _kept[owner]:
+        _kept[owner][key] = make(key)
+    return _kept[owner].get(key)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from terrane.operators.components import components
 
 from . import simhash
-from .common import bounded_batches, forget, rows_in, scratch, stored, text_key
+from .common import bounded_batches, forget, kept_by, rows_in, scratch, stored, text_key
 
 WORDS = 5
 LEAST = (4, 5)  # the similarity from which texts link, as a fraction
@@ -94,6 +94,7 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     """Shingles that a sample of about SAMPLE texts shows to be frequent, MOST_FREQUENT at most; the most frequent one first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_copies")
         for b in batches:
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()))], ["gram"])
@@ -111,6 +112,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     frequent, places = by_count[order], len(order) - order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_copies")
         seen: set[int] = set()
         for b in batches:
             for k in range(0, b.num_rows, 512):
@@ -140,6 +142,7 @@ def shared_grams(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_copies")
         held, told = None, False  # the last row, whose shingle may come again; whether it was given out
         for b in batches:
             cols = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held or [np.zeros(0, np.int64)] * 3, b.columns, strict=True)]
@@ -170,6 +173,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_copies")
         seen: set[int] = set()
         for b in batches:
             for k in range(0, b.num_rows, 256):
@@ -185,6 +189,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFr
     """Edges (u, v) of the pairs (a, b) that are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_copies")
         for b in batches:
             pairs = ([np.frombuffer(x.as_py(), np.int64) for x in p] for p in zip(b.column(2), b.column(3), strict=True))
             yield b.select(["u", "v"]).filter(pa.array([similar(*p) for p in pairs], pa.bool_()))
@@ -217,6 +222,7 @@ def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     up, down = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("near_copies")
         for b in batches:
             rows = ([x.as_py() for x in r] for r in zip(*(b.column(k) for k in range(2, 6)), strict=True))
             near = [not (x and y) or apart(x, y) * (up + down) <= (n + m) * (down - up) for n, m, x, y in rows]

@@ -29,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_by
+
 MARK = "▁"
 MEMO_ENTRIES, AGREED_ENTRIES = 300_000, 400_000  # of steps and of pairs of pieces, about 200 bytes each, in a worker
 PART = 1 << 15  # characters that a stream takes at a time
 SHORT = 64  # of a step that is kept, and of text that waits for its end before the lattice takes it
-_coders: dict[str, PieceCoder] = {}
 
 
 class Lattice:
@@ -214,9 +215,7 @@ class PieceCoder:
 
 def coder(path: str) -> PieceCoder:
     """One coder for each worker process."""
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return kept_by("piece_coding", path, PieceCoder)
 
 
 def encode_documents(docs: DataFrame, model: str) -> DataFrame:

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, forget, partitions, rows_in, scratch, stored, text_key
+from .common import bounded_batches, forget, kept_by, partitions, rows_in, scratch, stored, text_key
 
 
 class Symbols(NamedTuple):
@@ -60,7 +60,6 @@ SLICE = 500_000
 SPOKEN = re.compile(rb"[^ \t-\r]+")
 ENTRY = "key long, ctx long, doc_id long, text_key long, lo int, hi int"
 SPANS = "array<struct<from:int,to:int>>"
-_rolls: dict[int, Rolling] = {}
 
 
 class Rolling:
@@ -99,9 +98,7 @@ class Rolling:
 
 def rolling(seed: int) -> Rolling:
     """One table of powers for each worker process."""
-    if seed not in _rolls:
-        _rolls[seed] = Rolling(seed)
-    return _rolls[seed]
+    return kept_by("suffix_dedup", seed, Rolling)
 
 
 def anchors(data: np.ndarray, kind: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -28,12 +28,11 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, stored
+from .common import kept_by, partitions, scratch, stored
 
 MEMO_ENTRIES = 600_000
 MANIFEST = "shard int, file string, n_records long, n_tokens long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_encoders: dict = {}
 
 
 def masked_crc(data: bytes) -> int:
@@ -99,9 +98,7 @@ class PieceEncoder:
 
 def encoder(path: str) -> PieceEncoder:
     """One encoder for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return kept_by("token_records", path, PieceEncoder)
 
 
 def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, words
+from .common import bounded_batches, fold, kept_by, words
 
 ORDER, SHARED = 6, 2
 DISCOUNT = 0.9
@@ -124,6 +124,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     """gram, toxic, n of labelled rows (toxic, text), combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for t, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -168,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mean_evidence(b.column(1).to_pylist(), shared.value))], ["toxic", "evidence"])
 
@@ -185,6 +187,7 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     shared, slope, shift = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
@@ -204,6 +207,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> Dat
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
