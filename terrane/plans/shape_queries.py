@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrane.operators import polygons
 from terrane.plans.queries import query
 from terrane.plans.text_queries import ORACLE_SQL, QUERIES
-from terrane.sources import pages
+from terrane.sources import pages, tiles
 from terrane.sources.storage import table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -123,3 +123,25 @@ def g14_repaired_rings(spark, d):
     ring = F.array(p(zero, zero), p(four, four), p(four, zero), p(F.lit(6), zero), p(four, zero), p(zero, v), p(zero, zero))
     found = polygons.valid_rings(table(spark, d, "supplier").select("s_suppkey", ring.alias("ring")), "s_suppkey", "ring")
     return found.select("id", F.round("area", 6).alias("area"), F.size("ring").alias("n_points"))
+
+
+_LAT = "degrees(atan((exp(pi() * (1 - 2 * (ty + ({0}) / 4096.0::double) / 4096)) - exp(-pi() * (1 - 2 * (ty + ({0}) / 4096.0::double) / 4096))) / 2))"
+
+
+@query(f"""with p as (select c_custkey, 2300 + c_custkey * 7919 % 97 as tx, 1380 + c_custkey * 6007 % 89 as ty, 100 + c_custkey % 3000 as px, 200 + c_custkey * 31 % 3000 as py, 4 + c_custkey % 50 as r from customer)
+select '3200000000:' || c_custkey as number, case when c_custkey % 7 = 0 then 2500.0::double else (c_custkey % 900 + 1)::double end as area, case when c_custkey % 3 > 0 then '01.0' || c_custkey % 3 end as purpose,
+round((tx + (px - r) / 4096.0::double) / 4096 * 360 - 180, 7) as x0, round({_LAT.format("py + r")}, 7) as y0, round((tx + (px + r) / 4096.0::double) / 4096 * 360 - 180, 7) as x1, round({_LAT.format("py - r")}, 7) as y1 from p""")
+def s11_map_tiles(spark, d):
+    """Every customer is a parcel with a hole, written to the tile that its key gives and read back from there."""
+    k = F.col("c_custkey")
+    px, py, r = 100 + k % 3000, 200 + k * 31 % 3000, 4 + k % 50
+    p = lambda dx, dy: F.array(px + dx, py + dy)
+    zero = F.lit(0)
+    rings = F.array(F.array(p(zero, zero - 2), p(zero - 2, zero), p(zero, zero + 2), p(zero + 2, zero)), F.array(p(zero, -r), p(r, zero), p(zero, r), p(-r, zero)))
+    area = F.when(k % 7 == 0, "0.25").otherwise((k % 900 + 1).cast("string"))
+    purpose = F.when(k % 3 > 0, F.concat(F.lit("01.0"), (k % 3).cast("string")))
+    said = F.create_map(F.lit("cadnum"), F.concat(F.lit("3200000000:"), k.cast("string")), F.lit("area"), area, F.lit("purpose_code"), purpose)
+    rows = table(spark, d, "customer").select((2300 + k * 7919 % 97).alias("x"), (1380 + k * 6007 % 89).alias("y"), k.alias("id"), rings.alias("rings"), said.alias("properties"))
+    parts = tiles.tile_parts(rows, "land_polygons").withColumn("zoom", F.lit(12))
+    found = tiles.tile_parcels(tiles.tile_features(parts, "data", "x", "y", "zoom"))
+    return found.select("number", "area", "purpose", *[F.round(c, 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
