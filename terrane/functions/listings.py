@@ -22,6 +22,8 @@ FARM_WORDS = ["с/г", "сільськогосподарськ"]
 LAND_WORDS = ["земельн", "земля", "ділянк", "соток", "га ", " гектар"]
 HOUSE_WORDS = ["будинк", "будівл", "приміщен", "офіс", "склад", "магазин"]
 TRADE_WORDS = ["нерухомість", "приміщен", "офіс", "склад", "магазин", "комерц", "нежитлов"]
+STORED_LAND_WORDS = ["земля", "ділянка"]
+STORED_BUILDING_WORDS = ["нерухомість", "будівл"]
 
 # Words that show what a property is used for.
 USE_WORDS = {
@@ -107,6 +109,13 @@ def kind_of_text(text: Column) -> Column:
     return F.when(any_word(text, FARM_WORDS), FARMLAND).when(land & house, LAND_AND_BUILDING).when(land, LAND).when(any_word(text, TRADE_WORDS), BUILDING).otherwise(OTHER)
 
 
+def kind_of_listing(stored: Column, text: Column) -> Column:
+    """The kind of property of a listing: what its stored kind tells, else (null, blank or without such words) what its text does."""
+    land, building = any_word(stored, STORED_LAND_WORDS), any_word(stored, STORED_BUILDING_WORDS)
+    told = F.when(any_word(stored, FARM_WORDS), FARMLAND).when(land & building, LAND_AND_BUILDING).when(land, LAND).when(building, BUILDING)
+    return F.coalesce(told, kind_of_text(text))
+
+
 def kind_of_items(items: Column) -> Column:
     """The kind of property of a lot, from its items (code, props, land_area, building_area, unit).
 

@@ -148,6 +148,26 @@ def item_address(region: Column, locality: Column, street: Column) -> Column:
     return F.struct(bare.alias("region"), place.alias("settlement"), parts["street"].alias("street"), parts["house"].alias("building"), formatted.alias("formatted_address"))
 
 
+# What is shown of an item's utilities and of claims on it.
+WITH_UTILITIES, WITHOUT_UTILITIES, ENCUMBERED = "електрика, вода, газ, опалення", "відсутні", "Є обтяження"
+
+
+def item_facts(item: Column) -> Column:
+    """What an item of a lot tells, as a struct; item is a struct of cadastral_number, utilities, encumbered, region, locality, street.
+
+    The address fields of ``item_address``, the region falling back to that of the cadastral number; the number, where it
+    is filled; what is known of utilities (null if nothing) and of claims. A null item gives a struct of nulls.
+    """
+    address = item_address(item["region"], item["locality"], item["street"])
+    number = C.first_filled(F.trim(item["cadastral_number"]))
+    utilities = F.when(item["utilities"], WITH_UTILITIES).when(~item["utilities"], WITHOUT_UTILITIES)
+    return F.struct(
+        number.alias("cadastral_number"), F.coalesce(address["region"], region_of_parcel(number)).alias("region"),
+        *[address[c].alias(c) for c in ("settlement", "street", "building", "formatted_address")],
+        utilities.alias("utilities"), F.when(item["encumbered"], ENCUMBERED).alias("encumbrances"),
+    )
+
+
 def region_of_parcel(code: Column) -> Column:
     """The region that a cadastral number begins with; null where it is none."""
     return F.element_at(_lookup(REGION_CODES), C.cadastral_parts(code)["oblast_code"])

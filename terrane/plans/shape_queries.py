@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.functions import listings as L
+from terrane.functions import places as P
 from terrane.operators import polygons
 from terrane.plans.queries import query
 from terrane.plans.text_queries import ORACLE_SQL, QUERIES
@@ -145,3 +147,20 @@ def s11_map_tiles(spark, d):
     parts = tiles.tile_parts(rows, "land_polygons").withColumn("zoom", F.lit(12))
     found = tiles.tile_parcels(tiles.tile_features(parts, "data", "x", "y", "zoom"))
     return found.select("number", "area", "purpose", *[F.round(c, 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("""select p_partkey, case p_size % 6 when 0 then 'Землі с/г призначення' when 1 then 'Земельна ділянка з нерухомістю' when 2 then 'Комерційна нерухомість' when 3 then 'Земельна ділянка' when 4 then 'Земельна ділянка' else 'інше' end as kind from part""")
+def p17_stored_kind(spark, d):
+    """The stored kind decides where it says something (0 to 3), the text where it does not."""
+    stored = F.element_at(F.array(*[F.lit(x) for x in ("Земля С/Г", "Ділянка з будівлею", "нерухомість", "ЗЕМЛЯ", "  ", None)]), (F.col("p_size") % 6 + 1).cast("int"))
+    text = F.concat(F.when(F.col("p_size") % 6 == 5, "").otherwise("10 соток "), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", L.kind_of_listing(stored, text).alias("kind"))
+
+
+@query("""select s_suppkey, if(s_suppkey % 2 = 0, '3221400000:01:001:' || lpad((s_suppkey % 10000)::varchar, 4, '0'), null) as cadastral_number, case when s_suppkey % 3 = 0 then 'Львівська' when s_suppkey % 2 = 0 then 'Київська' end as region, 'Буча' as settlement,
+'Соборності' as street, (s_suppkey % 40)::varchar as building, case s_suppkey % 4 when 0 then 'електрика, вода, газ, опалення' when 1 then 'відсутні' end as utilities, if(s_suppkey % 5 = 0, 'Є обтяження', null) as encumbrances from supplier""")
+def p26_item_facts(spark, d):
+    k = F.col("s_suppkey")
+    number = F.when(k % 2 == 0, F.concat(F.lit(" 3221400000:01:001:"), F.lpad((k % 10000).cast("string"), 4, "0"))).otherwise("")
+    item = F.struct(number.alias("cadastral_number"), F.when(k % 4 < 2, k % 4 == 0).alias("utilities"), (k % 5 == 0).alias("encumbered"), F.when(k % 3 == 0, "Львівська обл.").alias("region"), F.lit("Буча").alias("locality"), F.concat(F.lit("вул. Соборності, "), (k % 40).cast("string")).alias("street"))
+    return table(spark, d, "supplier").select("s_suppkey", P.item_facts(item).alias("i")).select("s_suppkey", "i.*").drop("formatted_address")

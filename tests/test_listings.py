@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import listings as L
+from terrane.functions import places as P
 from terrane.operators import entities
 from terrane.sources import files
 
@@ -37,6 +38,17 @@ def test_kind_of_text(spark, text, want):
     assert values(spark, [(text,)], "t string", L.kind_of_text(F.col("t"))) == [want]
 
 
+def test_stored_kind_comes_before_the_text(spark):
+    rows = [("Земля сільськогосподарська", "офіс"), ("Земельна ділянка, будівлі", ""), ("земля", "офіс"), ("Нерухомість", "ділянка"), (" ", "ділянка"), ("квартира", "офіс"), (None, None)]
+    assert values(spark, rows, "s string, t string", L.kind_of_listing(F.col("s"), F.col("t"))) == [L.FARMLAND, L.LAND_AND_BUILDING, L.LAND, L.BUILDING, L.LAND, L.BUILDING, L.OTHER]
+
+
+def test_item_facts_of_missing_items(spark):
+    schema = "item struct<cadastral_number:string,utilities:boolean,encumbered:boolean,region:string,locality:string,street:string>"
+    got = values(spark, [(None,), ((" 4610100000:01:001:0001 ", False, None, "", None, None),), (("no number", None, False, None, " ", ""),)], schema, P.item_facts(F.col("item")))
+    assert [tuple(x) for x in got] == [(None,) * 8, ("4610100000:01:001:0001", "Львівська", None, None, None, None, "відсутні", None), ("no number", None, None, None, None, None, None, None)]
+
+
 def test_kind_of_items(spark):
     schema = "x array<struct<code:string,props:string,land_area:double,building_area:double,unit:string>>"
     none = (None,) * 5
