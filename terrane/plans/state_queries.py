@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrane.operators import changes, entities
+from terrane.functions import listings as L
+from terrane.operators import changes, entities, unified
 from terrane.operators.rollups import Rollup
 from terrane.plans.queries import query
 from terrane.plans.shape_queries import ORACLE_SQL, QUERIES
@@ -89,3 +90,52 @@ def w4_live_exchanges(spark, d):
     events.run_available(live, merge, scratch(spark, "offsets"), "update")
     found = state.read().select(F.col("session").cast("long").alias("conv_id"), F.posexplode("exchanges").alias("k", "x"))
     return found.select("conv_id", "x.turn", "x.text", "x.reply", (F.col("k") + 1).alias("n_back"))
+
+
+USD = 41.5
+_AREAS = "sum(if(l_returnflag = 'A', l_quantity * 10000, if(l_returnflag = 'R', l_quantity * 100, 0)))::double as land, sum(if(l_returnflag = 'N', l_quantity, 0))::double as building"
+# the two sources under one schema; customers have three addresses, of which two may agree and one may be complete
+_BOTH = f"""a as (select *, 'A' || c_custkey % 3 as p1, 'A' || c_custkey % 4 as p2, 'A' || c_custkey % 5 as p3 from customer join nation on c_nationkey = n_nationkey),
+ads as (select 'ads' as source, 'u' || c_custkey as source_id, '2024-03-' || lpad((c_custkey % 28 + 1)::varchar, 2, '0') as source_date, if(c_custkey % 6 = 0, 'неактивне', 'активне') as status, 'u' || c_custkey as page_url, c_name as title,
+ case c_custkey % 3 when 0 then '{L.LAND}' when 1 then '{L.BUILDING}' else '{L.OTHER}' end as property_type, if(c_custkey % 2 = 0, p2, if(p2 = p3 and p1 <> p2, p2, p1)) as region, if(c_custkey % 2 = 0, n_name, null) as street,
+ case when c_acctbal > 0 then case c_custkey % 4 when 1 then c_acctbal * {USD} when 2 then c_acctbal * {USD} * 1.1 else c_acctbal end end::double as price_uah, if(c_custkey % 5 = 0, null, (20 + c_custkey % 80)::double) as building_area_sqm, if(c_custkey % 5 = 1, 5000.0, null)::double as land_area_sqm, if(c_custkey % 7 = 0, null, (c_custkey % 7)::varchar) as floor from a),
+k as (select l_orderkey, {_AREAS} from lineitem group by 1),
+lots as (select 'lots', o_orderkey::varchar, strftime(o_orderdate, '%Y-%m-%d'), if(o_orderstatus = 'O', 'активне', 'неактивне'), 'https://x/' || o_orderkey, if(o_custkey % 2 = 0, o_orderpriority, 'lot ' || o_orderkey),
+ case when land > 0 and building > 0 then '{L.LAND_AND_BUILDING}' when land > 0 then '{L.LAND}' when building > 0 then '{L.BUILDING}' else '{L.OTHER}' end, null, null, o_totalprice::double, nullif(building, 0), nullif(land, 0), null from orders join k on l_orderkey = o_orderkey),
+both_sources as (select * from ads union all select * from lots),
+v as (select *, price_uah / {USD} as price_usd, price_uah / building_area_sqm as price_per_m2_uah, price_uah / {USD} / building_area_sqm as price_per_m2_usd, price_uah / (land_area_sqm / 10000) as price_per_ha_uah, price_uah / {USD} / (land_area_sqm / 10000) as price_per_ha_usd from both_sources)"""
+
+
+def _listings(spark, d):
+    """Ads told by customers and lots told by orders with their lines as items, each in its source's own shape, under one schema."""
+    c, text = F.col("c_custkey"), lambda x: x.cast("string")
+    address = lambda n, full: F.struct(F.concat(F.lit("A"), text(c % n)).alias("region"), F.struct(F.when(F.lit(full), F.col("n_name")).alias("name")).alias("street"), (F.lit(full) & (c % 2 == 0)).alias("is_complete"))
+    currency = F.get(F.array(F.lit("UAH"), F.lit("usd"), F.lit("EUR"), F.lit("?")), c % 4)
+    price = F.when(c % 2 == 0, F.struct(text(F.col("c_acctbal")).alias("value"), currency.alias("currency")))
+    kind = F.get(F.array(F.lit("Ділянка"), F.lit("Нерухомість")), c % 3)
+    llm = F.struct(kind.alias("property_type"), F.when((c % 5 != 0) & (c % 5 != 2), 20 + c % 80).alias("building_area_sqm"), F.when(c % 5 == 1, F.lit("0.5")).alias("land_area_ha"), F.nullif(c % 7, F.lit(0)).alias("floor"))
+    ads = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.concat(F.lit("u"), c).alias("url"), F.concat(F.lit("2024-03-"), F.lpad(text(c % 28 + 1), 2, "0")).alias("updated_at"), F.nullif(c % 6 != 0, F.lit(True)).alias("is_active"),
+        F.struct(F.col("c_name").alias("title"), text(F.col("c_acctbal")).alias("price_value"), currency.alias("currency"), F.when(c % 5 == 2, 20 + c % 80).alias("area_m2")).alias("search_data"),
+        F.struct(price.alias("price"), llm.alias("llm")).alias("detail"), F.array(address(3, False), address(4, True), address(5, False)).alias("addresses"),
+    )
+    flag, units = F.col("l_returnflag"), F.create_map(*[F.lit(x) for x in ("A", "га", "R", "соток", "N", "м²")])
+    item = F.struct(F.get(F.array(F.lit("04"), F.lit("06")), (flag != "N").cast("int")).alias("code"), F.lit(None).cast("string").alias("props"), F.when(flag != "N", F.col("l_quantity").cast("double")).alias("land_area"), F.when(flag == "N", F.col("l_quantity").cast("double")).alias("building_area"), units[flag].alias("unit"))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))  # the lines of one order, a handful
+    o = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    title = F.struct(F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).alias("en_US"))
+    data = F.struct(text(F.col("o_orderdate")).alias("dateModified"), F.when(F.col("o_orderstatus") == "O", "active.tendering").otherwise("complete").alias("status"), title.alias("title"), F.concat(F.lit("lot "), "o_orderkey").alias("id"), F.struct(F.col("o_totalprice").alias("amount")).alias("value"), "items")
+    lots = o.select(text(F.col("o_orderkey")).alias("auction_id"), data.alias("auction_data"))
+    return unified.from_ads(ads, "ads", USD).unionByName(unified.from_lots(lots, "lots", USD, "https://x/"), allowMissingColumns=True)
+
+
+@query(f"with {_BOTH} select source, source_id, status, page_url, title, property_type, region, price_uah, price_usd, price_per_m2_uah, price_per_m2_usd, price_per_ha_uah, price_per_ha_usd, building_area_sqm, land_area_sqm, coalesce(floor, '') as floor, if(price_uah > 0, {USD}, null)::double as currency_rate from v")
+def p12_two_sources(spark, d):
+    """All fields of the common schema that the sources tell, from whole tables."""
+    return _listings(spark, d).drop("source_updated_at", "identifier", "description", "oblast_raion", "city", "city_district", "addresses", "cadastral_numbers", "tags")
+
+
+@query(f"with {_BOTH} select source, source_id, page_url as listing_url, property_type, source_date, coalesce(region, '') as region, coalesce(street, '') as street, floor, land_area_sqm, building_area_sqm, price_per_m2_uah, price_per_m2_usd, price_per_ha_uah, price_per_ha_usd, price_uah, price_usd, '' as oblast_raion, '' as city, '' as city_district, '' as settlement, '' as settlement_type, '' as street_type, '' as building from v")
+def p13_whole_extract(spark, d):
+    """The flat extract, with all its fields, of both sources' listings."""
+    return unified.flat_extract(_listings(spark, d))
