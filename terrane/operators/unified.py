@@ -7,6 +7,7 @@ with the same schema.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,19 @@ CURRENCIES = ["UAH", "USD", "EUR"]
 LANGUAGES = ["uk_UA", "en_US", "ru_RU"]
 PLACES = {"region": "region", "oblast_raion": "district", "city": "settlement", "city_district": "city_district"}  # of a listing, of an address
 
+REGION_WORD = "область"
+
+# Where documents of each kind tell regions and cities; the first are resolved, the others stand in for them.
+AD_PLACES = {
+    "region": ["detail.address_refs.region.name", "search_data.location", "detail.resolved_locations.results.address_structured.region"],
+    "city": ["detail.address_refs.city.name", "search_data.location", "detail.resolved_locations.results.address_structured.city", "detail.resolved_locations.results.address_structured.settlement"],
+}
+LOT_PLACES = {
+    "region": ["auction_data.address_refs.region.name", "llm_result.result.addresses.region", "auction_data.items.address.region.uk_UA"],
+    "city": ["auction_data.address_refs.city.name", "llm_result.result.addresses.settlement", "auction_data.items.address.locality.uk_UA"],
+}
+LISTING_PLACES = {"region": ["addresses.region"], "city": ["addresses.settlement"]}
+
 
 def _type_at(schema: DataType | None, names: list[str]) -> DataType | None:
     for n in names:
@@ -48,6 +62,41 @@ def root_place(addresses: Column, name: str) -> Column:
     return F.coalesce(exact, F.array_min(votes)["place"])
 
 
+def values_along(df: DataFrame, path: str) -> Column | None:
+    """All texts at a dotted path through structs and arrays at any depth, as an array; None where the schema has no such path."""
+
+    def has(t: DataType, names: list[str]) -> bool:
+        if isinstance(t, ArrayType):
+            return has(t.elementType, names)
+        return (names[0] in t.names and has(t[names[0]].dataType, names[1:])) if names and isinstance(t, StructType) else not names and not isinstance(t, StructType)
+
+    def below(c: Column, t: DataType, names: list[str]) -> Column:
+        if isinstance(t, ArrayType):
+            return F.flatten(F.coalesce(F.transform(c, lambda x: below(x, t.elementType, names)), F.array().cast("array<array<string>>")))
+        return below(c[names[0]], t[names[0]].dataType, names[1:]) if names else F.array(c.cast("string"))
+
+    first, *rest = path.split(".")
+    return below(F.col(first), df.schema[first].dataType, rest) if has(df.schema, [first, *rest]) else None
+
+
+def in_places(df: DataFrame, told: dict[str, list[str]], cities: list[str], regions: list[str]) -> Column:
+    """Whether a document tells any of the cities or regions at any of its kind's paths, in any case and also inside a longer text.
+
+    A region is meant with and without its word. Blank names are none; without names every document passes. Paths that the
+    schema lacks tell nothing.
+    """
+    wanted = {"city": [c.strip() for c in cities], "region": [re.sub(rf"\s+{REGION_WORD}$", "", r.strip()) for r in regions]}
+    names = {k: "|".join(re.escape(n) for n in v if n) for k, v in wanted.items()}
+    if not any(names.values()):
+        return F.lit(True)
+    out = F.lit(False)
+    for kind, pattern in names.items():
+        for values in (values_along(df, path) for path in told[kind] if pattern):
+            if values is not None:
+                out = out | C.elem_match(values, lambda v: v.rlike("(?iu)" + pattern))  # noqa: B023 (called at once)
+    return out
+
+
 def _element(df: DataFrame, name: str) -> StructType:
     """The schema of an array's elements; without the array, one that has no fields."""
     found = _type_at(df.schema, [name])

@@ -139,3 +139,23 @@ def p12_two_sources(spark, d):
 def p13_whole_extract(spark, d):
     """The flat extract, with all its fields, of both sources' listings."""
     return unified.flat_extract(_listings(spark, d))
+
+
+@query("""with o as (select l_orderkey, bool_or(n_name in ('NATION_3', 'NATION_7')) as told from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1)
+select 'ads' as source, 'u' || c_custkey as id from customer join nation on c_nationkey = n_nationkey where n_name in ('NATION_3', 'NATION_7')
+union all select 'lots', o_orderkey::varchar from orders left join o on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where told or (o_orderkey % 3 = 0 and n_name in ('NATION_3', 'NATION_7'))""")
+def g7_places_by_kind_of_document(spark, d):
+    """Each kind of document asked for places where it tells them: ads by references or the card's text, lots by references or any item's address."""
+    n, text, c, o = table(spark, d, "nation"), lambda x: x.cast("string"), F.col("c_custkey"), F.col("o_orderkey")
+    name = F.concat(F.lit("Край "), F.lower("n_name"), F.lit(" область"))
+    customers = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    refs = lambda when: F.array(F.struct(F.struct(F.when(when, name).alias("name")).alias("region")))
+    ads = customers.select(F.concat(F.lit("u"), c).alias("id"), F.struct(refs(c % 2 == 0).alias("address_refs")).alias("detail"), F.struct(F.when(c % 2 == 1, name).alias("location")).alias("search_data"))
+    item = F.struct(F.struct(F.struct(name.alias("uk_UA")).alias("region")).alias("address"))
+    items = table(spark, d, "lineitem").join(table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    orders = table(spark, d, "orders").join(customers, F.col("o_custkey") == c).join(items, o == F.col("l_orderkey"), "left")
+    lots = orders.select(text(o).alias("id"), F.struct(refs(o % 3 == 0).alias("address_refs"), "items").alias("auction_data"))
+    wanted = ["nation_3 область", "NATION_7"]
+    parts = [("ads", ads, unified.AD_PLACES), ("lots", lots, unified.LOT_PLACES)]
+    found = [df.where(unified.in_places(df, told, [], wanted)).select(F.lit(source).alias("source"), "id") for source, df, told in parts]
+    return found[0].unionByName(found[1])

@@ -92,3 +92,26 @@ def test_plain_streets_and_empty_tables(spark):
     df = spark.createDataFrame([("u", [("А", "вул. Тиха", True)])], "url string, addresses array<struct<region:string,street:string,is_complete:boolean>>")
     assert U.flat_extract(U.from_ads(df, "ads", RATE, AT)).select("region", "street_type", "street").first()[:] == ("А", "", "вул. Тиха")
     assert U.flat_extract(U.from_lots(spark.createDataFrame([], LOT), "lots", RATE)).collect() == []
+
+
+def test_places_of_documents(spark):
+    ref = "struct<region:struct<name:string>,city:struct<name:string>>"
+    schema = f"url string, search_data struct<location:string>, detail struct<address_refs:array<{ref}>,resolved_locations:array<struct<results:array<struct<address_structured:struct<region:string,settlement:string>>>>>>"
+    rows = [
+        ("ref", None, ([None, (("Львівська область",), ("Стрий",))], None)),
+        ("text", ("стрий, Львівська",), None),
+        ("deep", (None,), (None, [None, ([None, (None,), (("Львівська", "Стрий"),)],)])),
+        ("other", ("Київ",), ([((None,), None)], [])),
+        ("none", None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    found = lambda cities, regions: {r.url for r in df.where(U.in_places(df, U.AD_PLACES, cities, regions)).collect()}
+    assert found([], ["Львівська область"]) == found([], [" львівська "]) == found(["Стрий"], []) == {"ref", "text", "deep"}
+    assert found(["Київ"], ["Львівська"]) == {"ref", "text", "deep", "other"}
+    assert found([], []) == found([" "], []) == {"ref", "text", "deep", "other", "none"}
+    assert found(["К.їв"], []) == found(["Одеса"], ["Одеська"]) == set()
+
+
+def test_places_where_no_path_is_present(spark):
+    df = spark.createDataFrame([("a",)], "auction_id string")
+    assert df.where(U.in_places(df, U.LOT_PLACES, ["Київ"], [])).count() == 0 and df.where(U.in_places(df, U.LOT_PLACES, [], [])).count() == 1
