@@ -3,11 +3,14 @@
 Unit vectors are cut into pairs of dimensions, each with 16 codewords: four bits a pair. Codes and codewords minimise
 ``|r|^2 + (eta - 1) * <r, x/|x|>^2`` for the residual r, which weighs the error parallel to the vector eta times: that
 is the part which disturbs large inner products. A query builds a table of its inner products with all codewords, two
-codes are looked up at once as a byte, and the sums rank a block. Of the best of all blocks the SHORTLIST with the
-largest sums meet the original vectors and are scored exactly.
+codes are looked up at once as a byte, and the sums rank a block. The FIRST of them meet the original vectors. That also
+tells how far sums are from scores, for these rows and for the query itself; every other candidate of the block whose
+sum comes within MARGIN times the largest such error of the k-th best score meets them too, until none is left. So rows
+that codes hardly tell apart (tight clusters, copies, vectors around a common offset) are told apart by the originals.
 
 The codebook is fitted on a bounded sample, the SAMPLE rows whose ids have the smallest hashes; every row is indexed
-once, as its codes in a stored table, and only codes are dealt to the blocks of queries.
+once, as its codes in a stored table. Rows are dealt to the blocks of queries with their codes, and a block puts forward
+its k best.
 
 Edge cases: see ``vectors.usable``; zero vectors take no part; fewer than k candidates are all returned; ties go to the
 smaller vec_id; an empty table gives no rows.
@@ -21,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import stored
 from .vectors import best, grid, matrix, usable
@@ -29,7 +31,9 @@ from .vectors import best, grid, matrix, usable
 SAMPLE = 8_192
 WORDS = 16
 THRESHOLD = 0.2  # scores from here on are to be kept accurate
-SHORTLIST, OF_BLOCK = 256, 192  # candidates of a query that are scored exactly, and that a block may put forward
+FIRST = 192  # candidates of a block that are scored exactly before errors are known
+MARGIN = 1.5  # errors that the others may be off by: recall of 0.97 and more on tight clusters, where 1 gave 0.91
+AT_ONCE = 4_096  # vectors scored at once
 
 
 def eta(dims: int, threshold: float = THRESHOLD) -> float:
@@ -93,21 +97,50 @@ def packed(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
     return codes[:, ::2] << 4 | codes[:, 1::2]
 
 
-def scan(codes: np.ndarray, query: np.ndarray, book: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and sums of a block's OF_BLOCK best candidates; codes are (bytes, n)."""
+def scan(codes: np.ndarray, query: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """The sum of every candidate of a block; codes are (bytes, n)."""
     table = np.einsum("mwd,md->mw", book, unit(query[None])[0])
     if len(table) % 2:
         table = np.pad(table, ((0, 1), (0, 0)))
     both = (table[::2, :, None] + table[1::2, None, :]).reshape(len(table) // 2, WORDS * WORDS).astype(np.float32)
-    n = codes.shape[1]
-    sums = np.zeros(n, np.float32)
+    sums = np.zeros(codes.shape[1], np.float32)
     for t, b in zip(both, codes, strict=True):
         sums += t[b]
+    return sums
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that their squares neither overflow nor vanish; cosines stay what they are."""
+    _, e = np.frexp(np.abs(rows).max(axis=1, keepdims=True, initial=0))
+    return np.ldexp(rows, -e)
+
+
+def cosines(rows: np.ndarray, norms: np.ndarray, query: np.ndarray) -> np.ndarray:
+    return (rows * query).sum(axis=1) / (norms * np.sqrt((query * query).sum()))
+
+
+def closest(codes: np.ndarray, rows: np.ndarray, norms: np.ndarray, query: np.ndarray, book: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and scores of a block's k best candidates other than own; ties to the smaller number."""
+    sums, n = scan(codes, query, book), len(rows)
+    error = 0.0
     if own >= 0:
+        error = abs(1.0 - float(sums[own]))
         sums[own] = -np.inf
-    short = np.argpartition(-sums, OF_BLOCK)[:OF_BLOCK] if n > OF_BLOCK else np.arange(n)
-    short = short[short != own]
-    return short, sums[short]
+    new = np.argpartition(-sums, FIRST)[:FIRST] if n > FIRST else np.arange(n)
+    new = new[new != own]
+    scores = np.full(n, -np.inf)
+    met = np.zeros(n, bool)
+    while len(new):
+        met[new] = True
+        for at in range(0, len(new), AT_ONCE):
+            part = new[at : at + AT_ONCE]
+            scores[part] = cosines(rows[part], norms[part], query)
+        error = max(error, float(np.abs(scores[new] - sums[new]).max()))
+        bound = np.partition(scores, n - k)[n - k] if n > k else -np.inf
+        new = np.flatnonzero((sums >= bound - MARGIN * error) & ~met & (sums > -np.inf))
+    got = np.flatnonzero(met)
+    got = got[np.lexsort((got, -scores[got]))[:k]]
+    return got, scores[got]
 
 
 def wide(rows: np.ndarray, width: int) -> np.ndarray:
@@ -121,41 +154,30 @@ def nearest(embeddings: DataFrame, is_query, k: int = 5) -> DataFrame:
     width = vectors.agg(F.max(F.size("v"))).first()[0] or 2
     width += width % 2
     sample = matrix(vectors.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toArrow()["v"])
-    book = fit(unit(wide(sample, width))) if len(sample) else np.zeros((width // 2, WORDS, 2))
+    book = fit(unit(scaled(wide(sample, width)))) if len(sample) else np.zeros((width // 2, WORDS, 2))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = packed(wide(matrix(b.column(1)), width), book)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "code"])
+                codes = packed(scaled(wide(matrix(b.column(1)), width)), book)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "code"])
 
     def search(groups: pa.Table) -> pa.Table:
         asks, ids = groups["asks"].to_numpy(), groups["vec_id"].to_numpy()
         q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
         c = c[np.argsort(ids[c], kind="stable")]
-        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        out: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(q) and len(c):
             codes = np.ascontiguousarray(np.frombuffer(b"".join(groups["code"].take(pa.array(c)).to_pylist()), np.uint8).reshape(len(c), -1).T)
-            queries = wide(matrix(groups["v"].take(pa.array(q))), width)
+            queries, rows = (scaled(wide(matrix(groups["v"].take(pa.array(x))), width)) for x in (q, c))
+            norms = np.sqrt((rows * rows).sum(axis=1))
             own = np.minimum(np.searchsorted(ids[c], ids[q]), len(c) - 1)
             for i, (at, v) in enumerate(zip(own.tolist(), queries, strict=True)):
-                short, sums = scan(codes, v, book, at if ids[c[at]] == ids[q[i]] else -1)
-                out.append((np.full(len(short), ids[q[i]]), ids[c[short]], sums))
+                got, score = closest(codes, rows, norms, v, book, at if ids[c[at]] == ids[q[i]] else -1, k)
+                out.append((np.full(len(got), ids[q[i]]), ids[c[got]], score))
         a, b, s = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "sum": pa.array(s)})
+        return pa.table({"query_id": pa.array(a), "vec_id": pa.array(b), "score": pa.array(s)})
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                x, y = (wide(matrix(part.column(i)), width) for i in (2, 3))
-                norm = lambda a: np.sqrt((a * a).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array((x * y).sum(axis=1) / (norm(x) * norm(y)))], ["query_id", "vec_id", "score"])
-
-    codes = stored(vectors.mapInArrow(index, "vec_id long, code binary"), "codes")
-    found = grid(vectors.where(is_query), codes).applyInArrow(search, "query_id long, vec_id long, sum float")
-    order = Window.partitionBy("query_id").orderBy(F.desc("sum"), "vec_id")
-    short = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SHORTLIST).select("query_id", "vec_id")
-    asked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    met = short.join(vectors, "vec_id").join(asked, "query_id").select("query_id", "vec_id", "q", "v")
-    return best(met.mapInArrow(exact, "query_id long, vec_id long, score double"), k)
+    codes = stored(vectors.mapInArrow(index, "vec_id long, v array<double>, code binary"), "codes")
+    found = grid(codes.where(is_query), codes).applyInArrow(search, "query_id long, vec_id long, score double")
+    return best(found, k)

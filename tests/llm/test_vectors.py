@@ -60,6 +60,31 @@ def test_approximate_search_finds_neighbours(spark):
     assert all(abs(dict(want[q])[j] - s) < 1e-9 for q in want for j, s in got[q] if j in dict(want[q]))
 
 
+@pytest.mark.parametrize("kind", ["tight", "offset", "copies", "huge"])
+def test_approximate_search_where_codes_tell_little(spark, kind):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, (3000, 16))
+    if kind == "tight":
+        x = np.repeat(x[:4], 750, axis=0) + rng.normal(0, 0.01, (3000, 16))
+    elif kind == "offset":
+        x = 3 + 0.05 * x
+    elif kind == "copies":
+        x[:1500] = x[0]
+    else:
+        x *= 1e30
+    x = x.astype(np.float32)[rng.permutation(3000)]
+    got = {}
+    for r in ann_search.nearest(frame(spark, enumerate(x)), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    recall = []
+    for i in range(0, 3000, 50):
+        s = (u * u[i]).sum(axis=1)
+        s[i] = -2
+        recall.append(len(got[i] & set(np.argsort(-np.round(s, 12), kind="stable")[:5].tolist())) / 5)
+    assert np.mean(recall) >= 0.95
+
+
 def test_anisotropic_loss_weighs_the_parallel_error():
     rng = np.random.default_rng(3)
     x = ann_search.unit(rng.normal(0, 1, (800, 16)))
