@@ -1,5 +1,7 @@
 """Price statistics: quartiles, fences, indicators, roll-ups, anomalies.
 
+Groups of up to IN_LIST values are sorted lists, which takes one shuffle of the rows. Larger groups go by slices:
+
 Quartiles are exact and need no buffer that grows with a group. Values are counted per group; slices of the value range,
 narrow enough to be small, are summed and ranked; the slices that hold a wanted rank, six to a group at most, are opened
 and their values ranked in turn. So a hot group is spread over its slices, whatever it holds.
@@ -11,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.sources.storage import stored
+
 SLICES = 4096  # for each factor e of a value
 PARTS = (0.25, 0.5, 0.75)
+IN_LIST = 120_000  # values of a group that are sorted in one piece, all its metrics together
 
 
 def value_counts(df: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -45,9 +50,34 @@ def quartiles_of(counts: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*[F.col("g")[c].alias(c) for c in by], F.col("total").alias("n"), *quartile, "q4")
 
 
+def small_and_large(rows: DataFrame, by: list[str], values: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows of groups that hold at most IN_LIST values, `values` to a row, and those of the others (None without any).
+
+    Groups are told apart by a hash: where two share one, both may count as large, which changes no result.
+    """
+    key = F.xxhash64(*by, F.lit(0))
+    large = stored(rows.select(key.alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > IN_LIST // values).select("hash"), "large")
+    if large.isEmpty():
+        return rows, None
+    split = lambda how: rows.join(F.broadcast(large), key == F.col("hash"), how)
+    return split("left_anti"), split("left_semi")
+
+
+def _of_list(sorted_: Column) -> list[Column]:
+    """q1 .. q4 of a sorted list."""
+    n = F.size(sorted_)
+    at = [F.lit(p) * (n - 1) for p in PARTS]
+    item = lambda k: F.get(sorted_, k.cast("int"))
+    return [*[(item(F.floor(x)) + (item(F.ceil(x)) - item(F.floor(x))) * (x - F.floor(x))).alias(f"q{k}") for k, x in enumerate(at, 1)], item(n - 1).alias("q4")]
+
+
 def quartiles(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     """by, n, q1 .. q4 of the positive values of each group; groups without any are left out."""
-    return quartiles_of(value_counts(df, by, value), by)
+    rows = df.select(*by, value.cast("double").alias("v")).where("v > 0")
+    small, large = small_and_large(rows, by, 1)
+    lists = small.groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("list")).where(F.size("list") > 0)
+    out = lists.select(*by, F.size("list").cast("long").alias("n"), *_of_list(F.col("list")))
+    return out if large is None else out.unionByName(quartiles_of(value_counts(large, by, F.col("v")), by))
 
 
 def fences_of(counts: DataFrame, by: list[str], width: Column | float, floor: float = 0.0, least: int = 1) -> DataFrame:
@@ -73,20 +103,40 @@ def indicators(df: DataFrame, value: str, kind: str, region: str, place: str, le
     return places.unionByName(regions, allowMissingColumns=True).withColumnRenamed("n", "count")
 
 
+def _with(x: Column, v: Column) -> Column:
+    """Number, mean and squared deviations of what came so far and one value more."""
+    n = x["n"] + 1
+    mean = x["mean"] + (v - x["mean"]) / n
+    return F.struct(n.alias("n"), mean.alias("mean"), (x["apart"] + (v - x["mean"]) * (v - mean)).alias("apart"))
+
+
 def period_rollup(df: DataFrame, periods: dict[str, Column], dims: list[str], values: list[str]) -> DataFrame:
     """metric, period_type, period_key, dims, avg, population std, count and quartiles of the positive values.
 
-    Rows are first counted by the periods' keys, dims and value; each kind of period is a roll-up of that. The mean and
-    the deviation are merged from sums of the counted values around the group's mean.
+    Rows go once to each of their periods' groups, with all their values. A group that is not large is a list there; of
+    large ones the values are counted and cut into slices.
     """
-    metric = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("v")) for v in values])).alias("x")
-    keyed = df.select(*[c.alias(f"key {p}") for p, c in periods.items()], *dims, metric).select("*", "x.*").where("v > 0")
-    keys = [f"key {p}" for p in periods]
-    counts = keyed.groupBy("metric", *keys, *dims, "v").agg(F.count("*").alias("n"))
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period_type"), F.col(f"key {p}").alias("period_key")) for p in periods])).alias("p")
-    by = ["metric", "period_type", "period_key", *dims]
-    rolled = counts.select("metric", *dims, "v", "n", each).select("metric", "p.*", *dims, "v", "n").groupBy(*by, "v").agg(F.sum("n").alias("n"))
-    return with_moments(rolled, by, quartiles_of(rolled, by)).withColumnRenamed("n", "count").select(*by, "avg", "std", "count", "q1", "q2", "q3", "q4")
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period_type"), c.alias("period_key")) for p, c in periods.items()])).alias("p")
+    numbers = [F.col(v).cast("double") for v in values]
+    kept = [F.when(x > 0, x).alias(f"v{k}") for k, x in enumerate(numbers)]
+    found = [f"v{k}" for k in range(len(values))]
+    rows = df.select(*dims, *kept, each).where(F.coalesce(*found).isNotNull()).select("p.*", *dims, *found)
+    by = ["period_type", "period_key", *dims]
+    named = lambda made: F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), made(f"v{k}")) for k, v in enumerate(values)])).alias("m")
+    small, large = small_and_large(rows, by, len(values))
+    lists = small.groupBy(*by).agg(F.collect_list(F.struct(*found)).alias("rows"))
+    sorted_ = lambda name: F.sort_array(F.filter(F.transform("rows", lambda r: r[name]), lambda v: v.isNotNull())).alias("list")
+    lists = lists.select(*by, named(sorted_)).select(*by, "m.*").where(F.size("list") > 0)
+    sum_ = F.aggregate("list", F.lit(0.0), lambda so_far, v: so_far + v)
+    std = F.aggregate("list", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("apart")), _with, lambda x: F.sqrt(x["apart"] / x["n"]))
+    lists = lists.withColumns({"avg": sum_ / F.size("list"), "std": std})
+    names = ["metric", *by, "avg", "std", "count", "q1", "q2", "q3", "q4"]
+    out = lists.select("metric", *by, "avg", "std", F.size("list").cast("long").alias("count"), *_of_list(F.col("list"))).select(*names)
+    if large is None:
+        return out
+    counts = value_counts(large.select(*by, named(lambda name: F.col(name).alias("value"))).select(*by, "m.*"), ["metric", *by], F.col("value"))
+    sliced = with_moments(counts, ["metric", *by], quartiles_of(counts, ["metric", *by])).withColumnRenamed("n", "count")
+    return out.unionByName(sliced.select(*names))
 
 
 def with_moments(counts: DataFrame, by: list[str], groups: DataFrame) -> DataFrame:

@@ -216,3 +216,18 @@ def test_repeats_and_missing_dates(spark):
     df = spark.createDataFrame([(1, "a", "2024-01-01"), (2, "a", "2024-01-02"), (3, "a", "2024-01-02"), (4, "a", None), (5, "b", None), (6, "c", "2024-01-01")], "id int, h string, t string")
     got = rows(entities.earlier_repeats(df, F.col("h"), "id", "t"), "id")
     assert got == [(1, True, 1), (2, True, 2), (3, True, 2), (4, True, 3), (5, False, 0), (6, False, 0)]
+
+
+def test_rollup_is_one_shuffle_of_rows_and_large_groups_go_by_slices(spark, monkeypatch):
+    df = spark.createDataFrame([(1 + i % 3 // 2, float(i % 40), 2.0 * i if i % 5 else None) for i in range(300)], "kind int, a double, b double")
+    rollup = lambda: stats.period_rollup(df, {"all": F.lit("x")}, ["kind"], ["a", "b"])
+    short = lambda out: sorted((r.metric, r.kind, r["count"], *[round(r[c], 6) for c in ("avg", "std", "q1", "q2", "q3", "q4")]) for r in out.collect())
+    one = rollup()
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # rows went through eight before
+    monkeypatch.setattr(stats, "IN_LIST", 250)
+    assert short(rollup()) == short(one)
+    quartiles = lambda: sorted(tuple(round(x, 6) for x in r) for r in stats.quartiles(df, ["kind"], F.col("a")).collect())
+    sliced = quartiles()
+    monkeypatch.setattr(stats, "IN_LIST", 10**6)
+    assert quartiles() == sliced
