@@ -231,3 +231,9 @@ def test_rollup_is_one_shuffle_of_rows_and_large_groups_go_by_slices(spark, monk
     sliced = quartiles()
     monkeypatch.setattr(stats, "IN_LIST", 10**6)
     assert quartiles() == sliced
+
+
+def test_quartiles_of_small_groups_take_one_shuffle(spark):
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(100)], "kind int, a double")
+    plan = stats.quartiles(df, ["kind"], F.col("a"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
