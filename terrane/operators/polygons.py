@@ -5,10 +5,10 @@ Two polygons are near if they touch, cross, contain one another or come within `
 another is as far from it as the hole's edge.
 
 The plane is cut into cells that follow the data: a cell with more than PER_CELL polygons is cut into sixteen, until it
-has fewer or is as fine as half the buffer, so a dense town costs cells and not the square of its size. Polygons meet in
-the cells that their boxes cover with half the buffer around them, and a pair counts in the cell that holds the lower
-corner of what the boxes share, so it comes once. Cells that stay crowded at the finest size are dealt in blocks, so that
-a task compares PER_CELL polygons with PER_CELL others at most.
+has fewer, is as fine as half the buffer, or holds polygons so wide that they would come to COPIES of the pieces each, so
+a dense town costs cells and not the square of its size. Polygons meet in the cells that their boxes cover with half the
+buffer around them, and a pair counts in the cell that holds the lower corner of what the boxes share, so it comes once.
+Cells that stay crowded are dealt in blocks, so that a task compares PER_CELL polygons with PER_CELL others at once.
 
 Rows without rings, with a ring of under three points, or with a coordinate that is missing or not finite, are near
 nothing. An empty table gives no rows.
@@ -16,7 +16,7 @@ nothing. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from terrane.operators.components import components
 from terrane.sources.storage import stored
 
-PER_CELL = 256
+PER_CELL = 4096
+COPIES = 4
 AT_ONCE = 1 << 18  # pairs of edges compared in one step
+PAIRS, LINKED = 1 << 15, 1 << 11  # pairs of polygons compared in one step, where all count and where those linked by then are left out
 LEFT, RIGHT, BOTH = 0, 1, 2
 
 
@@ -63,12 +65,6 @@ class Shapes:
             np.logical_xor.at(inside, rows[cross], True)
         return inside
 
-    def to_point(self, x: float, y: float) -> np.ndarray:
-        """The distance of each polygon to a point."""
-        d = _to_segment(np.full(len(self.edges), x), np.full(len(self.edges), y), *self.edges.T)
-        d = np.minimum.reduceat(d, self.first) if len(self.n) else d
-        return np.where(self.holds(np.arange(len(self.n)), np.full(len(self.n), x), np.full(len(self.n), y)), 0.0, np.sqrt(d))
-
 
 def _lengths(a) -> np.ndarray:
     return np.asarray(pc.list_value_length(a)).astype(np.int64)
@@ -137,20 +133,24 @@ def _cell_range(low: str, high: str, size: float) -> Column:
 def adaptive_cells(boxes: DataFrame, cell: float, finest: float, per_cell: int) -> DataFrame:
     """boxes (group string, x0, y0, x1, y1, more) for each cell that they cover, with size, cx, cy and n, the cell's boxes.
 
-    Cells of more than per_cell boxes are cut into sixteen until their size is finest or less.
+    Cells of more than per_cell boxes are cut into sixteen until their size is finest or less; those whose boxes would
+    come to COPIES pieces or more on average stay whole.
     """
     size, done = cell, []
+    piece = lambda c, low, high, size: F.sequence(F.greatest(F.floor(F.col(low) / F.lit(size)), F.col(c) * 4), F.least(F.floor(F.col(high) / F.lit(size)), F.col(c) * 4 + 3))
     rows = boxes.withColumn("cx", F.explode(_cell_range("x0", "x1", size))).withColumn("cy", F.explode(_cell_range("y0", "y1", size)))
     while True:
         key = ["group", "cx", "cy"]
-        rows = stored(rows.join(rows.groupBy(*key).agg(F.count("*").alias("n")), key), "cells").withColumn("size", F.lit(size))
-        crowded = (F.col("n") > per_cell) if size > finest else F.lit(False)
-        done.append(rows.where(~crowded))
-        if size <= finest or rows.where(crowded).isEmpty():
+        xs, ys = piece("cx", "x0", "x1", size / 4), piece("cy", "y0", "y1", size / 4)
+        counted = rows.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.size(xs) * F.size(ys)).alias("pieces"))
+        rows = stored(rows.join(counted, key), "cells").withColumn("size", F.lit(size))
+        cut = (F.col("n") > per_cell) & (F.col("pieces") < F.col("n") * COPIES) if size > finest else F.lit(False)
+        done.append(rows.where(~cut).drop("pieces"))
+        if size <= finest or rows.where(cut).isEmpty():
             break
         size = size / 4
-        inside = lambda c, low, high, size=size: F.sequence(F.greatest(F.floor(F.col(low) / F.lit(size)), F.col(c) * 4), F.least(F.floor(F.col(high) / F.lit(size)), F.col(c) * 4 + 3))
-        rows = rows.where(crowded).drop("n", "size").withColumn("cx", F.explode(inside("cx", "x0", "x1"))).withColumn("cy", F.explode(inside("cy", "y0", "y1")))
+        rows = rows.where(cut).drop("n", "size", "pieces").withColumns({"xs": piece("cx", "x0", "x1", size), "ys": piece("cy", "y0", "y1", size)})
+        rows = rows.withColumn("cx", F.explode("xs")).withColumn("cy", F.explode("ys")).drop("xs", "ys")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -165,34 +165,87 @@ def _placed(polygons: DataFrame, same: list[str], buffer: float, cell: float, pe
     return adaptive_cells(boxes, cell, buffer / 2 if buffer > 0 else cell / 4**8, per_cell)
 
 
-def _compared(rows: DataFrame, buffer: float, once: bool) -> DataFrame:
-    """a, b, distance of near pairs within each cell and block; rows: id, rings, size, cx, cy, role and the keys.
+def _meeting(box: np.ndarray, left: np.ndarray, right: np.ndarray, buffer: float, counts: Callable, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """i, j: numbers of left and right boxes that come within buffer and for which counts(i, those j) holds; about at_once at a time."""
+    right = right[np.argsort(box[right, 0], kind="stable")]
+    low, widest = box[right, 0], (box[right, 2] - box[right, 0]).max(initial=0.0)
+    starts = np.searchsorted(low, box[left, 0] - widest - buffer, "left")
+    stops = np.searchsorted(low, box[left, 2] + buffer, "right")
+    found, n = [], 0
+    for k, start, stop in zip(left.tolist(), starts.tolist(), stops.tolist(), strict=True):
+        j = right[start:stop]
+        x0, y0, x1, y1 = box[j].T
+        j = j[(x0 - buffer <= box[k, 2]) & (box[k, 0] - buffer <= x1) & (y0 - buffer <= box[k, 3]) & (box[k, 1] - buffer <= y1)]
+        j = j[counts(k, j)]
+        if len(j):
+            found.append((np.full(len(j), k), j))
+            n += len(j)
+        if n >= at_once:
+            yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+            found, n = [], 0
+    if found:
+        yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def _compared(rows: DataFrame, buffer: float) -> DataFrame:
+    """a, b (a < b), distance of near pairs within each cell and block; rows: id, rings, size, cx, cy, role and the keys.
 
-    once: only a < b, in the cell that holds the lower corner of what their widened boxes share.
+    A pair counts in the cell that holds the lower corner of what its widened boxes share.
     """
-    names = ["a", "b", "distance"]
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
         shapes, ident, role = Shapes(group["rings"]), group["id"].to_numpy(), group["role"].to_numpy()
-        left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
-        box, found = shapes.box, []
-        for k in left.tolist():
-            j = right[ident[right] > ident[k]] if once else right[ident[right] != ident[k]]
-            meets = (box[j, 0] - buffer <= box[k, 2]) & (box[k, 0] - buffer <= box[j, 2]) & (box[j, 1] - buffer <= box[k, 3]) & (box[k, 1] - buffer <= box[j, 3])
-            j = j[meets]
-            if once and len(j):
-                size, cx, cy = (group[c][0].as_py() for c in ("size", "cx", "cy"))
-                corner = lambda c, j=j, k=k: np.floor((np.maximum(box[j, c], box[k, c]) - buffer / 2) / size)
-                j = j[(corner(0) == cx) & (corner(1) == cy)]
-            found.append((np.full(len(j), k), j))
-        i, j = (np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in (0, 1))
-        d = distances(shapes, i, j, buffer)
-        near = d <= buffer
-        return pa.table([pa.array(ident[i[near]], pa.int64()), pa.array(ident[j[near]], pa.int64()), pa.array(d[near])], names)
+        size, cx, cy = (group[c][0].as_py() for c in ("size", "cx", "cy"))
+        box = shapes.box
+
+        def counts(k: int, j: np.ndarray) -> np.ndarray:
+            corner = lambda c: np.floor((np.maximum(box[j, c], box[k, c]) - buffer / 2) / size)
+            return (ident[j] > ident[k]) & (corner(0) == cx) & (corner(1) == cy)
+
+        for i, j in _meeting(box, np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT), buffer, counts, PAIRS):
+            d = distances(shapes, i, j, buffer)
+            near = d <= buffer
+            yield pa.RecordBatch.from_arrays([pa.array(ident[i[near]], pa.int64()), pa.array(ident[j[near]], pa.int64()), pa.array(d[near])], ["a", "b", "distance"])
 
     return rows.groupBy("group", "size", "cx", "cy", "block_left", "block_right").applyInArrow(run, "a long, b long, distance double")
 
 
+def _linked(rows: DataFrame, buffer: float) -> DataFrame:
+    """u, v: links that join what is near within each cell and block, one fewer than it joins; rows: id, rings, cluster, role, the keys.
+
+    Rows of one cluster count as linked, so polygons are compared only where they are not in one cluster by then.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = pa.Table.from_batches(batches)
+        shapes, ident, role = Shapes(group["rings"]), group["id"].to_numpy(), group["role"].to_numpy()
+        first, label = np.unique(group["cluster"].to_numpy(), return_index=True, return_inverse=True)[1:]
+        root = first[label]
+        counts = lambda k, j: (root[j] != root[k]) & ((role[j] == RIGHT) | (ident[j] > ident[k]))
+        for i, j in _meeting(shapes.box, np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT), buffer, counts, LINKED):
+            near = distances(shapes, i, j, buffer) <= buffer
+            links, up = [], {}
+            for a, b in zip(root[i[near]].tolist(), root[j[near]].tolist(), strict=True):
+                while a in up:
+                    a = up[a]
+                while b in up:
+                    b = up[b]
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    links.append((a, b))
+            for a in sorted(up):  # a root goes to a smaller one, which has its own by then
+                up[a] = up.get(up[a], up[a])
+            if up:
+                to = np.arange(len(root))
+                to[list(up)] = list(up.values())
+                root[:] = to[root]
+                u, v = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(ident[u], pa.int64()), pa.array(ident[v], pa.int64())], ["u", "v"])
+
+    return rows.groupBy("group", "size", "cx", "cy", "block_left", "block_right").applyInArrow(run, "u long, v long")
+
+
 def _dealt(rows: DataFrame, n_left: Column, per_cell: int, is_left: Column) -> DataFrame:
     """rows once for each block that they are compared in; those with is_left on the left, all on the right."""
     blocks = lambda n: F.greatest(F.ceil(n / F.lit(per_cell)), F.lit(1)).cast("int")
@@ -203,54 +256,40 @@ def _dealt(rows: DataFrame, n_left: Column, per_cell: int, is_left: Column) -> D
     single = F.array(F.when(is_left, pair(BOTH, F.lit(0), F.lit(0))).otherwise(pair(RIGHT, F.lit(0), F.lit(0))))
     lefts = F.when(is_left, F.transform(other(F.col("n")), lambda b: pair(LEFT, mine(n_left, 1), b))).otherwise(F.array().cast("array<struct<role:int,block_left:int,block_right:int>>"))
     rights = F.transform(other(n_left), lambda a: pair(RIGHT, a, mine(F.col("n"), 2)))
-    return rows.withColumn("at", F.explode(F.when(whole, single).otherwise(F.concat(lefts, rights)))).select("id", "group", "rings", "size", "cx", "cy", "at.*")
+    return rows.withColumn("at", F.explode(F.when(whole, single).otherwise(F.concat(lefts, rights)))).select(*rows.columns, "at.*")
 
 
 def near_polygons(polygons: DataFrame, same: list[str], buffer: float, cell: float, per_cell: int = PER_CELL) -> DataFrame:
     """a, b (a < b), distance: the pairs of polygons (id, rings and the columns in same) that are at most buffer apart."""
     placed = _placed(polygons, same, buffer, cell, per_cell)
-    return _compared(_dealt(placed, F.col("n"), per_cell, F.lit(True)), buffer, True)
+    return _compared(_dealt(placed, F.col("n"), per_cell, F.lit(True)), buffer)
 
 
 def polygon_clusters(polygons: DataFrame, same: list[str], buffer: float, cell: float, per_cell: int = PER_CELL) -> DataFrame:
     """(id, cluster) of polygons that reach others through near ones; cluster is the smallest id, single polygons are left out.
 
-    In a crowded cell of the finest size the polygons within half the buffer of its middle are near each other, whatever
-    they are, so one link each will do. All that touch such a cell are among them, so a pile of polygons gives links in
-    its number. The others of the cell come from beside it, and are compared with it only where they are not in the
-    cluster that most of it is in by then; two crowds that face each other just beyond the buffer do cost their product,
-    in blocks.
+    Every block gives a link for each polygon at most, whatever its pairs are. The polygons of a crowded cell are dealt to
+    blocks twice, each time otherwise, and compared within them, so that piles come together through the blocks that they
+    share. Then those outside the cluster that most of their cell is in are compared with the others of the cell; two
+    crowds that face each other just beyond the buffer do cost their product, in blocks.
     """
-    placed = stored(_placed(polygons, same, buffer, cell, per_cell), "placed")
+    placed = _placed(polygons, same, buffer, cell, per_cell).select("id", "group", "rings", "n", "size", "cx", "cy")
+    blocks = F.ceil(F.col("n") / F.lit(per_cell)).cast("int")
+    dealt = F.array(*[F.struct(F.lit(k).alias("block_left"), F.pmod(F.xxhash64(F.lit(k), "id"), blocks).cast("int").alias("block_right")) for k in (0, 1)])
+    whole = F.array(F.struct(F.lit(0).alias("block_left"), F.lit(0).alias("block_right")))
+    parts = placed.withColumns({"cluster": F.col("id"), "role": F.lit(BOTH), "at": F.explode(F.when(blocks > 1, dealt).otherwise(whole))})
+    links = _linked(parts.select("id", "group", "rings", "size", "cx", "cy", "cluster", "role", "at.*"), buffer)
     crowded = placed.where(F.col("n") > per_cell)
-
-    def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t, core = pa.Table.from_batches([b]), np.zeros(b.num_rows, bool)
-            size, cx, cy = (t[c].to_numpy() for c in ("size", "cx", "cy"))
-            place = np.stack([size, cx, cy], axis=1)
-            for cell_ in np.unique(place, axis=0) if b.num_rows else []:
-                rows = np.flatnonzero((place == cell_).all(axis=1))
-                s, x, y = cell_
-                core[rows] = Shapes(t["rings"].take(pa.array(rows))).to_point((x + 0.5) * s, (y + 0.5) * s) <= buffer / 2
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(core)], [*b.schema.names, "core"])
-
-    key = ["group", "size", "cx", "cy"]
-    plain = _dealt(placed.where(F.col("n") <= per_cell), F.col("n"), per_cell, F.lit(True))
-    links = _compared(plain, buffer, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
     if crowded.isEmpty():
         return _clusters(links)
-    cored = stored(crowded.select("id", "rings", "n", *key).mapInArrow(middles, "id long, rings array<array<array<double>>>, n long, group string, size double, cx long, cy long, core boolean"), "cores")
-    core = cored.where("core")
-    stars = core.join(core.groupBy(*key).agg(F.min("id").alias("hub")), key).where("id != hub").select(F.col("hub").alias("u"), F.col("id").alias("v"))
-    first = stored(_clusters(links.unionByName(stars)), "clusters")
-
-    known = cored.drop("core").join(first, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    first = stored(_clusters(links), "clusters")
+    key = ["group", "size", "cx", "cy"]
+    known = crowded.join(first, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
     sizes = known.groupBy(*key, "cluster").agg(F.count("*").alias("of"))
     main = sizes.groupBy(*key).agg(F.max_by("cluster", "of").alias("main"), (F.sum("of") - F.max("of")).alias("n_left"))
     rest = known.join(main.where("n_left > 0"), key)
-    more = _compared(_dealt(rest, F.col("n_left"), per_cell, F.col("cluster") != F.col("main")), buffer, False)
-    return _clusters(first.select(F.col("cluster").alias("u"), F.col("id").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    more = _linked(_dealt(rest, F.col("n_left"), per_cell, F.col("cluster") != F.col("main")), buffer)
+    return _clusters(first.select(F.col("cluster").alias("u"), F.col("id").alias("v")).unionByName(more))
 
 
 def _clusters(links: DataFrame) -> DataFrame:

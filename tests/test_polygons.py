@@ -122,3 +122,19 @@ def test_empty_table(spark):
     none = spark.createDataFrame([], SHAPE)
     assert polygons.near_polygons(none, ["kind"], 1.0, 8.0).count() == 0
     assert polygons.polygon_clusters(none, ["kind"], 1.0, 8.0).count() == 0
+
+
+def test_crowd_of_wide_polygons(spark):
+    """6,000 squares of width 4 over a square of 20: cells are not cut where all pieces hold the same squares, links are fewer than squares and blocks."""
+    from pyspark.sql import functions as F
+
+    n, per_cell = 6_000, 500
+    x, y = F.col("id") * 7919 % 10007 * 0.002, F.col("id") * 6007 % 10009 * 0.002
+    p = lambda a, b: F.array(a, b)
+    boxes = spark.range(n).select("id", F.array(F.array(p(x, y), p(x + 4, y), p(x + 4, y + 4), p(x, y + 4))).alias("rings"))
+    placed = polygons._placed(boxes, [], 0.25, 16.0, per_cell)
+    assert placed.count() < 10 * n
+    rows = placed.withColumns({"cluster": F.col("id"), "role": F.lit(polygons.BOTH), "block_left": F.lit(0), "block_right": F.lit(0)})
+    assert polygons._linked(rows, 0.25).count() < placed.count()
+    got = polygons.polygon_clusters(boxes, [], 0.25, 16.0, per_cell)
+    assert got.where("cluster = 0").count() == n
