@@ -149,9 +149,9 @@ def test_pairs_of_a_crowd_in_large_cells(spark):
     x, y = F.col("id") * 7919 % 10007 * 0.002, F.col("id") * 6007 % 10009 * 0.002
     p = lambda a, b: F.array(a, b)
     boxes = spark.range(n).select("id", F.array(F.array(p(x, y), p(x + 4, y), p(x + 4, y + 4), p(x, y + 4))).alias("rings"))
-    assert polygons._placed(boxes, [], 0.25, 16.0, per_cell).count() < 10 * n
+    assert polygons._placed(boxes, [], 0.2511, 16.0, per_cell).count() < 10 * n
     k = np.arange(n)
     gap = lambda c: np.maximum(np.abs(c[:, None] - c[None, :]) - 4, 0)
-    near = np.hypot(gap(k * 7919 % 10007 * 0.002), gap(k * 6007 % 10009 * 0.002)) <= 0.25
-    got = polygons.near_polygons(boxes, [], 0.25, 16.0, per_cell)
+    near = np.hypot(gap(k * 7919 % 10007 * 0.002), gap(k * 6007 % 10009 * 0.002)) <= 0.2511
+    got = polygons.near_polygons(boxes, [], 0.2511, 16.0, per_cell)
     assert got.count() == got.distinct().count() == int(np.triu(near, 1).sum())
