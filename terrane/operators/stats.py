@@ -2,9 +2,9 @@
 
 Groups of up to IN_LIST values are sorted lists, which takes one shuffle of the rows. Larger groups go by slices:
 
-Quartiles are exact and need no buffer that grows with a group. Values are counted per group; slices of the value range,
-narrow enough to be small, are summed and ranked; the slices that hold a wanted rank, six to a group at most, are opened
-and their values ranked in turn. So a hot group is spread over its slices, whatever it holds.
+Quartiles are exact and need no buffer that grows with a group. Slices of the value range, narrow enough to be small, are
+summed and ranked; the slices that hold a wanted rank, six to a group at most, are opened and their values counted and
+ranked in turn. So a hot group is spread over its slices, whatever it holds.
 """
 
 from __future__ import annotations
@@ -20,9 +20,14 @@ PARTS = (0.25, 0.5, 0.75)
 IN_LIST = 120_000  # values of a group that are sorted in one piece, all its metrics together
 
 
+def positive(df: DataFrame, by: list[str], value: Column) -> DataFrame:
+    """by, v, n: the positive values of each group, one row for each that came (n is 1), so that nothing is shuffled by values."""
+    return df.withColumn("v", value.cast("double")).where("v > 0").select(*by, "v", F.lit(1).cast("long").alias("n"))
+
+
 def value_counts(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     """by, v, n: the positive values of each group, counted."""
-    return df.withColumn("v", value.cast("double")).where("v > 0").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    return positive(df, by, value).groupBy(*by, "v").agg(F.sum("n").alias("n"))
 
 
 def _group(by: list[str]) -> Column:
@@ -31,7 +36,10 @@ def _group(by: list[str]) -> Column:
 
 
 def quartiles_of(counts: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, q1, q2, q3 by linear interpolation and q4, the maximum, of counted values (by, v, n); null keys are groups."""
+    """by, n, q1, q2, q3 by linear interpolation and q4, the maximum, of counted values (by, v, n); null keys are groups.
+
+    A value may come in several rows. Rows are summed into slices where they lie; only those of opened slices are moved.
+    """
     sliced = counts.select(_group(by), F.floor(F.log("v") * SLICES).alias("s"), "v", "n")
     slices = sliced.groupBy("g", "s").agg(F.sum("n").alias("held"), F.max("v").alias("top"))
     whole = Window.partitionBy("g")
@@ -40,8 +48,8 @@ def quartiles_of(counts: DataFrame, by: list[str]) -> DataFrame:
     at = [F.lit(p) * (F.col("total") - 1) for p in PARTS]
     ranks = F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)])
     wanted = F.transform(ranks, lambda r, i: F.struct(i.alias("i"), r.alias("r")))
-    opened = placed.withColumn("wanted", F.filter(wanted, lambda x: (x["r"] >= F.col("before")) & (x["r"] < F.col("before") + F.col("held")))).where(F.size("wanted") > 0)
-    met = sliced.join(opened, ["g", "s"])
+    opened = stored(placed.withColumn("wanted", F.filter(wanted, lambda x: (x["r"] >= F.col("before")) & (x["r"] < F.col("before") + F.col("held")))).where(F.size("wanted") > 0), "opened")
+    met = sliced.join(opened.select("g", "s"), ["g", "s"]).groupBy("g", "s", "v").agg(F.sum("n").alias("n")).join(opened, ["g", "s"])
     running = F.col("before") + F.sum("n").over(Window.partitionBy("g", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     hits = met.withColumn("upto", running).select("g", "total", "q4", "v", F.explode(F.filter("wanted", lambda x: (x["r"] >= F.col("upto") - F.col("n")) & (x["r"] < F.col("upto")))).alias("x"))
     found = hits.groupBy("g").agg(F.first("total").alias("total"), F.first("q4").alias("q4"), *[F.max(F.when(F.col("x.i") == i, F.col("v"))).alias(f"v{i}") for i in range(6)])
@@ -77,7 +85,7 @@ def quartiles(df: DataFrame, by: list[str], value: Column) -> DataFrame:
     small, large = small_and_large(rows, by, 1)
     lists = small.groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("list")).where(F.size("list") > 0)
     out = lists.select(*by, F.size("list").cast("long").alias("n"), *_of_list(F.col("list")))
-    return out if large is None else out.unionByName(quartiles_of(value_counts(large, by, F.col("v")), by))
+    return out if large is None else out.unionByName(quartiles_of(positive(large, by, F.col("v")), by))
 
 
 def fences_of(counts: DataFrame, by: list[str], width: Column | float, floor: float = 0.0, least: int = 1) -> DataFrame:
@@ -91,15 +99,14 @@ def fences_of(counts: DataFrame, by: list[str], width: Column | float, floor: fl
 def indicators(df: DataFrame, value: str, kind: str, region: str, place: str, least_place: int = 5, least_region: int = 3) -> DataFrame:
     """Quartiles per (kind, region, place) and per (kind, region), after trimming by the kind's fences over all rows.
 
-    All levels come from one count of the values. place is null at the level of regions.
+    place is null at the level of regions.
     """
     levels = [[kind, region, place], [kind, region], [kind]]
-    counts = value_counts(df, levels[0], F.col(value))
-    rolled = lambda rows, by: rows.groupBy(*by, "v").agg(F.sum("n").alias("n"))
-    bounds = fences_of(rolled(counts, levels[2]), levels[2], 2.0, 0.05, 3)
+    counts = stored(positive(df, levels[0], F.col(value)), "values")
+    bounds = stored(fences_of(counts, levels[2], 2.0, 0.05, 3), "bounds")
     kept = counts.join(bounds, kind).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("top"))).select(*levels[0], "v", "n")
     places = quartiles_of(kept, levels[0]).where(F.col("n") >= least_place)
-    regions = quartiles_of(rolled(kept, levels[1]), levels[1]).where(F.col("n") >= least_region)
+    regions = quartiles_of(kept, levels[1]).where(F.col("n") >= least_region)
     return places.unionByName(regions, allowMissingColumns=True).withColumnRenamed("n", "count")
 
 
@@ -134,7 +141,7 @@ def period_rollup(df: DataFrame, periods: dict[str, Column], dims: list[str], va
     out = lists.select("metric", *by, "avg", "std", F.size("list").cast("long").alias("count"), *_of_list(F.col("list"))).select(*names)
     if large is None:
         return out
-    counts = value_counts(large.select(*by, named(lambda name: F.col(name).alias("value"))).select(*by, "m.*"), ["metric", *by], F.col("value"))
+    counts = positive(large.select(*by, named(lambda name: F.col(name).alias("value"))).select(*by, "m.*"), ["metric", *by], F.col("value"))
     sliced = with_moments(counts, ["metric", *by], quartiles_of(counts, ["metric", *by])).withColumnRenamed("n", "count")
     return out.unionByName(sliced.select(*names))
 
@@ -150,8 +157,8 @@ def with_moments(counts: DataFrame, by: list[str], groups: DataFrame) -> DataFra
 
 def anomalies(df: DataFrame, value: str, group: list[str], width: float = 1.5, least: int = 10) -> DataFrame:
     """Rows outside the fences of all rows or, failing that, of their group; scope says which, distance how far."""
-    counts = value_counts(df, group, F.col(value))
-    whole = fences_of(counts.groupBy("v").agg(F.sum("n").alias("n")), [], width, 0.05, least).select(F.col("lo").alias("all_lo"), F.col("hi").alias("all_hi"))
+    counts = positive(df, group, F.col(value))
+    whole = fences_of(counts, [], width, 0.05, least).select(F.col("lo").alias("all_lo"), F.col("hi").alias("all_hi"))
     local = fences_of(counts, group, width, 0.05, least).select(*group, "lo", "hi")
     both = df.where(F.col(value) > 0).join(F.broadcast(whole), how="left").join(local, group, "left")  # whole is one row
     v = F.col(value)

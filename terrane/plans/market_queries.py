@@ -518,7 +518,7 @@ def a18_fences_of_recent_rows(spark, d):
     li = table(spark, d, "lineitem")
     now = li.agg(F.max("l_shipdate").alias("now"))
     recent = li.join(F.broadcast(now)).where(F.col("l_shipdate") >= F.col("now") - F.expr("interval 400 days")).withColumn("kind", F.col("l_returnflag"))
-    counts = stats.value_counts(recent, ["kind"], F.col("l_extendedprice"))
+    counts = stats.positive(recent, ["kind"], F.col("l_extendedprice"))
     out = stats.fences_of(counts, ["kind"], F.when(F.col("kind") == "R", 2.5).otherwise(1.5), 0.05, 10)
     return out.select("kind", *[F.round(F.col(c) + 3e-7, 4).alias(c) for c in ("lo", "hi")])
 

@@ -237,3 +237,14 @@ def test_quartiles_of_small_groups_take_one_shuffle(spark):
     df = spark.createDataFrame([(i % 7, float(i)) for i in range(100)], "kind int, a double")
     plan = stats.quartiles(df, ["kind"], F.col("a"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_slices_move_only_the_values_of_opened_slices(spark):
+    """100,000 different values: what is sent between tasks is sums of slices and a few values, not every value."""
+    df = spark.range(100_000).select(F.lit("a").alias("kind"), (1000 + F.col("id") / 100).alias("a"))
+    counts = stats.positive(df, ["kind"], F.col("a"))
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = stats.quartiles_of(counts, ["kind"]).first()
+    assert tuple(got) == ("a", 100_000, 1249.9975, 1499.995, 1749.9925, 1999.99)
+    twice = stats.quartiles_of(counts.unionByName(counts.withColumn("n", F.lit(2).cast("long"))), ["kind"]).first()
+    assert twice["n"] == 300_000 and abs(twice["q2"] - 1499.995) < 1e-9
