@@ -58,12 +58,20 @@ def quartiles_of(counts: DataFrame, by: list[str]) -> DataFrame:
     return found.select(*[F.col("g")[c].alias(c) for c in by], F.col("total").alias("n"), *quartile, "q4")
 
 
+def _hash(by: list[str]) -> Column:
+    return F.xxhash64(*by, F.lit(0))
+
+
+def _without(rows: DataFrame, by: list[str], hashes: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(hashes), _hash(by) == F.col("hash"), "left_anti")
+
+
 def small_and_large(rows: DataFrame, by: list[str], values: int) -> tuple[DataFrame, DataFrame | None]:
     """rows of groups that hold at most IN_LIST values, `values` to a row, and those of the others (None without any).
 
     Groups are told apart by a hash: where two share one, both may count as large, which changes no result.
     """
-    key = F.xxhash64(*by, F.lit(0))
+    key = _hash(by)
     large = stored(rows.select(key.alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > IN_LIST // values).select("hash"), "large")
     if large.isEmpty():
         return rows, None
@@ -117,23 +125,42 @@ def _with(x: Column, v: Column) -> Column:
     return F.struct(n.alias("n"), mean.alias("mean"), (x["apart"] + (v - x["mean"]) * (v - mean)).alias("apart"))
 
 
+def _large_periods(rows: DataFrame, least: list[str], each: Column, by: list[str], values: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """hash of the groups by least that alone are large, and of the groups of periods that are; None without any.
+
+    The periods of a group that alone is large are all large, also where it only shares its hash with one.
+    """
+    most = IN_LIST // values
+    counts = stored(rows.groupBy(*least).agg(F.count("*").alias("n")), "counts").withColumn("hash", _hash(least))
+    whole = stored(counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("hash"), "whole")
+    marked = counts.join(F.broadcast(whole).withColumn("alone", F.lit(True)), "hash", "left").select(each, *by[2:], "n", "alone").select("p.*", *by[2:], "n", "alone")
+    large = stored(marked.groupBy(_hash(by).alias("hash")).agg(F.sum("n").alias("n"), F.max("alone").alias("alone")).where((F.col("n") > most) | F.col("alone")).select("hash"), "large")
+    if large.isEmpty():
+        return None, None
+    return whole, large
+
+
 def period_rollup(df: DataFrame, periods: dict[str, Column], dims: list[str], values: list[str]) -> DataFrame:
     """metric, period_type, period_key, dims, avg, population std, count and quartiles of the positive values.
 
-    Rows go once to each of their periods' groups, with all their values. A group that is not large is a list there; of
-    large ones the values are counted and cut into slices.
+    Rows are gathered once, in lists by dims and all periods together; it is these lists that go to each of their periods'
+    groups. A group that is not large is a list there; of large ones the values are counted and cut into slices.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period_type"), c.alias("period_key")) for p, c in periods.items()])).alias("p")
+    keys = {p: f"period{k}" for k, p in enumerate(periods)}
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("period_type"), F.col(k).alias("period_key")) for p, k in keys.items()])).alias("p")
     numbers = [F.col(v).cast("double") for v in values]
     kept = [F.when(x > 0, x).alias(f"v{k}") for k, x in enumerate(numbers)]
     found = [f"v{k}" for k in range(len(values))]
-    rows = df.select(*dims, *kept, each).where(F.coalesce(*found).isNotNull()).select("p.*", *dims, *found)
-    by = ["period_type", "period_key", *dims]
+    rows = df.select(*dims, *kept, *[c.alias(keys[p]) for p, c in periods.items()]).where(F.coalesce(*found).isNotNull())
+    least, by = [*keys.values(), *dims], ["period_type", "period_key", *dims]
     named = lambda made: F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), made(f"v{k}")) for k, v in enumerate(values)])).alias("m")
-    small, large = small_and_large(rows, by, len(values))
-    lists = small.groupBy(*by).agg(F.collect_list(F.struct(*found)).alias("rows"))
-    sorted_ = lambda name: F.sort_array(F.filter(F.transform("rows", lambda r: r[name]), lambda v: v.isNotNull())).alias("list")
-    lists = lists.select(*by, named(sorted_)).select(*by, "m.*").where(F.size("list") > 0)
+    whole, large = _large_periods(rows, least, each, by, len(values))
+    lists = (rows if whole is None else _without(rows, least, whole)).groupBy(*least).agg(*[F.collect_list(v).alias(v) for v in found])
+    lists = lists.select(each, *dims, *found).select("p.*", *dims, *found)
+    lists = lists if large is None else _without(lists, by, large)
+    if len(periods) > 1:
+        lists = lists.groupBy(*by).agg(*[F.flatten(F.collect_list(v)).alias(v) for v in found])
+    lists = lists.select(*by, named(lambda name: F.sort_array(name).alias("list"))).select(*by, "m.*").where(F.size("list") > 0)
     sum_ = F.aggregate("list", F.lit(0.0), lambda so_far, v: so_far + v)
     std = F.aggregate("list", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("apart")), _with, lambda x: F.sqrt(x["apart"] / x["n"]))
     lists = lists.withColumns({"avg": sum_ / F.size("list"), "std": std})
@@ -141,7 +168,9 @@ def period_rollup(df: DataFrame, periods: dict[str, Column], dims: list[str], va
     out = lists.select("metric", *by, "avg", "std", F.size("list").cast("long").alias("count"), *_of_list(F.col("list"))).select(*names)
     if large is None:
         return out
-    counts = positive(large.select(*by, named(lambda name: F.col(name).alias("value"))).select(*by, "m.*"), ["metric", *by], F.col("value"))
+    rows = rows.select(each, *dims, *found).select("p.*", *dims, *found)
+    rows = rows.join(F.broadcast(large), _hash(by) == F.col("hash"), "left_semi")
+    counts = positive(rows.select(*by, named(lambda name: F.col(name).alias("value"))).select(*by, "m.*"), ["metric", *by], F.col("value"))
     sliced = with_moments(counts, ["metric", *by], quartiles_of(counts, ["metric", *by])).withColumnRenamed("n", "count")
     return out.unionByName(sliced.select(*names))
 

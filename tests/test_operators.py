@@ -248,3 +248,19 @@ def test_slices_move_only_the_values_of_opened_slices(spark):
     assert tuple(got) == ("a", 100_000, 1249.9975, 1499.995, 1749.9925, 1999.99)
     twice = stats.quartiles_of(counts.unionByName(counts.withColumn("n", F.lit(2).cast("long"))), ["kind"]).first()
     assert twice["n"] == 300_000 and abs(twice["q2"] - 1499.995) < 1e-9
+
+
+def test_rollup_of_several_periods_gathers_rows_once(spark, monkeypatch):
+    """Rows are not repeated for each period before they are gathered; large days and large years go by slices."""
+    data = [(i % 2, f"d{i % 7 if i % 4 else 0}", float(i), i % 3 * 1.5 if i % 5 else None) for i in range(1, 400)]
+    df = spark.createDataFrame(data, "kind int, day string, a double, b double")
+    rollup = lambda: stats.period_rollup(df, {"day": F.col("day"), "year": F.lit("y"), "none": F.lit(None).cast("string")}, ["kind"], ["a", "b"])
+    short = lambda out: sorted((r.metric, r.period_type, str(r.period_key), r.kind, r["count"], *[round(r[c], 6) for c in ("avg", "std", "q1", "q2", "q3", "q4")]) for r in out.collect())
+    one = rollup()
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("collect_list") > plan.index("explode") and plan.count("Aggregate") == 2
+    want = short(one)
+    assert sum(x[4] for x in want if x[0] == "a" and x[1] == "year") == 399
+    for most in (40, 120, 250, 500):
+        monkeypatch.setattr(stats, "IN_LIST", most)
+        assert short(rollup()) == want
