@@ -60,3 +60,15 @@ def test_parts_from_rows(spark):
     parts = tiles.tile_parts(spark.createDataFrame(rows, "x int, y int, id long, rings array<array<array<int>>>, properties map<string,string>"), "polygons")
     got = tiles.tile_parcels(tiles.tile_features(parts.selectExpr("*", "4 as z"), "data", "x", "y", "z"))
     assert sorted(int(r.number) for r in got.collect()) == list(range(50))
+
+
+def test_parts_are_sorted_in_partitions_of_bounded_size(spark):
+    """One input partition of many polygons is dealt before it is sorted."""
+    from pyspark.sql import functions as F
+
+    ring = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((0, 0), (9, 0), (9, 9))])
+    rows = spark.range(0, 2000, 1, 1).select((F.col("id") % 7).alias("x"), F.lit(3).alias("y"), "id", F.array(ring).alias("rings"), F.create_map(F.lit("cadnum"), F.col("id").cast("string")).alias("properties"))
+    parts = tiles.tile_parts(rows, "land_polygons")
+    assert "REBALANCE" in parts._jdf.queryExecution().executedPlan().toString().upper()
+    found = tiles.tile_parcels(tiles.tile_features(parts.withColumn("zoom", F.lit(12)), "data", "x", "y", "zoom"))
+    assert found.count() == found.select("number").distinct().count() == 2000
