@@ -80,6 +80,7 @@ def t8_described(spark, d):
         "Пай с/г призначення, Волинська обл., газ не підведені",
         "Нерухомість: склад, 2-й поверх, опалення",
     )
+    t = t.repartition(spark.sparkContext.defaultParallelism)  # a small file is one partition, its patterns take long
     out = t.select("p_partkey", X.described(F.col("text")).alias("x"))
     a = F.col("x.address")
     return out.select("p_partkey", F.col("x.cadastral_number").alias("number"), a["region"].alias("region"), a["settlement"].alias("settlement"), a["street"].alias("street"), a["building"].alias("building"), "x.floor", "x.property_type", "x.utilities", F.array_join("x.tags", ",").alias("tags"))

@@ -44,3 +44,9 @@ def test_entry_has_rows(spark):
 def test_filters_reach_the_scan(spark):
     plan = QUERIES["f2_compare"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity" in plan and "l_extendedprice" not in plan
+
+
+def test_descriptions_are_read_by_all_cores(spark):
+    """One small file of parts was one task before."""
+    out = QUERIES["t8_described"](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
