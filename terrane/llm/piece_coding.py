@@ -6,7 +6,8 @@ reach each position, a back pointer for it, a window no longer than the longest
 Merging is local: pieces t1 ... tn are the encoding of their concatenation if and only if each neighbouring pair is the
 encoding of its own. So each prefix of a text is reached by exactly one piece that agrees with the piece before it, and
 the survivors are the back-pointer paths of the last positions. Once they all pass one boundary, the ids before it are
-committed and forgotten.
+committed and forgotten. The pieces that may end at a position follow from one move for each character: from the
+longest end of the text that pieces begin with (its head) and the next character to the next head.
 
 Every text goes through a ``Stream`` in parts. No piece of the model spans certain pairs of characters (anything before
 a space mark, a line feed, a letter beside a sign), so all paths converge there: the stream commits at each such place,
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import kept_by
 
 MARK = "▁"
-MEMO_ENTRIES, AGREED_ENTRIES = 300_000, 400_000  # of steps and of pairs of pieces, about 200 bytes each, in a worker
+MEMO_ENTRIES, AGREED_ENTRIES, MOVES_ENTRIES = 300_000, 400_000, 200_000  # of steps, of pairs of pieces and of moves, about 200 bytes each, in a worker
 PART = 1 << 15  # characters that a stream takes at a time
 SHORT = 64  # of a step that is kept, and of text that waits for its end before the lattice takes it
 
@@ -42,58 +43,48 @@ class Lattice:
 
     def __init__(self, coder: PieceCoder) -> None:
         self.coder = coder
-        self.text, self.last, self.at = "", [""], 0  # text since the last commit; the piece that ends at each position
+        self.text, self.last, self.head = "", [""], ""  # text since the last commit; the piece that ends at each position; see move
 
-    def feed(self, part: str, final: bool = False) -> list[int]:
+    def feed(self, part: str, final: bool = False) -> bytes:
         """Take more text and return the ids that are certain by now."""
         c = self.coder
-        heads, scores, agreed, longest = c.heads, c.scores, c.agreed, c.longest
-        text = self.text = self.text + part
-        last, at, end, done = self.last, self.at, len(text), []
-        last += [None] * (end + 1 - len(last))
-        stop = end if final else end - longest + 1  # later positions may still be the start of an unseen piece
-        while at < stop:
-            a = last[at]
-            if a is not None:
-                for k in range(at + 1, min(end, at + longest) + 1):
-                    p = text[at:k]
-                    if p in scores or k == at + 1:
-                        if last[k] is None and (agreed.get((a, p)) or c.agree(a, p)):
-                            last[k] = p
-                        if p not in heads:
-                            break
-                    elif p not in heads:
+        moves, agreed, longest = c.moves, c.agreed, c.longest
+        last, head, done = self.last, self.head, []
+        self.text += part
+        for k in range(0, len(part), longest):
+            for ch in part[k : k + longest]:
+                head, ends = moves.get(head + ch) or c.move(head + ch)
+                for p in ends:
+                    pair = (last[-len(p)], p)
+                    if (ok := agreed.get(pair)) or (ok is None and c.agree(*pair)):
+                        last.append(p)
                         break
-                if final and last[end] is not None:
-                    break
-            at += 1
-            if at >= 4 * longest and at % longest == 0 and (cut := self._meeting(at)):
-                done += self._ids(cut)
-                text = self.text = text[cut:]
-                last = self.last = last[cut:]
-                at, end, stop = at - cut, end - cut, stop - cut
-        self.at = at
+            if len(last) > 4 * longest and (cut := self._meeting()):
+                done.append(self._ids(cut))
+                self.text, last = self.text[cut:], last[cut:]
+                self.last, head = last, c.head(head[max(0, len(head) - len(self.text)) :])  # no piece reaches behind the commit
+        self.head = head
         if final:
-            done += self._ids(end)
-            self.text, self.last, self.at = "", [""], 0
-        return done
+            done.append(self._ids(len(last) - 1))
+            self.text, self.last, self.head = "", [""], ""
+        return b"".join(done)
 
-    def _meeting(self, at: int) -> int:
+    def _meeting(self) -> int:
         """The boundary that the paths of all positions still open have in common; 0 if they have none."""
-        longest = self.coder.longest
-        open_ = {j for j in range(max(0, at - longest), min(len(self.last), at + longest + 1)) if self.last[j] is not None}
+        end = len(self.last)
+        open_ = set(range(max(0, end - 1 - self.coder.longest), end))
         while len(open_) > 1:
             j = max(open_)
             open_.remove(j)
             open_.add(max(0, j - len(self.last[j])))
         return open_.pop()
 
-    def _ids(self, end: int) -> list[int]:
+    def _ids(self, end: int) -> bytes:
         pieces = []
         while end > 0:
             pieces.append(self.last[end])
             end -= len(self.last[end])
-        return [i for p in reversed(pieces) for i in self.coder.ids_of(p)]
+        return b"".join([self.coder.ids_of(p) for p in reversed(pieces)])
 
 
 class Stream:
@@ -109,20 +100,18 @@ class Stream:
         if self.lattice:
             n = c.run_on(self.before, text)
             ends = final or n < len(text)
-            out.append(np.array(self.lattice.feed(text[:n], ends), "<i4").tobytes())
+            out.append(self.lattice.feed(text[:n], ends))
             if not ends:
                 self.before, self.rest = text[-1:] or self.before, ""
                 return out[0]
             text, self.lattice = text[n:], None
         steps = c.segments(text)
         self.rest = "" if final or not steps else steps.pop()
-        try:
-            out.append(b"".join(map(c.memo.__getitem__, steps)))
-        except KeyError:
-            out.append(b"".join(map(c.step, steps)))
+        known = c.memo.get
+        out.append(b"".join([known(s) or c.step(s) for s in steps]))
         if len(self.rest) > SHORT:
             self.lattice, self.before = Lattice(c), self.rest[-1]
-            out.append(np.array(self.lattice.feed(self.rest), "<i4").tobytes())
+            out.append(self.lattice.feed(self.rest))
             self.rest = ""
         return b"".join(out)
 
@@ -152,7 +141,9 @@ class PieceCoder:
         self.shown = ["" if sp.is_control(i) else p for i, p in enumerate(self.pieces)]
         for b, i in self.bytes.items():
             self.shown[i] = chr(b) if b < 0x80 else chr(0xDC00 + b)
+        self.packed = {p: np.array(i, "<i4").tobytes() for p, i in self.ids.items()}
         self.agreed: dict[tuple[str, str], bool] = {}
+        self.moves: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.memo: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -175,11 +166,26 @@ class PieceCoder:
                 self.agreed[a, b] = known
         return known
 
-    def ids_of(self, piece: str) -> list[int]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return [i]
-        return [self.bytes.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+    def head(self, text: str) -> str:
+        """The longest end of a text that pieces begin with."""
+        return next((text[k:] for k in range(len(text)) if text[k:] in self.heads), "")
+
+    def move(self, text: str) -> tuple[str, tuple[str, ...]]:
+        """The head of a head and the next character, and the pieces that may end there, the longest first; a character is one in any case."""
+        known = self.moves.get(text)
+        if known is None:
+            head = self.head(text)
+            known = head, (*[head[k:] for k in range(len(head) - 1) if head[k:] in self.scores], text[-1])
+            if len(self.moves) < MOVES_ENTRIES:
+                self.moves[text] = known
+        return known
+
+    def ids_of(self, piece: str) -> bytes:
+        """The ids of a piece as little-endian 32-bit integers."""
+        found = self.packed.get(piece)
+        if found is None:
+            found = np.array([self.bytes.get(b, self.unknown) for b in piece.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown], "<i4").tobytes()
+        return found
 
     def run_on(self, before: str, text: str) -> int:
         """How many characters of text belong to the step that ends in before."""
@@ -195,7 +201,7 @@ class PieceCoder:
         """The ids between two places that all paths pass."""
         ids = self.memo.get(segment)
         if ids is None:
-            ids = np.array(Lattice(self).feed(segment, True), "<i4").tobytes()
+            ids = Lattice(self).feed(segment, True)
             if len(segment) <= SHORT and len(self.memo) < MEMO_ENTRIES:
                 self.memo[segment] = ids
         return ids

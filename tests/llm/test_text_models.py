@@ -193,6 +193,22 @@ def test_pieces_equal_the_library_and_come_back(spark):
     assert piece_coding.encode_documents(docs(spark, []), path).count() == 0
 
 
+def test_new_steps_of_known_characters_go_through_no_pieces():
+    """Steps that are not kept are searched by moves and pairs that were met, one move a character, not by trying pieces from each place."""
+    P = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    coder, rnd = piece_coding.PieceCoder(path), random.Random(3)
+    text = " ".join("".join(rnd.choice("etaoins.é日🙂") for _ in range(rnd.randint(1, 60))) for _ in range(300))
+    want = sentencepiece.SentencePieceProcessor(model_file=path).encode(text)
+    assert coder.encode(text).tolist() == want
+    coder.memo.clear()
+    coder.scores = coder.heads = None
+    coder.merge = None
+    assert coder.encode(text).tolist() == want
+
+
 def test_fingerprints_are_sparks_hashes(spark):
     text = "One two  three\tTWO one two three é"
     ws = words(text)
