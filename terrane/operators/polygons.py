@@ -29,7 +29,7 @@ from terrane.sources.storage import stored
 
 PER_CELL = 4096
 COPIES = 4
-AT_ONCE = 1 << 18  # pairs of edges compared in one step
+AT_ONCE = 1 << 15  # pairs of edges compared in one step; arrays of a quarter MB stay in a core's cache
 PAIRS, LINKED = 1 << 15, 1 << 11  # pairs of polygons compared in one step, where all count and where those linked by then are left out
 LEFT, RIGHT, BOTH = 0, 1, 2
 
@@ -94,12 +94,16 @@ def _turn(ax, ay, bx, by, cx, cy):
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
-def _segments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distance of segments; 0 where they cross."""
+def _cross(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether segments cross."""
     (ax, ay, bx, by), (cx, cy, dx, dy) = a.T, b.T
-    cross = (_turn(ax, ay, bx, by, cx, cy) * _turn(ax, ay, bx, by, dx, dy) < 0) & (_turn(cx, cy, dx, dy, ax, ay) * _turn(cx, cy, dx, dy, bx, by) < 0)
-    ends = np.minimum(np.minimum(_to_segment(ax, ay, *b.T), _to_segment(bx, by, *b.T)), np.minimum(_to_segment(cx, cy, *a.T), _to_segment(dx, dy, *a.T)))
-    return np.where(cross, 0.0, ends)
+    return (_turn(ax, ay, bx, by, cx, cy) * _turn(ax, ay, bx, by, dx, dy) < 0) & (_turn(cx, cy, dx, dy, ax, ay) * _turn(cx, cy, dx, dy, bx, by) < 0)
+
+
+def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distance of segments that do not cross."""
+    (ax, ay, bx, by), (cx, cy, dx, dy) = a.T, b.T
+    return np.minimum(np.minimum(_to_segment(ax, ay, *b.T), _to_segment(bx, by, *b.T)), np.minimum(_to_segment(cx, cy, *a.T), _to_segment(dx, dy, *a.T)))
 
 
 def distances(shapes: Shapes, i: np.ndarray, j: np.ndarray, buffer: float) -> np.ndarray:
@@ -111,7 +115,10 @@ def distances(shapes: Shapes, i: np.ndarray, j: np.ndarray, buffer: float) -> np
         near &= (np.minimum(edge[:, 1], edge[:, 3]) <= box[:, 3] + buffer) & (np.maximum(edge[:, 1], edge[:, 3]) >= box[:, 1] - buffer)
         rows, e = rows[near], e[near]
         for k, other in _spread(shapes.n[j[rows]], shapes.first[j[rows]]):
-            np.minimum.at(best, rows[k], _segments(shapes.edges[e[k]], shapes.edges[other]))
+            pair, a, b = rows[k], shapes.edges[e[k]], shapes.edges[other]
+            best[pair[_cross(a, b)]] = 0.0
+            open_ = np.flatnonzero(best[pair] > 0)  # of pairs that are known to cross nothing more is asked
+            np.minimum.at(best, pair[open_], _ends(a[open_], b[open_]))
     out = np.sqrt(best)
     apart = np.flatnonzero(out > 0)  # their edges do not meet, so one holds a point of the other if it holds any
     xi, yi = shapes.edges[shapes.first[i[apart]], :2].T

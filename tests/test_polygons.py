@@ -155,3 +155,19 @@ def test_pairs_of_a_crowd_in_large_cells(spark):
     near = np.hypot(gap(k * 7919 % 10007 * 0.002), gap(k * 6007 % 10009 * 0.002)) <= 0.2511
     got = polygons.near_polygons(boxes, [], 0.2511, 16.0, per_cell)
     assert got.count() == got.distinct().count() == int(np.triu(near, 1).sum())
+
+
+def test_polygons_that_cross_ask_no_distances(monkeypatch):
+    """80 diamonds along a line, each across all others: their edges are tested for crossing, and no distances are computed."""
+    import numpy as np
+    import pyarrow as pa
+
+    asked, plain = [], polygons._to_segment
+    monkeypatch.setattr(polygons, "_to_segment", lambda *a: asked.append(len(a[0])) or plain(*a))
+    shift = lambda k: [[[k * 0.01, 1.0], [k * 0.01 - 1, 0.0], [k * 0.01, -1.0], [k * 0.01 + 1, 0.0]]]
+    rings = pa.array([shift(k) for k in range(80)] + [shift(1000)], pa.list_(pa.list_(pa.list_(pa.float64()))))
+    shapes = polygons.Shapes(pa.chunked_array([rings]))
+    i, j = np.triu_indices(80, 1)
+    assert not polygons.distances(shapes, i, j, 0.25).any() and sum(asked) == 0
+    one = np.array([0])
+    assert polygons.distances(shapes, one, one + 80, 9.0)[0] == pytest.approx(8.0) and sum(asked) > 0
