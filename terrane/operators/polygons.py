@@ -16,6 +16,7 @@ nothing. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,12 +31,32 @@ from terrane.sources.storage import stored
 PER_CELL = 4096
 COPIES = 4
 AT_ONCE = 1 << 15  # pairs of edges compared in one step; arrays of a quarter MB stay in a core's cache
+SMALL, TOGETHER = 64, 1 << 13  # polygons of one ring whose edges make no more pairs are compared side by side, so many pairs of polygons in one step
 PAIRS, LINKED = 1 << 15, 1 << 11  # pairs of polygons compared in one step, where all count and where those linked by then are left out
+BOXES = 1 << 16  # pairs of boxes looked at in one step
+A_TASK, MOST_TASKS = 1 << 25, 1 << 14  # pairs of boxes that a task looks at, some seconds of work, and how many tasks there may be
 LEFT, RIGHT, BOTH = 0, 1, 2
+BLOCK = ["group", "size", "cx", "cy", "block_left", "block_right"]
+
+
+class Space:
+    """Arrays to write to, by name, in memory that is asked for once: new pages for every step cost a third of the time of what is computed in them."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int, of: type = np.float64) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.kept or self.kept[name].size < size:
+            self.kept[name] = np.empty(size, of)
+        return self.kept[name][:size].reshape(shape)
 
 
 class Shapes:
-    """The polygons of an Arrow table's rings, with all edges in one array: x0, y0, x1, y1."""
+    """The polygons of an Arrow table's rings, with all edges in one array: x0, y0, x1, y1.
+
+    box holds the bounds of x and y, turned those of x + y and x - y.
+    """
 
     def __init__(self, rings: pa.ChunkedArray) -> None:
         points, n_rings = pc.list_flatten(rings), _lengths(rings)
@@ -48,11 +69,23 @@ class Shapes:
         last = np.cumsum(n_points) - 1
         after = np.arange(1, len(x) + 1)
         after[last] = last - n_points + 1
-        self.edges = np.stack([x, y, x[after], y[after]], axis=1)
+        self.x, self.y, self.edges = x, y, np.stack([x, y, x[after], y[after]], axis=1)
         self.n = np.add.reduceat(n_points, np.cumsum(n_rings) - n_rings) if len(n_rings) else n_points
         self.first = np.cumsum(self.n) - self.n
+        self.single, self.space = n_rings == 1, Space()
         bound = lambda f, c: f.reduceat(c, self.first) if len(self.n) else c
-        self.box = np.stack([bound(np.minimum, x), bound(np.minimum, y), bound(np.maximum, x), bound(np.maximum, y)], axis=1)
+        bounds = lambda x, y: np.stack([bound(np.minimum, x), bound(np.minimum, y), bound(np.maximum, x), bound(np.maximum, y)], axis=1)
+        self.box, self.turned = bounds(x, y), bounds(x + y, x - y)
+
+    def corners(self, of: np.ndarray, side: str) -> tuple[np.ndarray, ...]:
+        """x and y of the points of polygons of one ring and the same number of points, the first again at the end; dx and dy of their edges."""
+        n, at = int(self.n[of[0]]), self.first[of]
+        x, y = self.space(side + "x", n + 1, len(of)), self.space(side + "y", n + 1, len(of))
+        for k in range(n + 1):
+            of_k = at + k % n
+            np.take(self.x, of_k, out=x[k], mode="clip")
+            np.take(self.y, of_k, out=y[k], mode="clip")
+        return x, y, np.subtract(x[1:], x[:-1], out=self.space(side + "dx", n, len(of))), np.subtract(y[1:], y[:-1], out=self.space(side + "dy", n, len(of)))
 
     def holds(self, of: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether polygon of[k] holds the point (x[k], y[k]): an odd number of edges lie to its right."""
@@ -81,13 +114,35 @@ def _spread(n: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.n
         k = stop
 
 
-def _to_segment(px, py, x0, y0, x1, y1):
-    """Squared distance of points to segments."""
+def _span(x0, y0, x1, y1):
+    """dx, dy and the squared length of segments, 1 for those without any."""
     dx, dy = x1 - x0, y1 - y0
     long = dx * dx + dy * dy
-    t = np.clip(((px - x0) * dx + (py - y0) * dy) / np.where(long > 0, long, 1.0), 0.0, 1.0)
-    ex, ey = px - (x0 + t * dx), py - (y0 + t * dy)
-    return ex * ex + ey * ey
+    return dx, dy, np.where(long > 0, long, 1.0)
+
+
+def _to_segment(px, py, x0, y0, x1, y1, span=None, space=None):
+    """Squared distance of points to segments."""
+    dx, dy, long = span or _span(x0, y0, x1, y1)
+    space = space or Space()
+    t, u = space("t", *dx.shape), space("u", *dx.shape)
+    np.subtract(px, x0, out=t)
+    t *= dx
+    np.subtract(py, y0, out=u)
+    u *= dy
+    t += u
+    t /= long
+    np.clip(t, 0.0, 1.0, out=t)
+    np.multiply(t, dx, out=u)
+    u += x0
+    np.subtract(px, u, out=u)
+    u *= u
+    t *= dy
+    t += y0
+    np.subtract(py, t, out=t)
+    t *= t
+    u += t
+    return u
 
 
 def _turn(ax, ay, bx, by, cx, cy):
@@ -108,6 +163,77 @@ def _ends(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def distances(shapes: Shapes, i: np.ndarray, j: np.ndarray, buffer: float) -> np.ndarray:
     """The distance of polygons i[k] and j[k]; infinity where it is more than buffer."""
+    out = np.empty(len(i))
+    n, m = shapes.n[i], shapes.n[j]
+    kind = np.where(shapes.single[i] & shapes.single[j] & (n * m <= SMALL), n * (SMALL + 1) + m, 0)
+    for of in np.unique(kind):
+        (at,) = np.nonzero(kind == of)
+        step, compared = (TOGETHER, _side_by_side) if of else (len(at), _edge_by_edge)
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            out[some] = compared(shapes, i[some], j[some], buffer)
+    return out
+
+
+def _side_by_side(shapes: Shapes, i: np.ndarray, j: np.ndarray, buffer: float) -> np.ndarray:
+    """distances of polygons of one ring; all i have the same number of points, and all j: arrays are of points (or edges) and pairs."""
+    space = shapes.space
+    a, b = shapes.corners(i, "a"), shapes.corners(j, "b")
+    crossed = _crossed(a, b, space)
+    out = np.zeros(len(i))
+    (open_,) = np.nonzero(~crossed)  # of pairs whose edges cross nothing more is asked
+    a, b = (tuple(np.take(c, open_, axis=1, out=space(f"open{side}{k}", len(c), len(open_)), mode="clip") for k, c in enumerate(of)) for side, of in (("a", a), ("b", b)))
+    best = np.sqrt(np.minimum(_to_edges(*a[:2], b, space), _to_edges(*b[:2], a, space)))
+    held = (best > 0) & (_inside(a[0][0], a[1][0], b, space) | _inside(b[0][0], b[1][0], a, space))  # edges do not meet, so one holds a point of the other if it holds any
+    out[open_] = np.where(held, 0.0, np.where(best <= buffer, best, np.inf))
+    return out
+
+
+def _crossed(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], space: Space) -> np.ndarray:
+    """Whether edges of the polygons of each pair cross: _cross, where the turns to a point serve both of its edges."""
+    (ax, ay, adx, ady), (bx, by, bdx, bdy) = a, b
+    more, edges = bx.shape, bdx.shape
+    crossed, some = np.zeros(edges[1], bool), space("some", *edges)
+    own, straddles, other = space("own", *more), space("straddles", *edges, of=bool), space("other", *edges, of=bool)
+    for k in range(len(ax)):
+        dx, dy = np.subtract(bx, ax[k], out=space(f"dx{k % 2}", *more)), np.subtract(by, ay[k], out=space(f"dy{k % 2}", *more))
+        turn = np.multiply(bdy, dx[:-1], out=space(f"turn{k % 2}", *edges))  # of the other's edges to this point
+        turn -= np.multiply(bdx, dy[:-1], out=some)
+        if k:
+            np.multiply(adx[k - 1], old_dy, out=own)  # of the edge that ends here to the other's points
+            own -= np.multiply(ady[k - 1], old_dx, out=old_dx)
+            np.less(np.multiply(own[:-1], own[1:], out=some), 0, out=straddles)
+            straddles &= np.less(np.multiply(before, turn, out=before), 0, out=other)
+            crossed |= straddles.any(axis=0)
+        before, old_dx, old_dy = turn, dx, dy
+    return crossed
+
+
+def _to_edges(px: np.ndarray, py: np.ndarray, of: tuple[np.ndarray, ...], space: Space) -> np.ndarray:
+    """The least squared distance of the points of one polygon to the edges of another, for each pair."""
+    x, y = of[:2]
+    segments = x[:-1], y[:-1], x[1:], y[1:]
+    span, best = _span(*segments), np.full(px.shape[1], np.inf)
+    for qx, qy in zip(px[:-1], py[:-1], strict=True):
+        np.minimum(best, _to_segment(qx, qy, *segments, span, space).min(axis=0), out=best)
+    return best
+
+
+def _inside(px: np.ndarray, py: np.ndarray, of: tuple[np.ndarray, ...], space: Space) -> np.ndarray:
+    """Whether the polygon of each pair holds the point: an odd number of edges lie to its right."""
+    x, y, dx, dy = of
+    above = y > py
+    spans = above[:-1] != above[1:]
+    at = np.subtract(py, y[:-1], out=space("t", *dx.shape))
+    at *= dx
+    np.divide(at, dy, out=at, where=spans)
+    at += x[:-1]
+    spans &= px < at
+    return np.logical_xor.reduce(spans)
+
+
+def _edge_by_edge(shapes: Shapes, i: np.ndarray, j: np.ndarray, buffer: float) -> np.ndarray:
+    """distances of polygons of any edges, which are compared only where they come near the other polygon's box."""
     best = np.full(len(i), np.inf)
     for rows, e in _spread(shapes.n[i], shapes.first[i]):  # edges of i that come near the box of j
         edge, box = shapes.edges[e], shapes.box[j[rows]]
@@ -166,31 +292,65 @@ def adaptive_cells(boxes: DataFrame, cell: float, finest: float, per_cell: int)
 
 def _placed(polygons: DataFrame, same: list[str], buffer: float, cell: float, per_cell: int) -> DataFrame:
     """id, group, rings and the cells of every usable polygon."""
-    xs, ys = F.transform(F.flatten("rings"), lambda p: p[0]), F.transform(F.flatten("rings"), lambda p: p[1])
+    xs, ys = (F.transform(F.flatten("rings"), lambda p: F.get(p, F.lit(c))) for c in (0, 1))
     half = F.lit(buffer / 2)
-    boxes = polygons.where(_usable(F.col("rings"))).select("id", F.to_json(F.struct(F.lit(0).alias("all_"), *same)).alias("group"), "rings", (F.array_min(xs) - half).alias("x0"), (F.array_min(ys) - half).alias("y0"), (F.array_max(xs) + half).alias("x1"), (F.array_max(ys) + half).alias("y1"))
-    return adaptive_cells(boxes, cell, buffer / 2 if buffer > 0 else cell / 4**8, per_cell)
+    boxes = polygons.select("id", F.to_json(F.struct(F.lit(0).alias("all_"), *same)).alias("group"), "rings", (F.array_min(xs) - half).alias("x0"), (F.array_min(ys) - half).alias("y0"), (F.array_max(xs) + half).alias("x1"), (F.array_max(ys) + half).alias("y1"), _usable(F.col("rings")).alias("usable"))
+    known = stored(boxes, "boxes").where("usable").drop("usable")  # asked once, and not before rows are spread, where Spark would move a filter to
+    return adaptive_cells(known, cell, buffer / 2 if buffer > 0 else cell / 4**8, per_cell)
+
+
+def _meeting(shapes: Shapes, role: np.ndarray, of_left: np.ndarray, of_right: np.ndarray, buffer: float, tests: list[tuple[Callable, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """i, j: numbers of polygons whose boxes, turned ones too, come within buffer and that meet the tests; some BOXES pairs are looked at in a step.
+
+    Where all polygons stand on both sides a pair comes once, else i is of the left, j of the right and of_left[i] less than
+    of_right[j]. A test is a function of two arrays, and the array that it takes values of i and j from.
+    """
+    left, right = (of[np.argsort(shapes.box[of, 0], kind="stable")] for of in (np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)))
+    if not len(left) or not len(right):
+        return
+    x = shapes.box[right, 0]
+    stops = np.searchsorted(x, np.maximum.accumulate(shapes.box[left, 2]) + buffer, "right")
+    if (role == BOTH).all():  # left and right are the same: each is compared with those after it
+        place = np.argsort(left)
+        starts, pairs = np.arange(1, len(left) + 1), (np.less, place, place)
+    else:
+        starts, pairs = np.searchsorted(x, shapes.box[left, 0] - (shapes.box[right, 2] - x).max() - buffer, "left"), (np.less, of_left, of_right)
+    asked = [pairs, *((f, c, c) for f, c in tests)]
+    slack = buffer * 2**0.5 + 1e-12 * (np.abs(shapes.turned).max() + buffer)  # wider than the buffer by what rounding may move
+    for bounds, gap in ((shapes.box, buffer), (shapes.turned, slack)):
+        for c in (0, 1):
+            low, high = bounds[:, c], bounds[:, c + 2]
+            asked += [(np.greater_equal, high, low - gap), (np.less_equal, low - gap, high)]
+    asked = [(f, a[left][:, None], b[right]) for f, a, b in asked]
+    k = 0
+    while k < len(left):
+        start, some = starts[k], stops[k : k + BOXES]
+        stop = k + max(1, int(np.searchsorted((some - start) * np.arange(1, len(some) + 1), BOXES, "right")))
+        end = stops[stop - 1]
+        near, met = (shapes.space(name, stop - k, end - start, of=bool) for name in ("near", "met"))
+        near[:] = True
+        for f, a, b in asked:
+            near &= f(a[k:stop], b[start:end], out=met)
+        i, j = np.divmod(np.flatnonzero(near), max(end - start, 1))
+        yield left[k + i], right[start + j]
+        k = stop
 
 
-def _meeting(box: np.ndarray, left: np.ndarray, right: np.ndarray, buffer: float, counts: Callable, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """i, j: numbers of left and right boxes that come within buffer and for which counts(i, those j) holds; about at_once at a time."""
-    right = right[np.argsort(box[right, 0], kind="stable")]
-    low, widest = box[right, 0], (box[right, 2] - box[right, 0]).max(initial=0.0)
-    starts = np.searchsorted(low, box[left, 0] - widest - buffer, "left")
-    stops = np.searchsorted(low, box[left, 2] + buffer, "right")
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], at_once: int, counts: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """pairs for which counts(i, j) holds, about at_once at a time; counts is asked no earlier, so it may follow from what was given out."""
     found, n = [], 0
-    for k, start, stop in zip(left.tolist(), starts.tolist(), stops.tolist(), strict=True):
-        j = right[start:stop]
-        x0, y0, x1, y1 = box[j].T
-        j = j[(x0 - buffer <= box[k, 2]) & (box[k, 0] - buffer <= x1) & (y0 - buffer <= box[k, 3]) & (box[k, 1] - buffer <= y1)]
-        j = j[counts(k, j)]
-        if len(j):
-            found.append((np.full(len(j), k), j))
-            n += len(j)
-        if n >= at_once:
-            yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
-            found, n = [], 0
-    if found:
+    for i, j in pairs:
+        for s in range(0, len(i), at_once):
+            a, b = i[s : s + at_once], j[s : s + at_once]
+            if counts:
+                counted = counts(a, b)
+                a, b = a[counted], b[counted]
+            found.append((a, b))
+            n += len(a)
+            if n >= at_once:
+                yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
+                found, n = [], 0
+    if n:
         yield tuple(np.concatenate(f) for f in zip(*found, strict=True))
 
 
@@ -204,18 +364,14 @@ def _compared(rows: DataFrame, buffer: float) -> DataFrame:
         group = pa.Table.from_batches(batches)
         shapes, ident, role = Shapes(group["rings"]), group["id"].to_numpy(), group["role"].to_numpy()
         size, cx, cy = (group[c][0].as_py() for c in ("size", "cx", "cy"))
-        box = shapes.box
-
-        def counts(k: int, j: np.ndarray) -> np.ndarray:
-            corner = lambda c: np.floor((np.maximum(box[j, c], box[k, c]) - buffer / 2) / size)
-            return (ident[j] > ident[k]) & (corner(0) == cx) & (corner(1) == cy)
-
-        for i, j in _meeting(box, np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT), buffer, counts, PAIRS):
+        begins = [np.floor((shapes.box[:, c] - buffer / 2) / size) == at for c, at in ((0, cx), (1, cy))]  # the corner lies here if one of the pair begins here
+        for i, j in _gathered(_meeting(shapes, role, ident, ident, buffer, [(np.logical_or, here) for here in begins]), PAIRS):
             d = distances(shapes, i, j, buffer)
-            near = d <= buffer
-            yield pa.RecordBatch.from_arrays([pa.array(ident[i[near]], pa.int64()), pa.array(ident[j[near]], pa.int64()), pa.array(d[near])], ["a", "b", "distance"])
+            near = (d <= buffer) & (ident[i] != ident[j])
+            a, b = ident[i[near]], ident[j[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(d[near])], ["a", "b", "distance"])
 
-    return rows.groupBy("group", "size", "cx", "cy", "block_left", "block_right").applyInArrow(run, "a long, b long, distance double")
+    return rows.groupBy(*BLOCK).applyInArrow(run, "a long, b long, distance double")
 
 
 def _linked(rows: DataFrame, buffer: float) -> DataFrame:
@@ -229,8 +385,8 @@ def _linked(rows: DataFrame, buffer: float) -> DataFrame:
         shapes, ident, role = Shapes(group["rings"]), group["id"].to_numpy(), group["role"].to_numpy()
         first, label = np.unique(group["cluster"].to_numpy(), return_index=True, return_inverse=True)[1:]
         root = first[label]
-        counts = lambda k, j: (root[j] != root[k]) & ((role[j] == RIGHT) | (ident[j] > ident[k]))
-        for i, j in _meeting(shapes.box, np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT), buffer, counts, LINKED):
+        after = np.where(role == RIGHT, np.iinfo(np.int64).max, ident)
+        for i, j in _gathered(_meeting(shapes, role, ident, after, buffer, []), LINKED, lambda i, j: root[j] != root[i]):
             near = distances(shapes, i, j, buffer) <= buffer
             links, up = [], {}
             for a, b in zip(root[i[near]].tolist(), root[j[near]].tolist(), strict=True):
@@ -250,7 +406,7 @@ def _linked(rows: DataFrame, buffer: float) -> DataFrame:
                 u, v = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(ident[u], pa.int64()), pa.array(ident[v], pa.int64())], ["u", "v"])
 
-    return rows.groupBy("group", "size", "cx", "cy", "block_left", "block_right").applyInArrow(run, "u long, v long")
+    return rows.groupBy(*BLOCK).applyInArrow(run, "u long, v long")
 
 
 def _dealt(rows: DataFrame, n_left: Column, per_cell: int, is_left: Column) -> DataFrame:
@@ -269,7 +425,16 @@ def _dealt(rows: DataFrame, n_left: Column, per_cell: int, is_left: Column) -> D
 def near_polygons(polygons: DataFrame, same: list[str], buffer: float, cell: float, per_cell: int = PER_CELL) -> DataFrame:
     """a, b (a < b), distance: the pairs of polygons (id, rings and the columns in same) that are at most buffer apart."""
     placed = _placed(polygons, same, buffer, cell, per_cell)
-    return _compared(_dealt(placed, F.col("n"), per_cell, F.lit(True)), buffer)
+    return _compared(_by_work(_dealt(placed, F.col("n"), per_cell, F.lit(True)), placed), buffer)
+
+
+def _by_work(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """rows dealt to tasks by what there is to compare in the cells of placed: few bytes make many pairs, and Spark would gather by bytes."""
+    spark = rows.sparkSession
+    tasks = math.ceil((placed.agg(F.sum("n")).first()[0] or 0) / A_TASK)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(max(min(tasks, MOST_TASKS), int(spark.conf.get("spark.sql.shuffle.partitions"))), *BLOCK)
 
 
 def polygon_clusters(polygons: DataFrame, same: list[str], buffer: float, cell: float, per_cell: int = PER_CELL) -> DataFrame:

@@ -171,3 +171,38 @@ def test_polygons_that_cross_ask_no_distances(monkeypatch):
     assert not polygons.distances(shapes, i, j, 0.25).any() and sum(asked) == 0
     one = np.array([0])
     assert polygons.distances(shapes, one, one + 80, 9.0)[0] == pytest.approx(8.0) and sum(asked) > 0
+
+
+def test_polygons_side_by_side_equal_those_edge_by_edge():
+    """Polygons of few points are compared side by side, to the last bit as edge by edge; those with holes or many points are not."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(11)
+    rings = [r for _, _, r in some(11, 120, 14.0)] + [[star(rnd, rnd.uniform(0, 14), rnd.uniform(0, 14), 2, 40)] for _ in range(10)]
+    shapes = polygons.Shapes(pa.chunked_array([pa.array(rings, pa.list_(pa.list_(pa.list_(pa.float64()))))]))
+    i, j = np.triu_indices(len(rings), 1)
+    asked, plain = [], polygons._edge_by_edge
+    want = plain(shapes, i, j, 0.7)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(polygons, "_edge_by_edge", lambda s, i, j, b: asked.append(len(i)) or plain(s, i, j, b))
+        got = polygons.distances(shapes, i, j, 0.7)
+    assert (got == want).all() and np.isfinite(want).sum() > 500 and (want[np.isfinite(want)] > 0).sum() > 50
+    few = shapes.single[i] & shapes.single[j] & (shapes.n[i] * shapes.n[j] <= polygons.SMALL)
+    assert sum(asked) == (~few).sum() < len(i) / 2
+
+
+def test_work_is_dealt_to_tasks_by_pairs_not_bytes(spark, monkeypatch):
+    """3,000 small squares in 36 cells are few bytes; with some 20,000 pairs of boxes to a task they still go to many tasks, and pairs stay the same."""
+    from pyspark.sql import functions as F
+
+    n = 3_000
+    x, y = F.col("id") * 7919 % 10007 * 0.0047, F.col("id") * 6007 % 10009 * 0.0047
+    p = lambda a, b: F.array(a, b)
+    boxes = spark.range(n).select("id", F.array(F.array(p(x, y), p(x + 1, y), p(x + 1, y + 1), p(x, y + 1))).alias("rings"))
+    plain = polygons.near_polygons(boxes, [], 0.1, 8.0)
+    monkeypatch.setattr(polygons, "A_TASK", 20_000)
+    dealt = polygons.near_polygons(boxes, [], 0.1, 8.0)
+    assert plain.rdd.getNumPartitions() <= 4 < 12 < dealt.rdd.getNumPartitions()
+    assert dealt.count() == dealt.distinct().count() == plain.count() > n
+    assert dealt.exceptAll(plain).isEmpty()
